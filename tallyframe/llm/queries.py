@@ -22,6 +22,12 @@ def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_segments(write_segments(_table(spark, sf_dir, "documents")))
 
 
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_mixture import identify_languages
+
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
