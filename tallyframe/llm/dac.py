@@ -103,8 +103,8 @@ def write_segments(docs: DataFrame, vocab: str | None = None, kind: str = "word"
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([len(tokens)], pa.int64()), pa.array([pack(tokens, bits)], pa.binary())], schema=schema)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                some = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, 400):
+                some = batch.slice(a, 400)
                 for i, x in zip(some.column(0).to_pylist(), encoder(path, kind).encode(some.column(1).to_pylist())):
                     ids.append(i)
                     raw.append(x + end)

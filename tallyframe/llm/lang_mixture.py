@@ -123,8 +123,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], block_words:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(rows_of)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                some = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, 400):
+                some = batch.slice(a, 400)
                 texts = some.column(2).to_pylist()
                 n = len(texts)
                 known = np.array([bool(t and langs and _LETTER.search(t)) for t in texts])

@@ -100,8 +100,8 @@ def pieces_of(docs: DataFrame, vocab: str, capacity: int, grain: int, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, end = TaskContext.get().partitionId(), Counter(), struct.pack("<I", end_id)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                some, out = batch.slice(a, 1000), []
+            for a in range(0, batch.num_rows, 400):
+                some, out = batch.slice(a, 400), []
                 for doc_id, raw in zip(some.column(0).to_pylist(), encoder(vocab, "byte").encode(some.column(1).to_pylist())):
                     raw += end
                     n = len(raw) // 4

@@ -17,6 +17,9 @@ CUTS = {
     "byte": r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
     "word": r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""",
 }
+#: Byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: b for b in _PLAIN} | {b: 0x100 + k for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
 _ENCODERS: dict[tuple[str, str], "CachedEncoder"] = {}
 
 
@@ -24,7 +27,7 @@ class CachedEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes."""
 
     #: Pre-tokens in each of the cache's two generations; longer ones are not kept; how many the library gets at once.
-    CACHE, LONGEST, AT_ONCE = 500_000, 48, 2_000
+    CACHE, LONGEST, AT_ONCE = 220_000, 48, 2_000
 
     def __init__(self, path: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,6 +35,7 @@ class CachedEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = Tokenizer(self.library.model)  # no cutting again
         self.cut = regex.compile(CUTS[kind]).findall
         self.lower = kind == "word"
         self.known: dict[str, bytes] = {}
@@ -62,7 +66,7 @@ class CachedEncoder:
         fresh = list(new)
         for i in range(0, len(fresh), self.AT_ONCE):
             some = fresh[i : i + self.AT_ONCE]
-            e = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            e = self.model.encode([c.encode().decode("latin1").translate(_BYTES) for c in some], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(e.ids, dtype="<u4").tobytes()
             ends = np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(some)), side="right") * 4
             a = 0
