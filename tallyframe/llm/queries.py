@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_blocks import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fertility import judge
 
