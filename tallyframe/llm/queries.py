@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digest_removed
+
+    return digest_removed(_table(spark, sf_dir, "documents"))
+
+
 def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_blocks import extract
 
