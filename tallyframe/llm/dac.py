@@ -116,7 +116,7 @@ def write_segments(docs: DataFrame, vocab: str | None = None, kind: str = "word"
             yield segment()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(tasks_for(rows), "doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange(tasks_for(rows, 6), "doc_id").sortWithinPartitions("doc_id")
     return materialise(rows.mapInArrow(encode, SEGMENT), "dac")
 
 
