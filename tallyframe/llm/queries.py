@@ -52,6 +52,12 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq_dedup import near_classes
+
+    return near_classes(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_classes
 
