@@ -110,8 +110,8 @@ def choose(blocks: np.ndarray, weight: np.ndarray, start: np.ndarray, penalty: f
     return value.argmax(1), value.max(1), chosen
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], block_words: int = 8) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score, n_langs."""
+def predictor(model: tuple[list[str], np.ndarray], block_words: int = 8):
+    """A function of texts: their languages, scores and sizes of the chosen sets."""
     langs, logp = model
 
     def rows_of(words: list[str]) -> np.ndarray:
@@ -120,33 +120,59 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], block_words:
         grams, starts = _trigrams(words)
         return np.add.reduceat(logp[grams[: starts[-1] + len(words[-1].lower().encode("utf-8", "surrogatepass"))]], starts).astype(np.float32)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(rows_of)
+    table = WordTable(rows_of)
+
+    def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        n = len(texts)
+        known = np.array([bool(t and langs and _LETTER.search(t)) for t in texts], dtype=bool)
+        pred, score, size = ["und"] * n, np.zeros(n), np.zeros(n, dtype=np.int64)
+        if known.any():
+            words = [WORD.findall(texts[i]) for i in np.flatnonzero(known)]
+            at = table.look(words)
+            counts = np.array([len(w) for w in words])
+            n_blocks = -(-counts // block_words)
+            start = np.concatenate([[0], np.cumsum(n_blocks)[:-1]])
+            inside = np.arange(n_blocks.sum()) - np.repeat(start, n_blocks)
+            cuts = np.repeat(np.cumsum(counts) - counts, n_blocks) + inside * block_words
+            blocks = np.add.reduceat(table.rows[at], cuts).astype(np.float64)
+            weight = np.diff(np.append(cuts, len(at))).astype(np.float64)
+            k, s, j = choose(blocks, weight, start)
+            for i, x in zip(np.flatnonzero(known), k):
+                pred[i] = langs[x]
+            score[known], size[known] = np.clip(s, 0, 1), j
+        return pred, score, size
+
+    return predict
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score, n_langs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = predictor(model)
         for batch in batches:
             for a in range(0, batch.num_rows, 400):
                 some = batch.slice(a, 400)
-                texts = some.column(2).to_pylist()
-                n = len(texts)
-                known = np.array([bool(t and langs and _LETTER.search(t)) for t in texts])
-                pred, score, size = ["und"] * n, np.zeros(n), np.zeros(n, dtype=np.int64)
-                if known.any():
-                    words = [WORD.findall(texts[i]) for i in np.flatnonzero(known)]
-                    at = table.look(words)
-                    counts = np.array([len(w) for w in words])
-                    n_blocks = -(-counts // block_words)
-                    start = np.concatenate([[0], np.cumsum(n_blocks)[:-1]])
-                    inside = np.arange(n_blocks.sum()) - np.repeat(start, n_blocks)
-                    cuts = np.repeat(np.cumsum(counts) - counts, n_blocks) + inside * block_words
-                    blocks = np.add.reduceat(table.rows[at], cuts).astype(np.float64)
-                    weight = np.diff(np.append(cuts, len(at))).astype(np.float64)
-                    k, s, j = choose(blocks, weight, start)
-                    for i, x in zip(np.flatnonzero(known), k):
-                        pred[i] = langs[x]
-                    score[known], size[known] = np.clip(s, 0, 1), j
+                pred, score, size = predict(some.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(size)], names=["doc_id", "held_out", "lang_pred", "score", "n_langs"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold_of(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(predict, "doc_id bigint, held_out boolean, lang_pred string, score double, n_langs bigint")
+    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, n_langs bigint")
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
+    """The documents, all columns, whose text has a language that makes up least_score of it or more."""
+    model, place = train(docs), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = predictor(model)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 400):
+                some = batch.slice(a, 400)
+                pred, score, _ = predict(some.column(place).to_pylist())
+                yield some.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score)]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

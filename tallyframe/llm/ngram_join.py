@@ -353,3 +353,10 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(shingler.set_of(x)) for x in batch.column(1).to_pylist()], pa.int64()), batch.column(0)], names=["doc_id", "n_shingles", "component_id"])
 
     return out.union(rows.where("doc_id is null").mapInArrow(only_sizes, "doc_id bigint, n_shingles bigint, component_id bigint"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+    """The documents, all columns, without those linked to a document of a lower id."""
+    classes = jaccard_classes(docs.select("doc_id", "text"), percent, size)
+    gone = materialise(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
