@@ -54,3 +54,8 @@ def tasks_for(df: DataFrame, mb_each: float = 16.0, least: int = 8) -> int:
     """A number of tasks in proportion to the optimiser's estimate of the input's size."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return int(min(max(least, size / (mb_each * 1e6)), 200_000))
+
+
+def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """df, of one or two numbers a row, marked for broadcast if a count shows that it has at most most_rows rows."""
+    return F.broadcast(df) if df.count() <= most_rows else df

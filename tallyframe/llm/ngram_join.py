@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, tasks_for
+from .common import discard, materialise, small, tasks_for
 from .components import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -328,6 +328,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     buckets = tasks_for(rows, 6, 16)
     stats = materialise(sizes_and_own(rows.where("doc_id is not null"), buckets, size), "sizes")
     near = stats.where(F.col("own") < F.expr(f"n - ceil(n * {percent} / 100.0d) + 1")).select(F.col("doc_id").alias("d")).distinct()
+    near = small(materialise(near, "near"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
@@ -338,7 +339,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     sets = materialise(rows.join(near, F.col("doc_id") == F.col("d"), "left_semi").mapInArrow(build, "doc_id bigint, digest binary, tokens binary"), "sets")
     least = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = materialise(sets.select("doc_id", F.col("digest").alias("g")).join(least, F.col("g") == F.col("digest")).select("doc_id", "rep").distinct(), "members")
-    firsts = materialise(sets.join(member.where("doc_id = rep").select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "tokens").dropDuplicates(["doc_id"]), "firsts")
+    firsts = materialise(sets.join(small(member.where("doc_id = rep").select("rep")), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "tokens").dropDuplicates(["doc_id"]), "firsts")
     discard(sets)
     candidates = components(star_links(firsts, tasks_for(firsts, 6, 16), percent))
     links = components(verified_links(firsts, candidates, percent))
@@ -358,5 +359,5 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
 def one_of_each(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """The documents, all columns, without those linked to a document of a lower id."""
     classes = jaccard_classes(docs.select("doc_id", "text"), percent, size)
-    gone = materialise(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = materialise(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")

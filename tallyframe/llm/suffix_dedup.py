@@ -292,16 +292,16 @@ def compare(rows: DataFrame, open_: DataFrame, parts: int, buckets: int, length:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 48, part_bytes: int = 3_000_000, most: int = 4000) -> tuple[DataFrame, DataFrame]:
-    """The rows with a key, and per key the byte runs to remove (pairs of start and end as 32-bit numbers after the key)."""
-    rows = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("key", F.xxhash64("doc_id", "text"))
-    narrow = rows.select("key", "text")
+    """The rows with _key and _text, and per _span_key the byte runs to remove, packed as _SPAN_T in _spans."""
+    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_key", F.xxhash64("doc_id", "_text"))
+    narrow = rows.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
     buckets = tasks_for(narrow, 6, 16)
     decided = materialise(decide(find_contexts(narrow, buckets, length, gram), buckets, most), "contexts")
     size = decided.where(f"kind = {_OPEN}").agg(F.sum(F.length("rows"))).first()[0] or 0
     parts = max(8, int(size / _OPEN_T.itemsize * (length + 80) / part_bytes) + 1)
     found = compare(narrow, decided, parts, buckets, length)
     spans = decided.where(f"kind = {_SPAN}").unionByName(found).groupBy("bucket").applyInPandas(_by_key(_SPAN, _SPAN_T, length), "k bigint, found binary")
-    return rows, spans
+    return rows, spans.select(F.col("k").alias("_span_key"), F.col("found").alias("_spans"))
 
 
 def _spans_of(raw: bytes | None) -> list[tuple[int, int]]:
@@ -332,7 +332,7 @@ def digest_removed(docs: DataFrame, **how) -> DataFrame:
                 sums.append(hashlib.sha256(without(data, s)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(sums, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    both = rows.join(spans, F.col("key") == F.col("k"), "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "found")
+    both = rows.join(spans, F.col("_key") == F.col("_span_key"), "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), "_text", "_spans")
     return both.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -345,5 +345,5 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     def cut(text: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([without(t.encode("utf-8", "surrogatepass"), _spans_of(f)).decode("utf-8", "ignore") for t, f in zip(text, found)])
 
-    out = rows.join(spans, F.col("key") == F.col("k"), "left")
-    return out.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(cut("text", "found"))).select(*names)
+    out = rows.join(spans, F.col("_key") == F.col("_span_key"), "left")
+    return out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("_text", "_spans"))).select(*names)
