@@ -327,7 +327,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = tasks_for(rows, 6, 16)
     stats = materialise(sizes_and_own(rows.where("doc_id is not null"), buckets, size), "sizes")
-    near = stats.where(F.col("own") < F.expr(f"n - ceil(n * {percent} / 100.0d) + 1")).select(F.col("doc_id").alias("d")).distinct()
+    near = stats.where((F.col("n") > 0) & (F.col("own") < F.expr(f"n - ceil(n * {percent} / 100.0d) + 1"))).select(F.col("doc_id").alias("d")).distinct()
     near = small(materialise(near, "near"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
