@@ -2,10 +2,10 @@
 
 A public vocabulary with byte fallback tokenises each word by itself; per document that gives characters per token,
 the share of byte-fallback tokens and the token entropy as a share of the most that so many tokens can have. Over all
-documents of a language (of a script, where the language is null) and of one size class (powers of two of the token
+documents of a language (of a script, where the language is null) and of one size class (powers of two of the word
 count: both the level and the scatter of the measures depend on it) exact quartiles of each measure give a rejection
 band, quartiles +- ``width`` interquartile ranges; a document outside a band is rejected, as is one that breaks the
-base rules. Classes of under ``least_docs`` documents have no band.
+base rules. Classes of under ``least_docs`` documents take the band of their language over all sizes, if that has as many.
 
 Cases: null or empty text has no words, fails the base rules and has null measures; short documents of under
 ``least_tokens`` tokens are judged by the base rules only; ties and repeated rows each count; an empty table gives an
@@ -134,13 +134,18 @@ def measures(docs: DataFrame, vocab: str | None = None) -> DataFrame:
 
 
 def size_class() -> Column:
-    return F.floor(F.log2("n_tokens")).cast("int")
+    return F.floor(F.log2("n_words")).cast("int")
+
+
+ALL_SIZES = -1
 
 
 def bands(rows: DataFrame, width: float = 4.0, least_tokens: int = 50, least_docs: int = 30) -> DataFrame:
-    """Rejection bands: group, size, then low and high of each measure, from exact quartiles of values rounded to 0.001."""
-    long = rows.where(F.col("n_tokens") >= least_tokens).select("group", size_class().alias("size"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 3).alias("x")) for m in MEASURES])).alias("m"))
-    counts = long.groupBy("group", "size", "m.measure", "m.x").agg(F.count("*").alias("n"))
+    """Rejection bands: group, size (ALL_SIZES for a whole group), then low and high of each measure, from exact quartiles of values rounded to 0.001."""
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 3).alias("x")) for m in MEASURES])
+    each = rows.where(F.col("n_tokens") >= least_tokens).select("group", size_class().alias("size"), F.explode(values).alias("m"))
+    counts = each.groupBy("group", "size", "m.measure", "m.x").agg(F.count("*").alias("n"))
+    counts = counts.unionByName(counts.groupBy("group", F.lit(ALL_SIZES).alias("size"), "measure", "x").agg(F.sum("n").alias("n")))
     q = F.expr("percentile(x, array(0.25, 0.75), n)")
     quartiles = counts.groupBy("group", "size", "measure").agg(q.alias("q"), F.sum("n").alias("docs")).where(F.col("docs") >= least_docs)
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01))
@@ -151,11 +156,15 @@ def bands(rows: DataFrame, width: float = 4.0, least_tokens: int = 50, least_doc
 def judge(docs: DataFrame, width: float = 4.0, least_tokens: int = 50, least_docs: int = 30) -> DataFrame:
     """Per document: the base counts, base_failed, the measures and kept."""
     rows = materialise(measures(docs), "fertility")
-    limits = bands(rows, width, least_tokens, least_docs).withColumnRenamed("group", "g").withColumnRenamed("size", "s")
+    limits = bands(rows, width, least_tokens, least_docs)
+    ends = [f"{m}_{e}" for m in MEASURES for e in ("low", "high")]
+    of_size = limits.where(F.col("size") != ALL_SIZES).select(F.col("group").alias("g"), F.col("size").alias("s"), *ends)
+    of_all = limits.where(F.col("size") == ALL_SIZES).select(F.col("group").alias("h"), *(F.col(e).alias(f"all_{e}") for e in ends))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     inside = F.lit(True)
     for m in MEASURES:
-        inside &= F.coalesce(F.col(m).between(F.col(f"{m}_low") - 0.001, F.col(f"{m}_high") + 0.001), F.lit(True))
-    out = rows.join(limits, (F.col("group") == F.col("g")) & (size_class() == F.col("s")), "left")
+        low, high = (F.coalesce(f"{m}_{e}", f"all_{m}_{e}") for e in ("low", "high"))
+        inside &= F.coalesce(F.col(m).between(low - 0.001, high + 0.001), F.lit(True))
+    out = rows.join(of_size, (F.col("group") == F.col("g")) & (size_class() == F.col("s")), "left").join(of_all, F.col("group") == F.col("h"), "left")
     kept = ~failed & ((F.col("n_tokens") < least_tokens) | inside)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "n_tokens", *MEASURES)

@@ -81,7 +81,7 @@ def labelled(spark, n=300):
 
 
 def test_languages(spark):
-    docs = labelled(spark).unionByName(documents(spark, {1000: None, 1001: "", 1002: "12 34 !!", 1003: " ".join(LANGS["aa"] * 12 + LANGS["bb"] * 4)}))
+    docs = labelled(spark).unionByName(documents(spark, {1000: None, 1001: "", 1002: "12 34 !!", 1003: " ".join(LANGS["aa"] * 12 + LANGS["bb"] * 4)}).withColumn("lang", F.lit(None).cast("string")))
     got = by_id(identify_languages(docs), "lang_pred", "score", "held_out", "n_langs")
     assert all(got[i][0] == ("aa" if i % 2 else "bb") for i in range(300)) and {h for _, _, h, _ in got.values()} == {True, False}
     assert [got[i][:2] for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
