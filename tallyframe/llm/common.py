@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 import zlib
@@ -59,3 +62,27 @@ def tasks_for(df: DataFrame, mb_each: float = 16.0, least: int = 8) -> int:
 def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """df, of one or two numbers a row, marked for broadcast if a count shows that it has at most most_rows rows."""
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def tidied(run):
+    """A function of Arrow batches that hands the memory it freed back to the system when it ends: Python workers live on."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
+def in_small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Long texts: fewer rows in each Arrow batch than Spark's default, if the session left it at that."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc, materialise, tasks_for
+from .common import crc, in_small_batches, materialise, tasks_for, tidied
 from .tokens import encoder, vocabulary
 
 MAGIC = b"TFDAC1\0\0"
@@ -115,9 +115,10 @@ def write_segments(docs: DataFrame, vocab: str | None = None, kind: str = "word"
         if raw:
             yield segment()
 
+    in_small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(tasks_for(rows, 6), "doc_id").sortWithinPartitions("doc_id")
-    return materialise(rows.mapInArrow(encode, SEGMENT), "dac")
+    return materialise(rows.mapInArrow(tidied(encode), SEGMENT), "dac")
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(np.subtract(ends, starts), pa.int64()), pa.array(sums, pa.int64())], schema=pa.schema(fields))
 
-    each = segments.mapInArrow(decode, "part int, seq int, doc_id bigint, inner bigint, n_tokens bigint, ids_crc32 bigint")
+    each = segments.mapInArrow(tidied(decode), "part int, seq int, doc_id bigint, inner bigint, n_tokens bigint, ids_crc32 bigint")
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each writing task
     parts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     starts = segments.select("part", "seq", "n_tokens").withColumn("seq_start", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_small_batches, materialise, tidied
 from .tokens import vocabulary
 from .words import WORD, WordTable
 
@@ -129,8 +129,9 @@ def measures(docs: DataFrame, vocab: str | None = None) -> DataFrame:
                     out.append((doc_id, lang if lang is not None else script_of(text), len(ws), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(ws), n, *fertility))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), _FIELDS)], schema=pa.schema(_FIELDS))
 
+    in_small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return rows.mapInArrow(run, _SPARK)
+    return rows.mapInArrow(tidied(run), _SPARK)
 
 
 def size_class() -> Column:

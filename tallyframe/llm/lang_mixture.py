@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, in_small_batches, tidied
 from .words import WORD, WordTable, joined_bytes
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -53,7 +53,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         total = sum(np.frombuffer(x, dtype=np.int64) for x in pdf["counts"])
         return pd.DataFrame({"lang": [pdf["lang"][0]], "counts": [total.tobytes()]})
 
-    partial = docs.select("text", "lang").mapInArrow(count, "lang string, counts binary")
+    partial = docs.select("text", "lang").mapInArrow(tidied(count), "lang string, counts binary")
     return partial.groupBy("lang").applyInPandas(add, "lang string, counts binary")
 
 
@@ -120,7 +120,7 @@ def predictor(model: tuple[list[str], np.ndarray], block_words: int = 8):
         grams, starts = _trigrams(words)
         return np.add.reduceat(logp[grams[: starts[-1] + len(words[-1].lower().encode("utf-8", "surrogatepass"))]], starts).astype(np.float32)
 
-    table = WordTable(rows_of)
+    table = WordTable(rows_of, 250_000)
 
     def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         n = len(texts)
@@ -157,11 +157,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(size)], names=["doc_id", "held_out", "lang_pred", "score", "n_langs"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold_of(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, n_langs bigint")
+    return rows.mapInArrow(tidied(run), "doc_id bigint, held_out boolean, lang_pred string, score double, n_langs bigint")
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
     """The documents, all columns, whose text has a language that makes up least_score of it or more."""
+    in_small_batches(docs.sparkSession)
     model, place = train(docs), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +173,10 @@ def keep_identified(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
                 pred, score, _ = predict(some.column(place).to_pylist())
                 yield some.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
     """Trains on the labelled documents outside fold 0 and predicts for every document."""
+    in_small_batches(docs.sparkSession)
     return identify(docs, train(docs))

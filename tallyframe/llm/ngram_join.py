@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, small, tasks_for
+from .common import discard, in_small_batches, materialise, small, tasks_for, tidied
 from .components import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -49,7 +49,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of shingle hashes, with a bounded cache of word hashes."""
 
-    def __init__(self, size: int = 5, most: int = 400_000):
+    def __init__(self, size: int = 5, most: int = 200_000):
         self.size, self.most, self.known = size, most, {}
 
     def set_of(self, text: str | None) -> np.ndarray:
@@ -117,8 +117,8 @@ _SIZES, _TOKENS, _MANY, _OWN, _SHARED, _HOT = range(6)
 def _batches_of_sets(batches, from_text: bool, size: int):
     shingler = Shingler(size)
     for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            some = batch.slice(a, 2000)
+        for a in range(0, batch.num_rows, 1000):
+            some = batch.slice(a, 1000)
             ids, values = np.array(some.column(0).to_pylist(), dtype=np.int64), some.column(1).to_pylist()
             yield ids, [shingler.set_of(x) if from_text else np.frombuffer(x, dtype=np.uint64) for x in values]
 
@@ -167,7 +167,7 @@ def sizes_and_own(docs: DataFrame, buckets: int, size: int) -> DataFrame:
         total = np.bincount(np.searchsorted(uniq, owner), weights=own, minlength=len(uniq)).astype(np.int64)
         return pd.DataFrame({"doc_id": ids, "n": n, "own": total[at]})
 
-    counted = docs.select("doc_id", "text").mapInArrow(send, _PACKED).groupBy("bucket").applyInPandas(count, _PACKED)
+    counted = docs.select("doc_id", "text").mapInArrow(tidied(send), _PACKED).groupBy("bucket").applyInPandas(count, _PACKED)
     return counted.groupBy("bucket").applyInPandas(add, "doc_id bigint, n bigint, own bigint")
 
 
@@ -251,7 +251,7 @@ def star_links(sets: DataFrame, buckets: int, percent: int, most: int = 32) -> D
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    counted = sets.select("doc_id", "tokens").mapInArrow(send, _PACKED).groupBy("bucket").applyInPandas(count, _PACKED)
+    counted = sets.select("doc_id", "tokens").mapInArrow(tidied(send), _PACKED).groupBy("bucket").applyInPandas(count, _PACKED)
     listed = counted.groupBy("bucket").applyInPandas(prefixes, _PACKED)
     return listed.groupBy("bucket").applyInPandas(stars, "a bigint, b bigint")
 
@@ -325,6 +325,7 @@ def verified_links(sets: DataFrame, groups: DataFrame, percent: int, block: int
 def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    in_small_batches(docs.sparkSession)
     buckets = tasks_for(rows, 6, 16)
     stats = materialise(sizes_and_own(rows.where("doc_id is not null"), buckets, size), "sizes")
     near = stats.where((F.col("n") > 0) & (F.col("own") < F.expr(f"n - ceil(n * {percent} / 100.0d) + 1"))).select(F.col("doc_id").alias("d")).distinct()
@@ -336,7 +337,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
             sets = [shingler.set_of(x).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "tokens"])
 
-    sets = materialise(rows.join(near, F.col("doc_id") == F.col("d"), "left_semi").mapInArrow(build, "doc_id bigint, digest binary, tokens binary"), "sets")
+    sets = materialise(rows.join(near, F.col("doc_id") == F.col("d"), "left_semi").mapInArrow(tidied(build), "doc_id bigint, digest binary, tokens binary"), "sets")
     least = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = materialise(sets.select("doc_id", F.col("digest").alias("g")).join(least, F.col("g") == F.col("digest")).select("doc_id", "rep").distinct(), "members")
     firsts = materialise(sets.join(small(member.where("doc_id = rep").select("rep")), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "tokens").dropDuplicates(["doc_id"]), "firsts")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc, materialise
+from .common import crc, in_small_batches, materialise, tidied
 from .tokens import encoder, vocabulary
 
 PIECE = "part int, class int, local bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -112,8 +112,9 @@ def pieces_of(docs: DataFrame, vocab: str, capacity: int, grain: int, end_id: in
                         seen[k] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
 
+    in_small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, PIECE)
+    return rows.mapInArrow(tidied(cut), PIECE)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, grain: int = 8, end_id: int = 1, vocab: str | None = None) -> DataFrame:

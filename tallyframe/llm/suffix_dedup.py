@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt_merge import repeated_starts
-from .common import materialise, tasks_for
+from .common import in_small_batches, materialise, tasks_for, tidied
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1 << 19
@@ -171,7 +171,7 @@ def find_contexts(rows: DataFrame, buckets: int, length: int, gram: int) -> Data
         if texts:
             yield emit(keys, bases, texts)
 
-    return rows.select("key", "text").mapInArrow(run, _PACKED)
+    return rows.select("key", "text").mapInArrow(tidied(run), _PACKED)
 
 
 def decide(packed: DataFrame, buckets: int, most: int) -> DataFrame:
@@ -288,13 +288,14 @@ def compare(rows: DataFrame, open_: DataFrame, parts: int, buckets: int, length:
         found = np.concatenate(spans)
         return pd.DataFrame(_packed(_SPAN, _to(found["key"], buckets), found), columns=_COLUMNS)
 
-    return held.mapInArrow(cut, _PACKED).groupBy("bucket").applyInPandas(run, _PACKED)
+    return held.mapInArrow(tidied(cut), _PACKED).groupBy("bucket").applyInPandas(run, _PACKED)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 48, part_bytes: int = 3_000_000, most: int = 4000) -> tuple[DataFrame, DataFrame]:
     """The rows with _key and _text, and per _span_key the byte runs to remove, packed as _SPAN_T in _spans."""
     rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_key", F.xxhash64("doc_id", "_text"))
     narrow = rows.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
+    in_small_batches(docs.sparkSession)
     buckets = tasks_for(narrow, 6, 16)
     decided = materialise(decide(find_contexts(narrow, buckets, length, gram), buckets, most), "contexts")
     size = decided.where(f"kind = {_OPEN}").agg(F.sum(F.length("rows"))).first()[0] or 0
@@ -333,7 +334,7 @@ def digest_removed(docs: DataFrame, **how) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(sums, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     both = rows.join(spans, F.col("_key") == F.col("_span_key"), "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), "_text", "_spans")
-    return both.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return both.mapInArrow(tidied(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, **how) -> DataFrame:
