@@ -338,7 +338,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "tokens"])
 
     sets = materialise(rows.join(near, F.col("doc_id") == F.col("d"), "left_semi").mapInArrow(tidied(build), "doc_id bigint, digest binary, tokens binary"), "sets")
-    least = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    least = small(materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "least"))
     member = materialise(sets.select("doc_id", F.col("digest").alias("g")).join(least, F.col("g") == F.col("digest")).select("doc_id", "rep").distinct(), "members")
     firsts = materialise(sets.join(small(member.where("doc_id = rep").select("rep")), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "tokens").dropDuplicates(["doc_id"]), "firsts")
     discard(sets)
