@@ -24,14 +24,14 @@ class Words:
         sizes = np.array([len(s) for s in strings], dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         n = np.maximum(sizes - WORD + 1, 0)
-        self.owner = np.repeat(np.arange(len(strings)), n)
-        self.at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # the byte in its string
-        self.left = np.repeat(n, n) - self.at  # places up to the last one with a whole word
+        self.owner = np.repeat(np.arange(len(strings), dtype=np.int32), n)
+        self.at = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)  # the byte in its string
+        self.left = np.repeat(n.astype(np.int32), n) - self.at  # places up to the last one with a whole word
         place = starts[self.owner] + self.at
         word = np.zeros(len(place), dtype=np.uint64)
         for k in range(WORD):
             word = word << np.uint64(8) | buffer[place + k]
-        self.name = np.unique(word, return_inverse=True)[1].astype(np.int64) + 1
+        self.name = np.unique(word, return_inverse=True)[1].astype(np.int32) + 1
 
 
 class Shard:
@@ -44,7 +44,7 @@ class Shard:
     def __init__(self, words: Words, a: int, b: int, depth: int):
         name, left = words.name[a:b], words.left[a:b]
         n = b - a
-        rank, have = np.append(name, 0), 1
+        rank, have = np.append(name, 0).astype(np.int64), 1
         while have < depth:
             step = min(have, depth - have)
             after = np.where(left > WORD * step, np.arange(n) + WORD * step, n)
@@ -52,7 +52,7 @@ class Shard:
             rank = np.append(np.unique(key, return_inverse=True)[1] + 1, 0)
             have += step
         order = np.argsort(rank[:n], kind="stable")
-        self.suffix = order + a
+        self.suffix = (order + a).astype(np.int32)
         at = words.at[a:b]
         ends = np.flatnonzero(left <= WORD)  # the last words: each is before an end of string
         before = np.where(at >= WORD, name[np.maximum(np.arange(n) - WORD, 0)], 0)
@@ -71,7 +71,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
     classes = [np.zeros(n, dtype=np.int64) for n in sizes]
     order, count = np.arange(total), 0
     for k in range(depth):
-        keys = np.concatenate([s.first << np.int64(32) | np.concatenate([np.zeros(s.ends, np.int64), c])[s.source] for s, c in zip(shards, classes)]) if total else np.zeros(0, np.int64)
+        keys = np.concatenate([s.first.astype(np.int64) << np.int64(32) | np.concatenate([np.zeros(s.ends, np.int64), c])[s.source] for s, c in zip(shards, classes)]) if total else np.zeros(0, np.int64)
         order = np.argsort(keys, kind="stable")  # merges one sorted run for each shard
         sorted_keys = keys[order]
         edge = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])[:total]

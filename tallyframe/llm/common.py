@@ -64,19 +64,36 @@ def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def hand_back() -> None:
+    """Gives freed memory back to the system, since Python workers live on from stage to stage."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidied(run):
-    """A function of Arrow batches that hands the memory it freed back to the system when it ends: Python workers live on."""
+    """A function of Arrow batches that hands back its memory when it ends."""
 
     @functools.wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            hand_back()
+
+    return wrapped
+
+
+def tidied_group(run):
+    """The same for a function of one group's pandas frame."""
+
+    @functools.wraps(run)
+    def wrapped(pdf):
+        out = run(pdf)
+        hand_back()
+        return out
 
     return wrapped
 

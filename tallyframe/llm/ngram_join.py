@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_small_batches, materialise, small, tasks_for, tidied
+from .common import discard, in_small_batches, materialise, small, tasks_for, tidied, tidied_group
 from .components import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -167,7 +167,7 @@ def sizes_and_own(docs: DataFrame, buckets: int, size: int) -> DataFrame:
         total = np.bincount(np.searchsorted(uniq, owner), weights=own, minlength=len(uniq)).astype(np.int64)
         return pd.DataFrame({"doc_id": ids, "n": n, "own": total[at]})
 
-    counted = docs.select("doc_id", "text").mapInArrow(tidied(send), _PACKED).groupBy("bucket").applyInPandas(count, _PACKED)
+    counted = docs.select("doc_id", "text").mapInArrow(tidied(send), _PACKED).groupBy("bucket").applyInPandas(tidied_group(count), _PACKED)
     return counted.groupBy("bucket").applyInPandas(add, "doc_id bigint, n bigint, own bigint")
 
 
@@ -251,8 +251,8 @@ def star_links(sets: DataFrame, buckets: int, percent: int, most: int = 32) -> D
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    counted = sets.select("doc_id", "tokens").mapInArrow(tidied(send), _PACKED).groupBy("bucket").applyInPandas(count, _PACKED)
-    listed = counted.groupBy("bucket").applyInPandas(prefixes, _PACKED)
+    counted = sets.select("doc_id", "tokens").mapInArrow(tidied(send), _PACKED).groupBy("bucket").applyInPandas(tidied_group(count), _PACKED)
+    listed = counted.groupBy("bucket").applyInPandas(tidied_group(prefixes), _PACKED)
     return listed.groupBy("bucket").applyInPandas(stars, "a bigint, b bigint")
 
 

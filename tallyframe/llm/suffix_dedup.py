@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt_merge import repeated_starts
-from .common import in_small_batches, materialise, tasks_for, tidied
+from .common import hand_back, in_small_batches, materialise, tasks_for, tidied
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1 << 19
@@ -286,12 +286,14 @@ def compare(rows: DataFrame, open_: DataFrame, parts: int, buckets: int, length:
             x["key"], x["lo"], x["hi"] = w["key"], w["lo"], w["lo"]
             spans.append(x)
         found = np.concatenate(spans)
+        del raws, c, starts
+        hand_back()
         return pd.DataFrame(_packed(_SPAN, _to(found["key"], buckets), found), columns=_COLUMNS)
 
     return held.mapInArrow(tidied(cut), _PACKED).groupBy("bucket").applyInPandas(run, _PACKED)
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 48, part_bytes: int = 3_000_000, most: int = 4000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 48, part_bytes: int = 1_000_000, most: int = 4000) -> tuple[DataFrame, DataFrame]:
     """The rows with _key and _text, and per _span_key the byte runs to remove, packed as _SPAN_T in _spans."""
     rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_key", F.xxhash64("doc_id", "_text"))
     narrow = rows.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
