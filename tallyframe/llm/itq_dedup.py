@@ -3,7 +3,10 @@
 A rotation of the centred, PCA-projected vectors is learned on a bounded sample so that the signs of the rotated
 coordinates make balanced binary codes. Each table takes some of a code's bits; vectors with the same label that agree
 on all bits of a table meet in its bucket, where pairs within a Hamming radius are compared by the original vectors.
-A pair counts in the first of its tables only. Buckets over ``block`` vectors are cut into blocks and compared in
+The tables
+are as many as it takes for a pair at the threshold to share one with probability ``recall``, measured on pairs planted
+in the sample, and their width is the one of least estimated work for the counted groups, so that recall does not
+depend on the size. A pair counts in the first of its tables only. Buckets over ``block`` vectors are cut into blocks and compared in
 pairs of blocks, so nothing is capped; each task gives back counts and a star for each connected part, never pairs.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or vec_id,
@@ -59,6 +62,45 @@ def table_masks(bits: int, width: int, tables: int, seed: int = 9) -> list[int]:
     return out[:tables]
 
 
+def planted_differences(x: np.ndarray, model: tuple[np.ndarray, np.ndarray], least: float, pairs: int = 4000, seed: int = 7) -> list[np.ndarray]:
+    """Differing code bits (pair, bit) of pairs at cosine ``least``: isotropic ones, and ones along differences of x."""
+    r, out = np.random.default_rng(seed), []
+    one = x[r.integers(0, len(x), pairs)]
+    for kind in ("isotropic", "data"):
+        side = r.normal(size=one.shape)
+        if kind == "data":
+            side = x[r.integers(0, len(x), pairs)] - x[r.integers(0, len(x), pairs)] + 1e-6 * side
+        side -= (side * one).sum(1, keepdims=True) * one
+        side /= np.maximum(np.sqrt((side * side).sum(1, keepdims=True)), 1e-300)
+        two = least * one + np.sqrt(max(0.0, 1 - least * least)) * side
+        out.append((one @ model[0] >= model[1]) != (two @ model[0] >= model[1]))
+    return out
+
+
+def tables_needed(differ: list[np.ndarray], width: int, recall: float, tables: int, most: int = 1024) -> list[int] | None:
+    """The masks of the fewest tables, ``tables`` or more, that ``recall`` of each kind of planted pairs share one of; None over ``most``."""
+    if width == 0:
+        return [0]  # one bucket for all
+    masks = table_masks(differ[0].shape[1], width, most)
+    bits = np.array([[m >> b & 1 for b in range(differ[0].shape[1])] for m in masks], dtype=np.float32)
+    first = [np.where((miss := d.astype(np.float32) @ bits.T == 0).any(1), miss.argmax(1), most) for d in differ]
+    need = max(int(np.sort(f)[int(np.ceil(recall * len(f))) - 1]) + 1 for f in first)
+    return masks[: max(need, tables)] if need <= most else None
+
+
+def plan_tables(x: np.ndarray, model: tuple[np.ndarray, np.ndarray], least: float, recall: float, tables: int, largest: int, width: int | None = None, row_cost: float = 2000.0) -> list[int]:
+    """The tables' masks, of the width from 8 to 16 (if not given) with the least work; row_cost: a row's cost in comparisons.
+
+    Where no number of tables of these widths has the recall (few bits), tables are narrower.
+    """
+    differ, bits = planted_differences(x, model, least), model[0].shape[1]
+    widths = range(8, min(16, bits) + 1) if width is None else [min(width, bits)]
+    plans = [(w, m) for w in widths if (m := tables_needed(differ, w, recall, tables)) is not None]
+    if plans:
+        return min(plans, key=lambda p: len(p[1]) * (row_cost + largest / 2.0 ** p[0]))[1]
+    return next(m for w in range(min([*widths, bits]), -1, -1) if (m := tables_needed(differ, w, recall, tables)) is not None)
+
+
 def valid_vectors(rows: DataFrame) -> DataFrame:
     """vec_id, label, dim, digest, vector (little-endian numbers) of the rows that can link."""
     kind = "<f4" if isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
@@ -85,7 +127,7 @@ def unit(raws, kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def near_classes(embeddings: DataFrame, least: float = 0.93, sample: int = 5000, bits: int = 64, tables: int = 12, radius: int = 24, bucket: int = 32, block: int = 512) -> DataFrame:
+def near_classes(embeddings: DataFrame, least: float = 0.93, sample: int = 5000, bits: int = 64, tables: int = 12, radius: int = 24, block: int = 512, recall: float = 0.995, width: int | None = None) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), "embedding")
     kind = "<f4" if isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
@@ -93,12 +135,12 @@ def near_classes(embeddings: DataFrame, least: float = 0.93, sample: int = 5000,
     groups = valid.groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     groups = materialise(groups, "distinct-vectors")
     some = groups.orderBy(F.xxhash64("rep", F.lit(5))).limit(sample).select("dim", "vector").collect()  # a bounded sample
-    models = {}
-    for d in {r["dim"] for r in some}:
-        models[d] = train_rotation(unit([r["vector"] for r in some if r["dim"] == d], kind), bits)
+    models, masks = {}, {}
     largest = groups.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
-    width = int(np.clip(np.ceil(np.log2(largest / bucket)), 8, 16))
-    masks = {d: table_masks(m[0].shape[1], min(width, m[0].shape[1]), tables) for d, m in models.items()}
+    for d in {r["dim"] for r in some}:
+        x = unit([r["vector"] for r in some if r["dim"] == d], kind)
+        models[d] = train_rotation(x, bits)
+        masks[d] = plan_tables(x, models[d], least, recall, tables, largest, width)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +149,7 @@ def near_classes(embeddings: DataFrame, least: float = 0.93, sample: int = 5000,
             for d in np.unique(dims):
                 here = np.flatnonzero(dims == d)
                 code[here] = codes_of(unit([raws[i] for i in here], kind), models.get(int(d)))
-            keys = [[int(np.int64(np.uint64(c & np.uint64(m)))) if m < 1 << 63 else int(np.uint64(c & np.uint64(m)).view(np.int64)) for m in masks.get(int(d), [0])] for c, d in zip(code, dims)]
+            keys = [(c & np.array(masks.get(int(d), [0]), dtype=np.uint64)).view(np.int64) for c, d in zip(code, dims)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 3, 4)), pa.array(code.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["label", "dim", "rep", "weight", "vector", "code", "keys"])
 
     coded = groups.select("label", "dim", "rep", "weight", "vector").mapInArrow(encode, "label bigint, dim int, rep bigint, weight bigint, vector binary, code bigint, keys array<bigint>")

@@ -155,3 +155,28 @@ def test_rotation_balances_the_codes():
     assert (np.abs(on - 0.5) < 0.02).all()
     masks = table_masks(64, 12, 12)
     assert len(masks) == 12 and all(m.bit_count() == 12 for m in masks) and sum(masks[:5]).bit_count() == 60
+
+
+def test_recall_does_not_fall_with_wider_tables(spark):
+    r = np.random.default_rng(12)
+    one, side = r.normal(size=(600, 64)), r.normal(size=(600, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    side -= (side * one).sum(1, keepdims=True) * one
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = r.uniform(0.931, 0.935, size=(600, 1))
+    two = c * one + np.sqrt(1 - c * c) * side
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([one, two]))], "vec_id bigint, embedding array<double>, label int")
+    for width in (12, 16):
+        got = {a["vec_id"]: a["component_id"] for a in near_classes(df, width=width).collect()}
+        assert sum(got[600 + i] == i for i in range(600)) >= 0.98 * 600
+
+
+def test_more_tables_for_more_vectors():
+    from tallyframe.llm.itq_dedup import plan_tables
+
+    x = np.random.default_rng(4).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = train_rotation(x, 64)
+    few, many = (plan_tables(x, model, 0.93, 0.995, 12, n) for n in (200, 10**8))
+    assert few[0].bit_count() == 8 < many[0].bit_count() and len(many) > len(few) >= 12
+    assert plan_tables(x[:, :2], train_rotation(x[:, :2], 2), 0.93, 0.995, 12, 10)
