@@ -6,7 +6,7 @@ article or main element where the page has one. Weights are summed over sliding
 each surge (the sum passes the threshold) to the dive that follows (it falls back), without the lines of weight 0.
 
 Cases: null or empty html, and a page without a line of weight, give an empty text; unclosed and cut-off markup ends
-with the page; repeated pages get the same answer; an empty table gives an empty result; a null url stays null; other
+with the page, except that list items, table parts and paragraphs end where the next one begins; repeated pages get the same answer; an empty table gives an empty result; a null url stays null; other
 columns are ignored.
 """
 
@@ -29,6 +29,17 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _NOISE = frozenset("nav aside footer form menu dialog button head".split())
 _MAIN = frozenset("article main".split())
 _NOISE_WORD = re.compile(r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|side-?bar|footer|header|masthead|ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|cookies?|consent|gdpr|notice|popup|modal|overlay|comments?|disqus|replies|respond|share|social|related|recommended|breadcrumbs?|subscribe|newsletter|login|signup|search|pagination|pager|widget|toolbar|skip)(?=$|[\s_-])", re.I)
+#: Elements whose end tag may be left out: what a start tag ends, and what shields an open one from it.
+_SECTIONS = frozenset("article main section aside nav header footer form body table".split())
+_IMPLIED = [
+    (frozenset(["li"]), _SECTIONS | {"ul", "ol", "menu", "dir", "td", "th"}),
+    (frozenset(["dt", "dd"]), _SECTIONS | {"dl", "td", "th"}),
+    (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    (frozenset(["tr"]), frozenset(["table", "thead", "tbody", "tfoot"])),
+    (frozenset(["thead", "tbody", "tfoot"]), frozenset(["table"])),
+]
+_ENDS = {name: k for k, (items, _) in enumerate(_IMPLIED) for name in items}
+_TRACKED = {name: [(k, name in items) for k, (items, shields) in enumerate(_IMPLIED) if name in items or name in shields] for name in {n for i, s in _IMPLIED for n in i | s}}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
@@ -51,6 +62,8 @@ def lines_of(html: str) -> tuple[list[str], list[int], bool]:
     weights: list[int] = []
     flags: list[bool] = []
     stack: list[tuple[str, bool, bool]] = []  # open block elements: name, is noise, is main
+    n_open: dict[str, int] = {}  # how many of each name are in the stack
+    tracked: list[list[tuple[int, bool]]] = [[] for _ in _IMPLIED]  # places of items and shields in the stack, and whether it is an item
     text: list[str] = []
     noise = main = in_link = linked = 0
     any_main = False
@@ -66,6 +79,15 @@ def lines_of(html: str) -> tuple[list[str], list[int], bool]:
             text.clear()
         linked = 0
 
+    def close() -> str:
+        nonlocal noise, main
+        name, was_noise, was_main = stack.pop()
+        noise, main = noise - was_noise, main - was_main
+        n_open[name] -= 1
+        for k, _ in _TRACKED.get(name, ()):
+            tracked[k].pop()
+        return name
+
     at = 0
     for m in _TOKEN.finditer(html):
         if m.start() > at:
@@ -87,18 +109,22 @@ def lines_of(html: str) -> tuple[list[str], list[int], bool]:
             if name in _VOID:
                 continue
             if not m["end"]:
+                if name == "p":
+                    if stack and stack[-1][0] == "p":
+                        close()
+                elif name in _ENDS and (places := tracked[_ENDS[name]]) and places[-1][1]:
+                    for _ in range(len(stack) - places[-1][0]):
+                        close()
                 is_noise, is_main = _is_noise(name, m["rest"], main > 0), name in _MAIN
+                for k, is_item in _TRACKED.get(name, ()):
+                    tracked[k].append((len(stack), is_item))
                 stack.append((name, is_noise, is_main))
+                n_open[name] = n_open.get(name, 0) + 1
                 noise, main = noise + is_noise, main + is_main
                 any_main |= is_main and not noise
-                if name == "p" and len(stack) > 1 and stack[-2][0] == "p":
-                    stack.pop(-2)
-            elif any(name == s[0] for s in stack[-64:]):
-                while True:
-                    n, was_noise, was_main = stack.pop()
-                    noise, main = noise - was_noise, main - was_main
-                    if n == name:
-                        break
+            elif n_open.get(name):
+                while close() != name:
+                    pass
     if at < len(html):
         text.append(html[at:])
     end_line()

@@ -27,6 +27,12 @@ def test_page_without_an_article():
     assert main_text(page) == " ".join(f"{'long text of the story ' * 6}{k}" for k in range(5))
 
 
+def test_unclosed_items_end_with_their_container():
+    for items in ("<ul>" + "<li>menu" * 100 + "</ul>", "<table>" + "<tr><td>x<td>y" * 100 + "</table>", "<dl>" + "<dt>x<dd>y" * 100 + "</dl>", "<div>" * 100):
+        assert main_text(f"<body><nav>{items}</nav><article><p>The story</p></article></body>") == "The story"
+    assert main_text("<article><ul><li class=ad>Buy<li>one<ul><li>two</ul><li>three</ul><p class=ad>Buy<p>four</article>") == "one two three four"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 3), (1, "u", PAGE, 3), (2, None, None, 3), (None, "v", "", 3)], "page_id bigint, url string, html string, text int")
     got = extract(df).collect()
