@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. A line's weight is its text's length, links not counted,
-and 0 in navigation, headers and footers of the page, sidebars, notices, adverts, forms and comments, and outside the
-article or main element where the page has one. Weights are summed over sliding windows of lines; text is kept from
-each surge (the sum passes the threshold) to the dive that follows (it falls back), without the lines of weight 0.
+and 0 in navigation, headers and footers of the page, sidebars, notices, adverts, forms and comments. Where the page
+has an article or main element, a line in it weighs ``BONUS`` more and one outside 0. Weights are summed over sliding
+windows of lines; text is kept from each surge (the sum passes the threshold) to the dive that follows (it falls
+back), without the lines of weight 0. As the bonus is the highest threshold, the element decides where there is one.
 
 Cases: null or empty html, and a page without a line of weight, give an empty text; unclosed and cut-off markup ends
 with the page, except that list items, table parts and paragraphs end where the next one begins; repeated pages get the same answer; an empty table gives an empty result; a null url stays null; other
@@ -41,6 +42,8 @@ _IMPLIED = [
 _ENDS = {name: k for k, (items, _) in enumerate(_IMPLIED) for name in items}
 _TRACKED = {name: [(k, name in items) for k, (items, shields) in enumerate(_IMPLIED) if name in items or name in shields] for name in {n for i, s in _IMPLIED for n in i | s}}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: What an article or main element adds to a line's weight.
+BONUS = 80
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
@@ -56,8 +59,8 @@ def _is_noise(name: str, rest: str, in_main: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> tuple[list[str], list[int], bool]:
-    """The page's lines, their weights, and whether the page has an article or main element."""
+def lines_of(html: str) -> tuple[list[str], list[int]]:
+    """The page's lines and their weights."""
     lines: list[str] = []
     weights: list[int] = []
     flags: list[bool] = []
@@ -128,33 +131,32 @@ def lines_of(html: str) -> tuple[list[str], list[int], bool]:
     if at < len(html):
         text.append(html[at:])
     end_line()
-    return lines, [w if f or not any_main else 0 for w, f in zip(weights, flags)], any_main
+    if any_main:
+        weights = [w + BONUS * (w > 0) if f else 0 for w, f in zip(weights, flags)]
+    return lines, weights
 
 
-def kept_lines(weights: list[int], sure: bool, window: int = 3, share: float = 0.2, least: int = 80) -> np.ndarray:
-    """Which lines lie between a surge and its dive. sure: the page marks its article, so that any weight is a surge."""
+def kept_lines(weights: list[int], window: int = 3, share: float = 0.2, least: int = BONUS) -> np.ndarray:
+    """Which lines lie between a surge and its dive."""
     w = np.asarray(weights, dtype=np.int64)
     if not len(w) or not w.any():
         return np.zeros(len(w), dtype=bool)
-    if sure:
-        return w > 0
-    sums = np.convolve(w, np.ones(window, dtype=np.int64), "same")
+    total = np.concatenate([[0], np.cumsum(w)])
+    at = np.arange(len(w))
+    sums = total[np.minimum(at + window // 2 + 1, len(w))] - total[np.maximum(at - window // 2, 0)]
     high = sums > min(least, share * sums.max())
     edges = np.flatnonzero(np.diff(np.concatenate([[False], high, [False]])))
-    surges, dives = edges[::2], edges[1::2]
-    total = np.array([w[a:b].sum() for a, b in zip(surges, dives)])
     keep = np.zeros(len(w), dtype=bool)
-    for a, b, t in zip(surges, dives, total):
-        if t >= share * total.max():
-            keep[a:b] = True
+    for surge, dive in zip(edges[::2], edges[1::2]):
+        keep[surge:dive] = True
     return keep & (w > 0)
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    lines, weights, sure = lines_of(html)
-    return " ".join(x for x, k in zip(lines, kept_lines(weights, sure)) if k)
+    lines, weights = lines_of(html)
+    return " ".join(x for x, k in zip(lines, kept_lines(weights)) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -27,6 +27,20 @@ def test_page_without_an_article():
     assert main_text(page) == " ".join(f"{'long text of the story ' * 6}{k}" for k in range(5))
 
 
+def test_short_parts_and_the_search_on_every_page(monkeypatch):
+    import tallyframe.llm.html_blocks as h
+
+    long = "".join(f"<p>{'long text of the story ' * 9}{k}</p>" for k in range(9))
+    short = "A short part of the story that stands by itself, with a little over eighty letters in it."
+    gap = "<div class=ad>Buy</div>" * 5
+    assert main_text(f"<body><div>{long}</div>{gap}<p>{short}</p></body>").endswith(short)
+    assert main_text(f"<article>{long}{gap}<p>Yes.</p></article>").endswith(" Yes.")
+    asked, search = [], h.kept_lines
+    monkeypatch.setattr(h, "kept_lines", lambda w: asked.append(w) or search(w))
+    monkeypatch.setattr(h, "BONUS", 0)
+    assert not main_text(f"<article>{long}{gap}<p>Yes.</p></article>").endswith("Yes.") and asked  # the windows decide, by the weights
+
+
 def test_unclosed_items_end_with_their_container():
     for items in ("<ul>" + "<li>menu" * 100 + "</ul>", "<table>" + "<tr><td>x<td>y" * 100 + "</table>", "<dl>" + "<dt>x<dd>y" * 100 + "</dl>", "<div>" * 100):
         assert main_text(f"<body><nav>{items}</nav><article><p>The story</p></article></body>") == "The story"
