@@ -9,7 +9,9 @@ never read; a score is the logistic of the raw output less its language's thresh
 threshold.
 
 The classifier is fitted on at most ``most_toxic`` and ``most_clean`` labelled documents outside fold 0 (a bounded
-sample, chosen by a hash of the id); every document is scored, over its whole text.
+sample, chosen by a hash of the id). Thresholds are chosen on every labelled document outside fold 0 that was not
+fitted on, from counts by language and ``STEP`` of the raw output; a language with fewer than ``least_calibration``
+documents of either kind takes the threshold of all languages. Every document is scored, over its whole text.
 
 Cases: null or empty text gets the score of no words; without labels of both kinds every score is 0; a document with
 several labels counts as toxic if one says so; null labels are ignored; other columns are ignored.
@@ -32,6 +34,8 @@ from .words import WORD, WordTable
 
 WIDTHS, FILTERS, SIZE, BUCKETS, TOPS = (1, 2, 3), 12, 16, 1 << 17, 3
 STARTS = (3, 5, 7)
+#: The width of the bins of raw output that thresholds are chosen by.
+STEP = 1 / 64
 _OUTER = "\"'.,;:!?()[]{}<>#*$%&|"
 
 
@@ -131,18 +135,17 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_clean
     key = F.xxhash64("doc_id", F.lit(11))
     chosen = marks.where(F.col("toxic") == 1).orderBy(key).limit(most_toxic).union(marks.where(F.col("toxic") == 0).orderBy(key).limit(most_clean))
     got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), "doc_id").where("text is not null")  # at most most_toxic + most_clean ids
-    rows = got.select("text", "lang", "toxic").orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").collect()
+    rows = got.select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").collect()
     if len({r["toxic"] for r in rows}) < 2:
         return None
     known = got.where(F.col("lang").isNotNull())
     grams = sorted((r["lang"], np.frombuffer(r["counts"], dtype=np.int64)) for r in count_grams(known).collect())
     langs = np.stack([c for _, c in grams], axis=1) + 0.05 if grams else np.ones((GRAMS, 1))
     langs = np.log(langs / langs.sum(0)).astype(np.float32)
-    texts, guess = [], []
+    texts = []
     for r in rows:
         ws = WORD.findall(r["text"])
         texts.append(np.array([buckets_of(w) for w in ws], dtype=np.int32).reshape(-1, 1 + len(STARTS)))
-        guess.append(int(lang_rows(ws or ["x"], langs).sum(0).argmax()))
     y = np.array([r["toxic"] for r in rows], dtype=float)
     held = np.arange(len(y)) % 4 == 0
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
@@ -164,17 +167,43 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_clean
             r.shuffle(fit)
         some = fit[(s % -(-len(fit) // 32)) * 32 :][:32]
         net.step(*laid_out([texts[i] for i in some]), y[some], balance[some], 0.004 * (1 - s / steps) + 0.0002, 1e-4)
-    judged = np.flatnonzero(held) if held.any() else np.arange(len(y))
-    raw = np.concatenate([net.raw(net.taps((x := laid_out([texts[i] for i in judged[a : a + 64]]))[0]), x[1]) for a in range(0, len(judged), 64)])
-    prior = np.where(y > 0, n[1] / max(1, y.sum()), n[0] / max(1, (1 - y).sum()))[judged]
-    guess = np.array(guess)[judged]
-    common = threshold(raw, y[judged], prior)
-    cuts = np.full(langs.shape[1], common)
-    for k in range(len(cuts)):
-        here = guess == k
-        if min(y[judged][here].sum(), (1 - y[judged][here]).sum()) >= least_calibration:
-            cuts[k] = threshold(raw[here], y[judged][here], prior[here])
-    return {"net": net.p, "index": index, "langs": langs, "cuts": cuts}
+    model = {"net": net.p, "index": index, "langs": langs, "cuts": np.zeros(langs.shape[1])}
+    fitted = [int(rows[i]["doc_id"]) for i in np.flatnonzero(~held)] if held.any() else []
+    return model | {"cuts": cuts_of(calibration_counts(docs, marks, model, fitted), n, langs.shape[1], least_calibration)}
+
+
+def calibration_counts(docs: DataFrame, marks: DataFrame, model: dict, fitted: list[int]) -> np.ndarray:
+    """Language, bin of raw output, toxic, number of documents (rows): all marked documents but the fitted ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw_of = scorer(model, raw=True)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 80):
+                some = batch.slice(a, 80)
+                raw, lang = raw_of(some.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lang.astype(np.int32)), pa.array(np.floor(raw / STEP).astype(np.int64))], names=["toxic", "lang", "bin"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    if fitted:
+        spark = docs.sparkSession
+        marks = marks.join(F.broadcast(spark.createDataFrame([(i,) for i in fitted], "doc_id bigint")), "doc_id", "left_anti")
+    binned = texts.join(marks, "doc_id").select("toxic", "text").mapInArrow(tidied(run), "toxic int, lang int, bin bigint")
+    return np.array([tuple(r) for r in binned.groupBy("lang", "bin", "toxic").count().collect()], dtype=np.int64).reshape(-1, 4)
+
+
+def cuts_of(counts: np.ndarray, n: dict[int, int], n_langs: int, least_calibration: int) -> np.ndarray:
+    """Each language's threshold. n: all labelled documents of each kind, whose proportion the counts are weighted to."""
+    lang, at, y, count = counts.T
+    if len(set(y.tolist())) < 2:
+        return np.zeros(n_langs)
+    middle = (at + 0.5) * STEP
+    weight = count * np.where(y > 0, n[1] / count[y > 0].sum(), n[0] / count[y == 0].sum())
+    cuts = np.full(n_langs, threshold(middle, y, weight))
+    for k in range(n_langs):
+        here = lang == k
+        if min(count[here & (y > 0)].sum(), count[here & (y == 0)].sum()) >= least_calibration:
+            cuts[k] = threshold(middle[here], y[here], weight[here])
+    return cuts
 
 
 def lang_rows(words: list[str], langs: np.ndarray) -> np.ndarray:
@@ -183,8 +212,8 @@ def lang_rows(words: list[str], langs: np.ndarray) -> np.ndarray:
     return np.add.reduceat(langs[grams[: starts[-1] + len(words[-1].lower().encode("utf-8", "surrogatepass"))]], starts)
 
 
-def scorer(model: dict):
-    """A function of texts: their scores."""
+def scorer(model: dict, raw: bool = False):
+    """A function of texts: their scores, or (raw) their raw outputs and languages."""
     net = Cnn(1)
     net.p = model["net"]
     langs, n_taps, gap = model["langs"], sum(WIDTHS) * FILTERS, max(WIDTHS) + TOPS
@@ -197,7 +226,7 @@ def scorer(model: dict):
 
     known = WordTable(rows_of, 100_000)
 
-    def scores(texts: list[str | None]) -> np.ndarray:
+    def scores(texts: list[str | None]):
         words = [WORD.findall(t or "") for t in texts]
         at = known.look(words)
         counts = np.array([len(w) for w in words], dtype=np.int64)
@@ -209,8 +238,8 @@ def scorer(model: dict):
             x[np.arange(len(at)) + gap * np.repeat(np.arange(len(words)), counts)] = rows_here[:, :n_taps]
             full = counts > 0
             sums[full] = np.add.reduceat(rows_here[:, n_taps:], first[full])
-        raw = net.raw(x, first + gap * np.arange(len(words))) - model["cuts"][sums.argmax(1)]
-        return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
+        out, lang = net.raw(x, first + gap * np.arange(len(words))), sums.argmax(1)
+        return (out, lang) if raw else 1 / (1 + np.exp(-np.clip(out - model["cuts"][lang], -500, 500)))
 
     return scores
 

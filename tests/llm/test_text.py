@@ -128,3 +128,16 @@ def test_threshold_takes_the_middle_of_the_gap():
     import numpy as np
 
     assert threshold(np.array([3.0, 2.0, 0.0, -1.0]), np.array([1, 1, 0, 0]), np.ones(4)) == 1.0
+
+
+def test_thresholds_use_every_labelled_document(spark, monkeypatch):
+    import tallyframe.llm.toxicity_cnn as t
+
+    docs = labelled(spark, 400)
+    labels = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    seen, count = [], t.calibration_counts
+    monkeypatch.setattr(t, "calibration_counts", lambda *a: seen.append(count(*a)) or seen[0])
+    t.train(docs, labels, most_toxic=24, most_clean=40)
+    outside = labels.where(t.fold_of(F.col("doc_id")) != 0)
+    assert seen[0][:, 3].sum() == outside.count() - 48  # all but the fitted three of four of 64
+    assert set(seen[0][:, 0].tolist()) == {0, 1} and set(seen[0][:, 2].tolist()) == {0, 1}
