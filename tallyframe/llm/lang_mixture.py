@@ -3,7 +3,8 @@
 Byte trigrams inside words, counted for each language over a bounded sample of labelled training documents, give every
 word a log-likelihood under each language. Blocks of a few words are a document's observations; expectation-
 maximisation estimates the languages' proportions. Languages enter the document's set in order of proportion as long
-as the likelihood, refitted on the set, gains more than the penalty.
+as the likelihood, refitted on the set, gains more than the penalty (sets of two and three are always tried); the
+set may hold every language.
 
 Cases: a text that is null, empty or without a letter is ``und`` with score 0; with no training language all are
 ``und``; ties go to the alphabetically first language; repeated rows get the same answer; other columns are ignored.
@@ -12,6 +13,7 @@ Cases: a text that is null, empty or without a letter is ``und`` with score 0; w
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,13 @@ def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((x[:-2] * 65599 + x[1:-1]) * 65599 + x[2:] ^ x[1:-1] * 40503) % BUCKETS, starts
 
 
+def counts_in(packed: bytes) -> np.ndarray:
+    """One number for each bucket."""
+    return np.frombuffer(zlib.decompress(packed), dtype=np.int64)
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
-    """Trigram counts by language: lang, counts array<bigint> (one place for each bucket)."""
+    """Trigram counts by language: lang, counts (compressed, since most places are 0)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -45,29 +52,29 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     c = total.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                     np.add.at(c, grams, 1)
         for lang, c in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c.tobytes()])], names=["lang", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([zlib.compress(c.tobytes(), 1)])], names=["lang", "counts"])
 
     def add(pdf):
         import pandas as pd
 
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"lang": [pdf["lang"][0]], "counts": [total.tobytes()]})
+        total = sum(counts_in(x) for x in pdf["counts"])
+        return pd.DataFrame({"lang": [pdf["lang"][0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     partial = docs.select("text", "lang").mapInArrow(tidied(count), "lang string, counts binary")
     return partial.groupBy("lang").applyInPandas(add, "lang string, counts binary")
 
 
-def train(docs: DataFrame, sample: int = 6000, most_langs: int = 500) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, sample: int = 6000) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (bucket, language), from about ``sample`` labelled documents of folds 1 to 4."""
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where((fold_of(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    by_lang = rows.groupBy("lang").count().collect()
     if not by_lang:
         return [], np.zeros((BUCKETS, 0))
     each = max(1, sample // len(by_lang))
     step = F.create_map(*[F.lit(x) for r in by_lang for x in (r["lang"], max(1, r["count"] // each))])
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), step[F.col("lang")]) == 0)
-    got = sorted((r["lang"], np.frombuffer(r["counts"], dtype=np.int64)) for r in count_grams(chosen).collect())
+    got = sorted((r["lang"], counts_in(r["counts"])) for r in count_grams(chosen).collect())
     counts = np.stack([c for _, c in got], axis=1) + 0.05 if got else np.zeros((BUCKETS, 0))
     return [x for x, _ in got], np.log(counts / counts.sum(0)).astype(np.float32)
 
@@ -100,13 +107,20 @@ def choose(blocks: np.ndarray, weight: np.ndarray, start: np.ndarray, penalty: f
     cost = penalty * np.log(sizes + 1.0)
     chosen = np.ones(len(start), dtype=np.int64)
     best, value = np.full(len(start), -np.inf), mix
-    for j in range(1, min(3, mix.shape[1]) + 1):
-        few = np.where(np.repeat(rank, sizes, axis=0) < j, blocks, -np.inf)
-        part, like = fit_mixtures(few, weight, start, 1 if j == 1 else 10)
-        gain = like - cost * (j - 1)
-        better = gain > best
-        best, chosen = np.where(better, gain, best), np.where(better, j, chosen)
-        value = np.where(better[:, None], part, value)
+    growing = np.arange(len(start))  # documents whose last language gained
+    for j in range(1, mix.shape[1] + 1):
+        n = sizes[growing]
+        if not len(growing):
+            break
+        first = np.cumsum(n) - n
+        rows = np.repeat(start[growing] - first, n) + np.arange(n.sum())
+        few = np.where(np.repeat(rank[growing], n, axis=0) < j, blocks[rows], -np.inf)
+        part, like = fit_mixtures(few, weight[rows], first, 1 if j == 1 else 10)
+        gain = like - cost[growing] * (j - 1)
+        better = gain > best[growing]
+        # a second language may gain only together with a third, so a set of one is always tried with both
+        best[growing[better]], chosen[growing[better]], value[growing[better]] = gain[better], j, part[better]
+        growing = growing[better] if j > 2 else growing
     return value.argmax(1), value.max(1), chosen
 
 

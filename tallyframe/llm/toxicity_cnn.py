@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, in_small_batches, tidied
 from .lang_mixture import BUCKETS as GRAMS
-from .lang_mixture import _trigrams, count_grams
+from .lang_mixture import _trigrams, count_grams, counts_in
 from .words import WORD, WordTable
 
 WIDTHS, FILTERS, SIZE, BUCKETS, TOPS = (1, 2, 3), 12, 16, 1 << 17, 3
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_clean
     if len({r["toxic"] for r in rows}) < 2:
         return None
     known = got.where(F.col("lang").isNotNull())
-    grams = sorted((r["lang"], np.frombuffer(r["counts"], dtype=np.int64)) for r in count_grams(known).collect())
+    grams = sorted((r["lang"], counts_in(r["counts"])) for r in count_grams(known).collect())
     langs = np.stack([c for _, c in grams], axis=1) + 0.05 if grams else np.ones((GRAMS, 1))
     langs = np.log(langs / langs.sum(0)).astype(np.float32)
     texts = []

@@ -141,3 +141,23 @@ def test_thresholds_use_every_labelled_document(spark, monkeypatch):
     outside = labels.where(t.fold_of(F.col("doc_id")) != 0)
     assert seen[0][:, 3].sum() == outside.count() - 48  # all but the fitted three of four of 64
     assert set(seen[0][:, 0].tolist()) == {0, 1} and set(seen[0][:, 2].tolist()) == {0, 1}
+
+
+def test_a_set_of_five_languages():
+    import numpy as np
+
+    from tallyframe.llm.lang_mixture import choose
+
+    blocks = np.full((50, 7), -60.0)
+    blocks[np.arange(50), np.arange(50) % 5] = -20.0
+    one = np.full((10, 7), -60.0)
+    one[:, 6] = -20.0
+    best, score, size = choose(np.concatenate([blocks, one]), np.full(60, 8.0), np.array([0, 50]))
+    assert size.tolist() == [5, 1] and abs(score[0] - 0.2) < 0.01 and best[1] == 6
+
+
+def test_more_than_five_hundred_languages(spark):
+    from tallyframe.llm.lang_mixture import train
+
+    docs = spark.createDataFrame([(5 * i + k, f"word{i} text{i}", f"l{i:03}") for i in range(505) for k in range(5)], "doc_id bigint, text string, lang string")
+    assert len(train(docs)[0]) == 505
