@@ -66,11 +66,34 @@ def timings(df: DataFrame, stage: str, value: str) -> DataFrame:
     return rest.join(p95, stage)
 
 
-def greedy_items(expected: DataFrame, produced: DataFrame) -> DataFrame:
-    """Expected items matched one to one with produced ones of a document: same name (any case) first, then price within 0.01.
-
-    Equal names pair by their order, which is what a greedy pass does; what is left pairs by price, nearest order first.
+def likeness(a: str, b: str) -> float:
+    """Token set ratio of two texts, 0 to 100: the best ratio of what their sorted words share, with and without the rest."""
+
+    def ratio(x: str, y: str) -> float:  # 2 x longest common subsequence / both lengths
+        row = [0] * (len(y) + 1)
+        for c in x:
+            before = 0
+            for k, d in enumerate(y, 1):
+                before, row[k] = row[k], before + 1 if c == d else max(row[k], row[k - 1])
+        return 200.0 * row[-1] / (len(x) + len(y)) if x or y else 0.0
+
+    one, two = set(a.split()), set(b.split())
+    if not one or not two:
+        return 0.0
+    both, x, y = (sorted(s) for s in (one & two, one - two, two - one))
+    if both and (not x or not y):
+        return 100.0
+    shared, left, right = " ".join(both), " ".join(both + x), " ".join(both + y)
+    return max(ratio(left, right), *((ratio(shared, left), ratio(shared, right)) if both else ()), 0.0)
+
+
+def greedy_items(expected: DataFrame, produced: DataFrame, least: float = 85.0) -> DataFrame:
+    """Expected items matched one to one with produced ones of a document: same name (any case), then name alike by ``least``, then price within 0.01.
+
+    Equal names pair by their order, which is what a greedy pass does. What is left is matched in a pass over each
+    document, in order: by the likest name, then by the nearest price; the earlier produced item wins a tie.
     """
+    import pandas as pd
     from pyspark.sql import Window
 
     nth = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("ord")))
@@ -78,9 +101,35 @@ def greedy_items(expected: DataFrame, produced: DataFrame) -> DataFrame:
     e = nth(expected.select("doc_id", "ord", "price", key), "doc_id", "name_key")
     p = nth(produced.select("doc_id", F.col("ord").alias("p_ord"), F.col("price").alias("p_price"), key).withColumnRenamed("p_ord", "ord"), "doc_id", "name_key").withColumnRenamed("ord", "p_ord")
     named = e.join(p, ["doc_id", "name_key", "nth"]).select("doc_id", "ord", "p_ord", F.lit("name").alias("how"))
-    e2 = e.join(named, ["doc_id", "ord"], "left_anti")
+    e2 = e.join(named, ["doc_id", "ord"], "left_anti").withColumn("price", F.col("price").cast("double"))
     p2 = p.join(named.select("doc_id", "p_ord"), ["doc_id", "p_ord"], "left_anti")
-    e2 = e2.withColumn("n2", F.row_number().over(Window.partitionBy("doc_id", "price").orderBy("ord")))
-    p2 = p2.withColumn("n2", F.row_number().over(Window.partitionBy("doc_id", "p_price").orderBy("p_ord")))
-    priced = e2.join(p2.withColumnRenamed("p_price", "price"), ["doc_id", "price", "n2"]).select("doc_id", "ord", "p_ord", F.lit("price").alias("how"))
-    return named.unionByName(priced)
+    p2 = p2.select(F.col("doc_id").alias("p_doc"), "p_ord", "name_key", F.col("p_price").cast("double").alias("p_price"))
+
+    def match(want: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        want, got = want.sort_values("ord"), got.sort_values("p_ord")
+        left, out = list(zip(got["p_ord"], got["name_key"], got["p_price"])), []
+
+        def take(items, cost, how):
+            rest = []
+            for item in items:
+                costs = [(c, k) for k, x in enumerate(left) if (c := cost(item, x)) is not None]
+                if costs:
+                    out.append((want["doc_id"].iloc[0], item[0], left.pop(min(costs)[1])[0], how))
+                else:
+                    rest.append(item)
+            return rest
+
+        def by_name(x, y):
+            score = likeness(x[1], y[1]) if x[1] and y[1] else 0.0
+            return -score if score >= least else None
+
+        def by_price(x, y):
+            apart = abs(x[2] - y[2])  # NaN without a price
+            return round(apart, 6) if apart <= MONEY + 1e-9 else None
+
+        take(take(list(zip(want["ord"], want["name_key"], want["price"])), by_name, "name"), by_price, "price")
+        return pd.DataFrame(out, columns=["doc_id", "ord", "p_ord", "how"])
+
+    kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((e, "doc_id"), (e, "ord"), (p, "p_ord"))]
+    rest = e2.groupBy("doc_id").cogroup(p2.groupBy("p_doc")).applyInPandas(lambda x, y: match(x, y) if len(x) and len(y) else pd.DataFrame([], columns=["doc_id", "ord", "p_ord", "how"]), ", ".join([*kinds, "how string"]))
+    return named.unionByName(rest)

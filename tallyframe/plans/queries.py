@@ -15,6 +15,8 @@ from . import receipts as plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Queries that SQL can't express.
+BEYOND_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW = "1999-01-01"
 
 
@@ -358,10 +360,18 @@ def agg_stage_timings(spark, sf):
   (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey) AS nth FROM lineitem) e JOIN
   (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus_name ORDER BY l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey) AS nth FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE 'Z' END AS l_linestatus_name FROM lineitem)) p ON e.l_orderkey = p.l_orderkey AND e.l_returnflag = p.l_linestatus_name AND e.nth = p.nth)""")
 def joi_match_items_by_name(spark, sf):
-    """JOI-08: one-to-one matching by name (the price fallback is tested on a fixture)."""
+    """JOI-08: the part of joi_match_items that SQL can express, one-to-one matching by name."""
+    return joi_match_items(spark, sf).where("how = 'name'")
+
+
+def joi_match_items(spark, sf):
+    """JOI-08: one-to-one matching by name, likeness and price."""
     li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("ord"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("name"), F.col("l_extendedprice").alias("price"))
     produced = li.withColumn("name", F.when(F.col("n") % 2 == 0, F.col("name")).otherwise("Z"))
-    return evaluation.greedy_items(li, produced).where("how = 'name'")
+    return evaluation.greedy_items(li, produced)
+
+
+BEYOND_SQL["joi_match_items"] = joi_match_items
 
 
 LOG_SQL = "WITH g AS (SELECT event_id // 4 AS job_id, event_id % 4 AS seq, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' ELSE 'failed' END AS status, ts + to_seconds(CAST(event_id % 4 AS INT)) AS updated_at, event_type, user_id FROM events)"

@@ -168,3 +168,15 @@ def test_streaming_intake_and_metrics(spark, tmp_path):
     m = jobs.metrics(jobs.latest(log), "2024-01-01 12:00:00").first()
     assert (m["jobs"], m["last_day"], m["avg_ms"], m["success_rate"], m["queue_depth"]) == (2, 1, 3000.0, 1.0, 1)
     assert jobs.broken_steps(log).count() == 0
+
+
+def test_items_match_by_likeness_and_adjacent_cents(spark, sf):
+    schema = "doc_id int, ord int, name string, price decimal(18,2)"
+    e = spark.createDataFrame([(1, 0, "Brown bread", Decimal(1)), (1, 1, "Salt", Decimal("4.00")), (1, 2, "Oil", Decimal("4.01")), (1, 3, "Tea", Decimal(9)), (1, 4, "Jam", None)], schema)
+    p = spark.createDataFrame([(1, 0, "Brwn bread", Decimal(7)), (1, 1, "?", Decimal("4.01")), (1, 2, "??", Decimal("4.02")), (1, 3, "???", Decimal("9.02")), (1, 4, "????", None)], schema)
+    got = sorted((r["ord"], r["p_ord"], r["how"]) for r in evaluation.greedy_items(e, p).collect())
+    assert got == [(0, 0, "name"), (1, 1, "price"), (2, 2, "price")]
+    assert evaluation.likeness("a b", "b a c") == 100.0 and evaluation.likeness("a", "z") == 0.0
+    from __spark_entry__ import queries
+
+    assert {r["how"] for r in queries()["joi_match_items"](spark, sf).select("how").distinct().collect()} == {"name", "price"}
