@@ -193,11 +193,11 @@ def normalised(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def least_sums(lists: list[list[float]], n: int) -> list[float]:
-    """The n least sums of one number from each list; each list is sorted and starts with 0."""
-    sums = [0.0]
+def least_sums(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n least sums of one number from each list, with the chosen places; each list is sorted and starts with 0."""
+    sums: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
     for x in lists:
-        sums = heapq.nsmallest(n, (a + b for a in sums for b in x))
+        sums = heapq.nsmallest(n, ((a + b, (*c, k)) for a, c in sums for k, b in enumerate(x)))
     return sums
 
 
@@ -208,7 +208,7 @@ class TextEncoder:
         self.pieces, self.n, self.most = pieces, n, most
         self.chunks: dict[str, tuple[float, float, bytes, tuple[str, ...]]] = {}
         self.parts: dict[str, tuple[float, float, bytes]] = {}
-        self.lists: dict[str, list[float]] = {}
+        self.lists: dict[str, tuple[list[float], list[bytes], list[bool]]] = {}
 
     def _learn(self, chunks: set[str]) -> None:
         chunks = list(chunks)
@@ -222,16 +222,23 @@ class TextEncoder:
                 got = [self.parts[p] for p in ps]
                 self.chunks[c] = (sum(g[0] for g in got), min(g[1] for g in got), b"".join([g[2] for g in got]), tuple(ps))
 
-    def _gaps(self, part: str) -> list[float]:
+    def _ranked(self, part: str) -> tuple[list[float], list[bytes], list[bool]]:
+        """A part's n best: gaps to its best, ids, and whether these stand for the same bytes as the best ids."""
         if part not in self.lists:
             if len(self.lists) > self.most:
                 self.lists = {}
             found = self.pieces.n_best(part, self.n)
-            self.lists[part] = [found[0][0] - s for s, _ in found]
+            ids = [np.array([i for x in xs for i in self.pieces.ids_of(x)], dtype="<u4") for _, xs in found]
+            plain = [b"".join(map(self.pieces.plain.__getitem__, x.tolist())) for x in ids]
+            self.lists[part] = [found[0][0] - s for s, _ in found], [x.tobytes() for x in ids], [x == plain[0] for x in plain]
         return self.lists[part]
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, list[float]]]:
         """For each text the best ids (little-endian 32-bit) and the scores of the n best segmentations."""
+        return [(ids[0], scores) for ids, scores, _ in self.encode_all(texts)]
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[list[bytes], list[float], list[bool]]]:
+        """For each text its n best segmentations: ids, scores, and whether the ids stand for the same bytes as the best ones."""
         split = [([normalised(t)] if self.pieces.whole else _CHUNK.findall(normalised(t))) if t else [] for t in texts]
         if max(len(self.chunks), len(self.parts)) > self.most:
             self.chunks, self.parts = {}, {}
@@ -243,13 +250,22 @@ class TextEncoder:
             score = sum(g[0] for g in got)
             least = heapq.nsmallest(self.n - 1, ((g[1], k) for k, g in enumerate(got)))
             near = heapq.nsmallest(self.n - 1, ((self.parts[p][1], k, j, p) for _, k in least for j, p in enumerate(got[k][3])))
-            sums = least_sums([self._gaps(p) for _, _, _, p in near], self.n)
-            out.append((b"".join([g[2] for g in got]), [score - s for s in sums]))
+            ranked = [self._ranked(p) for _, _, _, p in near]
+            sums, best = least_sums([x[0] for x in ranked], self.n), [g[2] for g in got]
+            ids, same = [], []
+            for _, choice in sums:
+                new = {(k, j): x[1][c] for (_, k, j, _), x, c in zip(near, ranked, choice) if c}
+                here = best.copy() if new else best
+                for k in {k for k, _ in new}:
+                    here[k] = b"".join([new.get((k, j)) or self.parts[p][2] for j, p in enumerate(got[k][3])])
+                ids.append(b"".join(here))
+                same.append(all(x[2][c] for x, c in zip(ranked, choice)))
+            out.append((ids, [score - s for s, _ in sums], same))
         return out
 
 
 def segment(docs: DataFrame, n: int = 4, vocab: str | None = None) -> DataFrame:
-    """Per document: doc_id, n_pieces, n_byte_pieces, scores (of the n best, best first), ids_crc32, round_trip."""
+    """Per document: doc_id, n_pieces, n_byte_pieces, scores (of the n best, best first), ids_crc32, round_trip (of the best), crc32s, round_trips (of each of the n)."""
     path = vocab or vocabulary("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,11 +276,14 @@ def segment(docs: DataFrame, n: int = 4, vocab: str | None = None) -> DataFrame:
             for a in range(0, batch.num_rows, 400):
                 some = batch.slice(a, 400)
                 texts = some.column(1).to_pylist()
-                got = encoder.encode(texts)
-                ids = [np.frombuffer(x, dtype="<u4") for x, _ in got]
+                got = encoder.encode_all(texts)
+                ids = [np.frombuffer(x[0], dtype="<u4") for x, _, _ in got]
                 ok = [pieces.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(len, ids), pa.int64()), pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()), pa.array([s for _, s in got], pa.list_(pa.float64())), pa.array([crc(x) for x, _ in got], pa.int64()), pa.array(ok, pa.bool_())], names=["doc_id", "n_pieces", "n_byte_pieces", "scores", "ids_crc32", "round_trip"])
+                # ids of the same bytes decode to the same text
+                every = [[good if same else pieces.decode(np.frombuffer(x, dtype="<u4").tolist()) == (t or "") for x, same in zip(xs, sames)] for t, good, (xs, _, sames) in zip(texts, ok, got)]
+                crcs = [[crc(x) for x in xs] for xs, _, _ in got]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(len, ids), pa.int64()), pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()), pa.array([s for _, s, _ in got], pa.list_(pa.float64())), pa.array([c[0] for c in crcs], pa.int64()), pa.array(ok, pa.bool_()), pa.array(crcs, pa.list_(pa.int64())), pa.array(every, pa.list_(pa.bool_()))], names=["doc_id", "n_pieces", "n_byte_pieces", "scores", "ids_crc32", "round_trip", "crc32s", "round_trips"])
 
     in_small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidied(run), "doc_id bigint, n_pieces bigint, n_byte_pieces bigint, scores array<double>, ids_crc32 bigint, round_trip boolean")
+    return rows.mapInArrow(tidied(run), "doc_id bigint, n_pieces bigint, n_byte_pieces bigint, scores array<double>, ids_crc32 bigint, round_trip boolean, crc32s array<bigint>, round_trips array<boolean>")

@@ -52,3 +52,24 @@ def test_every_document_decodes_to_itself(spark):
     assert got[203] == (0, [0.0], True) and got[202] == (0, [0.0], True)
     assert all(list(s) == sorted(s, reverse=True) and len(s) <= 4 for _, s, _ in got.values())
     assert segment(empty(spark)).count() == 0
+
+
+def test_each_of_the_n_best_against_all_segmentations():
+    r = random.Random(6)
+    for _ in range(150):
+        vocab = {}
+        for _ in range(r.randint(3, 12)):
+            vocab.setdefault("".join(r.choice("ab▁") for _ in range(r.randint(1, 4))), (300 + len(vocab), -float(r.randint(1, 9))))
+        p = Pieces(vocab, list(range(256)), 400)
+        t = "".join(r.choice("ab c") for _ in range(r.randint(1, 8)))
+        score_of = {tuple(i for x in ps for i in p.ids_of(x)): s for s, ps in every(p, normalised(t))}
+        ((ids, scores, _),) = TextEncoder(p, 5).encode_all([t])
+        found = [tuple(np.frombuffer(x, "<u4").tolist()) for x in ids]
+        assert len(set(found)) == len(found) == min(5, len(score_of)) and [score_of[x] for x in found] == scores
+        assert all(p.decode(x) == t for x in found)
+
+
+def test_checksums_and_round_trips_of_each(spark):
+    got = segment(documents(spark, {1: "some words here", 2: ""})).collect()
+    assert all(len(r["crc32s"]) == len(r["round_trips"]) == len(r["scores"]) and all(r["round_trips"]) and r["crc32s"][0] == r["ids_crc32"] for r in got)
+    assert {len(set(r["crc32s"])) for r in got} == {1, 4}
