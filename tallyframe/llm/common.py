@@ -16,9 +16,11 @@ _CHECKPOINT = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local master gets a temporary one; a cluster's executors could not see it, so there it is an error."""
     base = spark.sparkContext.getConf().get(_CHECKPOINT) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_CHECKPOINT} to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tallyframe-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base
@@ -54,8 +56,15 @@ def crc(data: bytes) -> int:
 
 
 def tasks_for(df: DataFrame, mb_each: float = 16.0, least: int = 8) -> int:
-    """A number of tasks in proportion to the optimiser's estimate of the input's size."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """A number of tasks in proportion to the optimiser's estimate of the input's size.
+
+    The estimate comes from the sizes of the input files. Without files (rows made on the driver) there is none, and
+    the session's number of shuffle partitions is taken.
+    """
+    spark, plan = df.sparkSession, df._jdf.queryExecution()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    if size >= int(spark._jsparkSession.sessionState().conf().defaultSizeInBytes()):
+        return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return int(min(max(least, size / (mb_each * 1e6)), 200_000))
 
 
@@ -64,6 +73,25 @@ def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+def join_by_key(rows: DataFrame, values: DataFrame, keys: list[str], weight: str, how: str = "inner", heavy: int = 10_000) -> DataFrame:
+    """rows joined to values on keys, where ``weight`` of values says how many rows may have its key.
+
+    Keys of more than ``heavy`` rows are joined by broadcast (they are fewer than a ``heavy``-th of the rows), so that no
+    task gets all rows of one key; the others are shuffled. values has each key once. how: inner or left.
+    """
+    hot = values.where(F.col(weight) > heavy)
+    if hot.isEmpty():
+        return rows.join(values, keys, how)
+    hot = small(hot)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(values.where(F.col(weight) <= heavy), keys, how)
+    return rows.join(hot, keys, "inner").unionByName(rest)
+
+
 def hand_back() -> None:
     """Gives freed memory back to the system, since Python workers live on from stage to stage."""
     gc.collect()

@@ -14,10 +14,11 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, F.col("v") == F.col("w")).drop("w")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """links(a, b), longs; the result: node, component (the least node reachable), for every node with a link.
 
-    Null ends and links to oneself are ignored; repeated links count once; no links give an empty table.
+    Null ends and links to oneself are ignored; repeated links count once; no links give an empty table. The number of
+    rounds grows with the logarithm of the longest path; an error is raised if ``rounds`` of them do not suffice.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("bigint").alias("v"), F.least("a", "b").cast("bigint").alias("u")).distinct()
     edges, before = materialise(edges, "links"), None
@@ -33,5 +34,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(roots)
