@@ -8,9 +8,13 @@ a cut, and texts are put together from their parts' lists without loss. New part
 together in numpy, which gives the best segmentation and the gap to the second best; only the parts with a text's
 smallest gaps can matter to its N best, and those go through A*.
 
-Ties prefer the segmentation whose pieces, from the end, start earlier. Cases: null and empty texts have no pieces,
-score 0 and one (empty) segmentation; very long words are searched as any other; U+2581 in a text decodes to a space,
-so such a text does not round-trip; other columns are ignored; an empty table gives an empty result.
+Ties prefer the segmentation whose pieces, from the end, start earlier. Scores are those that the vocabulary holds; in
+a vocabulary of merges these are ranks, so the best sum need not be the segmentation that merging gives.
+
+Cases: null and empty texts have no pieces, score 0 and one (empty) segmentation; whole texts of any length are
+encoded, and words without a cut are searched as a whole, with n states kept for each character; U+2581 in a text
+decodes to a space, so such a text does not round-trip; repeated rows get the same answer; other columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,6 +59,7 @@ class Pieces:
             found = sorted((_hash(p), i, s) for p, (i, s) in scores.items() if len(p) == n) or [(0, -1, -np.inf)]
             self.by_length.append((np.array([h for h, _, _ in found], dtype=np.uint64), np.array([i for _, i, _ in found]), np.array([s for _, _, s in found])))
         self.whole = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in scores)  # words are no chunks then
+        self._flat = None
         self.plain: list[bytes] = [b""] * size
         for p, (i, _) in scores.items():
             self.plain[i] = p.replace(SPACE, " ").encode()
@@ -106,19 +111,38 @@ class Pieces:
         return best
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[str]]]:
-        """Up to n segmentations of a text, best first: (score, pieces)."""
+        """Up to n segmentations of a text, best first: (score, pieces).
+
+        A state is a place and the pieces from there to the end, kept as a link to the state it came from. No more than
+        the n best states of a place can be part of the n best segmentations, so only these are kept, which bounds
+        the heap by n for each character.
+        """
         best = self.forward(text)
-        heap, out = [(-best[-1], (), len(text), 0.0)], []
+        states: list[tuple[int, int]] = [(len(text), -1)]  # place, the state it came from
+        heap, out = [(-best[-1], len(text), 0, 0.0)], []
+        tried, popped = [[] for _ in range(len(text) + 1)], [0] * (len(text) + 1)
         while heap and len(out) < n:
-            _, starts, at, done = heapq.heappop(heap)
+            _, at, k, done = heapq.heappop(heap)  # ties: the earlier place
+            popped[at] += 1
             if at == 0:
-                ends = [*starts[:-1][::-1], len(text)] if starts else []
-                out.append((done, [text[a:b] for a, b in zip(starts[::-1], ends)]))
+                starts = []
+                while k >= 0:
+                    starts.append(states[k][0])
+                    k = states[k][1]
+                out.append((done, [text[a:b] for a, b in zip(starts, starts[1:])]))
+                continue
+            if popped[at] > n:
                 continue
             for i in range(max(0, at - self.longest), at):
                 s = self.score(text[i:at])
-                if s is not None:
-                    heapq.heappush(heap, (-(best[i] + s + done), (*starts, i), i, s + done))
+                if s is None or popped[i] >= n:
+                    continue
+                total, kept = s + done, tried[i]
+                if len(kept) >= n and total <= kept[0]:
+                    continue
+                (heapq.heappushpop if len(kept) >= n else heapq.heappush)(kept, total)
+                states.append((i, k))
+                heapq.heappush(heap, (-(best[i] + total), i, len(states) - 1, total))
         return out
 
     def best_of(self, parts: list[str]) -> list[tuple[float, float, bytes]]:
@@ -188,6 +212,18 @@ class Pieces:
         text = b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes that the ids of many texts stand for (counts: ids of each text), with the space put in front."""
+        if self._flat is None:
+            sizes = np.array([len(x) for x in self.plain], dtype=np.int64)
+            self._flat = np.frombuffer(b"".join(self.plain), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+        flat, first, sizes = self._flat
+        n = sizes[ids]
+        ends = np.cumsum(n)
+        raw = flat[np.arange(int(n.sum())) + np.repeat(first[ids] - ends + n, n)].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
 
 def normalised(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
@@ -206,21 +242,30 @@ class TextEncoder:
 
     def __init__(self, pieces: Pieces, n: int, most: int = 300_000):
         self.pieces, self.n, self.most = pieces, n, most
-        self.chunks: dict[str, tuple[float, float, bytes, tuple[str, ...]]] = {}
+        self.place: dict[str, int] = {}  # of a chunk in the lists below
+        self.score: list[float] = []
+        self.gap: list[float] = []
+        self.ids: list[bytes] = []
+        self.cut: list[list[str]] = []
         self.parts: dict[str, tuple[float, float, bytes]] = {}
         self.lists: dict[str, tuple[list[float], list[bytes], list[bool]]] = {}
 
-    def _learn(self, chunks: set[str]) -> None:
-        chunks = list(chunks)
+    def _learn(self, chunks: list[str]) -> None:
         cut = self.pieces.parts(chunks)
         new = list({p for ps in cut for p in ps}.difference(self.parts))
         self.parts.update(zip(new, self.pieces.best_of(new)))
-        for c, ps in zip(chunks, cut):
+        parts = self.parts
+        self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks))))
+        self.cut += cut
+        for ps in cut:
             if len(ps) == 1:
-                self.chunks[c] = (*self.parts[ps[0]], (c,))
+                score, gap, ids = parts[ps[0]]
             else:
-                got = [self.parts[p] for p in ps]
-                self.chunks[c] = (sum(g[0] for g in got), min(g[1] for g in got), b"".join([g[2] for g in got]), tuple(ps))
+                scores, gaps, every = zip(*[parts[p] for p in ps])
+                score, gap, ids = sum(scores), min(gaps), b"".join(every)
+            self.score.append(score)
+            self.gap.append(gap)
+            self.ids.append(ids)
 
     def _ranked(self, part: str) -> tuple[list[float], list[bytes], list[bool]]:
         """A part's n best: gaps to its best, ids, and whether these stand for the same bytes as the best ids."""
@@ -240,32 +285,42 @@ class TextEncoder:
     def encode_all(self, texts: list[str | None]) -> list[tuple[list[bytes], list[float], list[bool]]]:
         """For each text its n best segmentations: ids, scores, and whether the ids stand for the same bytes as the best ones."""
         split = [([normalised(t)] if self.pieces.whole else _CHUNK.findall(normalised(t))) if t else [] for t in texts]
-        if max(len(self.chunks), len(self.parts)) > self.most:
-            self.chunks, self.parts = {}, {}
-        if new := set().union(*split).difference(self.chunks):
-            self._learn(new)
-        out = []
+        if max(len(self.place), len(self.parts)) > self.most:
+            self.place, self.score, self.gap, self.ids, self.cut, self.parts = {}, [], [], [], [], {}
+        if new := set().union(*split).difference(self.place):
+            self._learn(list(new))
+        score, gap = np.array(self.score), np.array(self.gap)
+        get, ids_of, out, few = self.place.__getitem__, self.ids.__getitem__, [], self.n - 1
         for chunks in split:
-            got = [self.chunks[c] for c in chunks]
-            score = sum(g[0] for g in got)
-            least = heapq.nsmallest(self.n - 1, ((g[1], k) for k, g in enumerate(got)))
-            near = heapq.nsmallest(self.n - 1, ((self.parts[p][1], k, j, p) for _, k in least for j, p in enumerate(got[k][3])))
+            at = list(map(get, chunks))
+            places = np.array(at, dtype=np.int64)
+            gaps, total = gap[places], float(score[places].sum())
+            limit = np.partition(gaps, few - 1)[few - 1] if few and len(gaps) > few else np.inf
+            close = np.flatnonzero(gaps <= limit)
+            least = close[np.argsort(gaps[close], kind="stable")[:few]].tolist()
+            near = heapq.nsmallest(few, ((self.parts[p][1], k, j, p) for k in least for j, p in enumerate(self.cut[at[k]])))
             ranked = [self._ranked(p) for _, _, _, p in near]
-            sums, best = least_sums([x[0] for x in ranked], self.n), [g[2] for g in got]
+            sums, best = least_sums([x[0] for x in ranked], self.n), list(map(ids_of, at))
             ids, same = [], []
             for _, choice in sums:
                 new = {(k, j): x[1][c] for (_, k, j, _), x, c in zip(near, ranked, choice) if c}
                 here = best.copy() if new else best
                 for k in {k for k, _ in new}:
-                    here[k] = b"".join([new.get((k, j)) or self.parts[p][2] for j, p in enumerate(got[k][3])])
+                    here[k] = b"".join([new.get((k, j)) or self.parts[p][2] for j, p in enumerate(self.cut[at[k]])])
                 ids.append(b"".join(here))
                 same.append(all(x[2][c] for x, c in zip(ranked, choice)))
-            out.append((ids, [score - s for s, _ in sums], same))
+            out.append((ids, [total - s for s, _ in sums], same))
         return out
 
 
-def segment(docs: DataFrame, n: int = 4, vocab: str | None = None) -> DataFrame:
-    """Per document: doc_id, n_pieces, n_byte_pieces, scores (of the n best, best first), ids_crc32, round_trip (of the best), crc32s, round_trips (of each of the n)."""
+def _lists(raws: list[bytes]) -> pa.ListArray:
+    """Little-endian 32-bit numbers as a list of numbers for each of raws."""
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raws])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), dtype="<i4")))
+
+
+def segment(docs: DataFrame, n: int = 4, vocab: str | None = None, every: bool = False) -> DataFrame:
+    """Per document: doc_id, n_pieces, n_byte_pieces, scores (of the n best, best first), ids_crc32, round_trip, ids (of the best), crc32s, round_trips (of each of the n); with every also segmentations (the ids of each of the n)."""
     path = vocab or vocabulary("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,15 +330,24 @@ def segment(docs: DataFrame, n: int = 4, vocab: str | None = None) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 400):
                 some = batch.slice(a, 400)
-                texts = some.column(1).to_pylist()
+                texts = [t or "" for t in some.column(1).to_pylist()]
                 got = encoder.encode_all(texts)
-                ids = [np.frombuffer(x[0], dtype="<u4") for x, _, _ in got]
-                ok = [pieces.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]
+                best = [x[0] for x, _, _ in got]
+                ids = np.frombuffer(b"".join(best), dtype="<u4").astype(np.int64)
+                counts = np.array([len(x) // 4 for x in best], dtype=np.int64)
+                bytes_of = np.concatenate([[0], np.cumsum(is_byte[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+                ok = [x == (b" " + t.encode("utf-8", "surrogatepass") if t else b"") for x, t in zip(pieces.decoded(ids, counts), texts)]
                 # ids of the same bytes decode to the same text
-                every = [[good if same else pieces.decode(np.frombuffer(x, dtype="<u4").tolist()) == (t or "") for x, same in zip(xs, sames)] for t, good, (xs, _, sames) in zip(texts, ok, got)]
+                trips = [[good if same else pieces.decode(np.frombuffer(x, dtype="<u4").tolist()) == t for x, same in zip(xs, sames)] for t, good, (xs, _, sames) in zip(texts, ok, got)]
                 crcs = [[crc(x) for x in xs] for xs, _, _ in got]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(len, ids), pa.int64()), pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()), pa.array([s for _, s, _ in got], pa.list_(pa.float64())), pa.array([c[0] for c in crcs], pa.int64()), pa.array(ok, pa.bool_()), pa.array(crcs, pa.list_(pa.int64())), pa.array(every, pa.list_(pa.bool_()))], names=["doc_id", "n_pieces", "n_byte_pieces", "scores", "ids_crc32", "round_trip", "crc32s", "round_trips"])
-
+                columns = [some.column(0), pa.array(counts), pa.array(np.diff(bytes_of)), pa.array([s for _, s, _ in got], pa.list_(pa.float64())), pa.array([c[0] for c in crcs], pa.int64()), pa.array(ok, pa.bool_()), _lists(best), pa.array(crcs, pa.list_(pa.int64())), pa.array(trips, pa.list_(pa.bool_()))]
+                if every:
+                    ends = np.concatenate([[0], np.cumsum([len(xs) for xs, _, _ in got])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), _lists([x for xs, _, _ in got for x in xs])))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id bigint, n_pieces bigint, n_byte_pieces bigint, scores array<double>, ids_crc32 bigint, round_trip boolean, ids array<int>, crc32s array<bigint>, round_trips array<boolean>" + (", segmentations array<array<int>>" if every else "")
+    names = [x.split()[0] for x in schema.split(", ")]
     in_small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidied(run), "doc_id bigint, n_pieces bigint, n_byte_pieces bigint, scores array<double>, ids_crc32 bigint, round_trip boolean, crc32s array<bigint>, round_trips array<boolean>")
+    return rows.mapInArrow(tidied(run), schema)
