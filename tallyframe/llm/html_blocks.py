@@ -1,14 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. A line's weight is its text's length, links not counted,
-and 0 in navigation, headers and footers of the page, sidebars, notices, adverts, forms and comments. Where the page
-has an article or main element, a line in it weighs ``BONUS`` more and one outside 0. Weights are summed over sliding
-windows of lines; text is kept from each surge (the sum passes the threshold) to the dive that follows (it falls
-back), without the lines of weight 0. As the bonus is the highest threshold, the element decides where there is one.
+Markup is stripped into lines, one for each block element; lines of navigation, headers and footers of the page,
+sidebars, notices, adverts, forms and comments are stripped with it. A line's weight is its text's length, links not
+counted. On a page with an article or main element the lines outside weigh nothing. Weights are summed over sliding
+windows of ``window`` lines. The text surges where the sum rises from nothing and goes on past a threshold taken from
+the page's own largest sum, and dives where it falls back to nothing; the lines of weight between a surge and its dive
+are kept, in page order.
 
 Cases: null or empty html, and a page without a line of weight, give an empty text; unclosed and cut-off markup ends
-with the page, except that list items, table parts and paragraphs end where the next one begins; repeated pages get the same answer; an empty table gives an empty result; a null url stays null; other
-columns are ignored.
+with the page, except that list items, table parts and paragraphs end where the next one begins; pages and lines of any
+length are read whole; repeated pages get the same answer; ties in the largest sum change nothing; an empty table gives
+an empty result; a null url stays null; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,8 +44,6 @@ _IMPLIED = [
 _ENDS = {name: k for k, (items, _) in enumerate(_IMPLIED) for name in items}
 _TRACKED = {name: [(k, name in items) for k, (items, shields) in enumerate(_IMPLIED) if name in items or name in shields] for name in {n for i, s in _IMPLIED for n in i | s}}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-#: What an article or main element adds to a line's weight.
-BONUS = 80
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
@@ -60,7 +60,7 @@ def _is_noise(name: str, rest: str, in_main: bool) -> bool:
 
 
 def lines_of(html: str) -> tuple[list[str], list[int]]:
-    """The page's lines and their weights."""
+    """The page's lines outside noise containers, and their weights."""
     lines: list[str] = []
     weights: list[int] = []
     flags: list[bool] = []
@@ -74,10 +74,10 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
     def end_line() -> None:
         nonlocal linked
         if text:
-            line = " ".join(unescape("".join(text)).split())
+            line = "" if noise else " ".join(unescape("".join(text)).split())
             if line:
                 lines.append(line)
-                weights.append(0 if noise else max(int(main > 0), len(line) - linked))
+                weights.append(max(int(main > 0), len(line) - linked))
                 flags.append(main > 0)
             text.clear()
         linked = 0
@@ -132,23 +132,23 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
         text.append(html[at:])
     end_line()
     if any_main:
-        weights = [w + BONUS * (w > 0) if f else 0 for w, f in zip(weights, flags)]
+        weights = [w if f else 0 for w, f in zip(weights, flags)]
     return lines, weights
 
 
-def kept_lines(weights: list[int], window: int = 3, share: float = 0.2, least: int = BONUS) -> np.ndarray:
-    """Which lines lie between a surge and its dive."""
+def kept_lines(weights: list[int], window: int = 3, share: float = 0.2, most: int = 80) -> np.ndarray:
+    """Which lines lie between a surge and its dive. The threshold is ``share`` of the page's largest sum, ``most`` at most."""
     w = np.asarray(weights, dtype=np.int64)
-    if not len(w) or not w.any():
+    if not w.any():
         return np.zeros(len(w), dtype=bool)
     total = np.concatenate([[0], np.cumsum(w)])
     at = np.arange(len(w))
     sums = total[np.minimum(at + window // 2 + 1, len(w))] - total[np.maximum(at - window // 2, 0)]
-    high = sums > min(least, share * sums.max())
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], high, [False]])))
+    threshold = min(most, share * sums.max())
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], sums > 0, [False]])))
     keep = np.zeros(len(w), dtype=bool)
-    for surge, dive in zip(edges[::2], edges[1::2]):
-        keep[surge:dive] = True
+    for rise, dive in zip(edges[::2], edges[1::2]):
+        keep[rise:dive] = sums[rise:dive].max() > threshold
     return keep & (w > 0)
 
 
