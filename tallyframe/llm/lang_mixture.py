@@ -7,13 +7,14 @@ as the likelihood, refitted on the set, gains more than the penalty (sets of two
 set may hold every language.
 
 Cases: a text that is null, empty or without a letter is ``und`` with score 0; with no training language all are
-``und``; ties go to the alphabetically first language; repeated rows get the same answer; other columns are ignored.
+``und``; whole texts of any length are read; ties go to the alphabetically first language; repeated rows get the same
+answer; a null doc_id is kept, with a null held_out; other columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +36,8 @@ def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((x[:-2] * 65599 + x[1:-1]) * 65599 + x[2:] ^ x[1:-1] * 40503) % BUCKETS, starts
 
 
-def counts_in(packed: bytes) -> np.ndarray:
-    """One number for each bucket."""
-    return np.frombuffer(zlib.decompress(packed), dtype=np.int64)
-
-
 def count_grams(docs: DataFrame) -> DataFrame:
-    """Trigram counts by language: lang, counts (compressed, since most places are 0)."""
+    """Trigram counts by language: lang, bucket, n. A task adds up its own counts, so it sends a row at most for each language and bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -52,16 +48,21 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     c = total.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                     np.add.at(c, grams, 1)
         for lang, c in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([zlib.compress(c.tobytes(), 1)])], names=["lang", "counts"])
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
 
-    def add(pdf):
-        import pandas as pd
+    partial = docs.select("text", "lang").mapInArrow(tidied(count), "lang string, bucket int, n bigint")
+    return partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
-        total = sum(counts_in(x) for x in pdf["counts"])
-        return pd.DataFrame({"lang": [pdf["lang"][0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    partial = docs.select("text", "lang").mapInArrow(tidied(count), "lang string, counts binary")
-    return partial.groupBy("lang").applyInPandas(add, "lang string, counts binary")
+def log_shares(counts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The languages of count_grams, in alphabetical order, and the log-probabilities (bucket, language) of trigrams."""
+    table = counts.toArrow()  # at most the languages times BUCKETS
+    langs = sorted(set(table["lang"].to_pylist()))
+    total = np.full((BUCKETS, len(langs)), 0.05)
+    place = {x: k for k, x in enumerate(langs)}
+    total[table["bucket"].to_numpy(), [place[x] for x in table["lang"].to_pylist()]] += table["n"].to_numpy()
+    return langs, np.log(total / total.sum(0)).astype(np.float32)
 
 
 def train(docs: DataFrame, sample: int = 6000) -> tuple[list[str], np.ndarray]:
@@ -74,9 +75,7 @@ def train(docs: DataFrame, sample: int = 6000) -> tuple[list[str], np.ndarray]:
     each = max(1, sample // len(by_lang))
     step = F.create_map(*[F.lit(x) for r in by_lang for x in (r["lang"], max(1, r["count"] // each))])
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), step[F.col("lang")]) == 0)
-    got = sorted((r["lang"], counts_in(r["counts"])) for r in count_grams(chosen).collect())
-    counts = np.stack([c for _, c in got], axis=1) + 0.05 if got else np.zeros((BUCKETS, 0))
-    return [x for x, _ in got], np.log(counts / counts.sum(0)).astype(np.float32)
+    return log_shares(count_grams(chosen))
 
 
 def fit_mixtures(blocks: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:

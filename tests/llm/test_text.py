@@ -27,18 +27,49 @@ def test_page_without_an_article():
     assert main_text(page) == " ".join(f"{'long text of the story ' * 6}{k}" for k in range(5))
 
 
-def test_short_parts_and_the_search_on_every_page(monkeypatch):
-    import tallyframe.llm.html_blocks as h
-
+def kept_by_hand(weights, window=3, share=0.2, most=80):
+    """Surge and dive line by line: walk from each rise to the dive after it."""
+    n, half = len(weights), window // 2
+    sums = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(n)]
+    keep, i = [False] * n, 0
+    while i < n:
+        if sums[i] == 0:
+            i += 1
+            continue
+        j = i
+        while j < n and sums[j] > 0:
+            j += 1
+        if any(s > min(most, share * max(sums)) for s in sums[i:j]):
+            for k in range(i, j):
+                keep[k] = weights[k] > 0
+        i = j
+    return keep
+
+
+def test_windows_against_a_walk_over_the_lines():
+    from tallyframe.llm.html_blocks import kept_lines
+
+    r = random.Random(3)
+    for _ in range(500):
+        w = [r.choice([0, 0, 0, r.randint(1, 30), r.randint(1, 400)]) for _ in range(r.randint(0, 25))]
+        assert kept_lines(w).tolist() == kept_by_hand(w)
+    assert kept_lines([0, 5, 0, 0, 0, 300, 9, 0, 0, 0, 70, 0]).tolist() == [k in (5, 6, 10) for k in range(12)]  # 5 never gets past the threshold of 61.8
+
+
+def test_the_windows_find_the_article_without_its_element(sf):
+    import pyarrow.parquet as pq
+
+    plain = lambda x: re.sub(r"(</?)(article|main)\b", r"\1div", x)
+    pages = [x for x in pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist() if x]
+    assert pages and all(main_text(plain(x)) == main_text(x) != "" for x in pages)
+
+
+def test_lists_of_links_and_short_parts():
     long = "".join(f"<p>{'long text of the story ' * 9}{k}</p>" for k in range(9))
-    short = "A short part of the story that stands by itself, with a little over eighty letters in it."
-    gap = "<div class=ad>Buy</div>" * 5
-    assert main_text(f"<body><div>{long}</div>{gap}<p>{short}</p></body>").endswith(short)
-    assert main_text(f"<article>{long}{gap}<p>Yes.</p></article>").endswith(" Yes.")
-    asked, search = [], h.kept_lines
-    monkeypatch.setattr(h, "kept_lines", lambda w: asked.append(w) or search(w))
-    monkeypatch.setattr(h, "BONUS", 0)
-    assert not main_text(f"<article>{long}{gap}<p>Yes.</p></article>").endswith("Yes.") and asked  # the windows decide, by the weights
+    links = "".join(f"<div><a href={k}>elsewhere {k}</a></div>" for k in range(9))
+    assert main_text(f"<body>{links}<p>Foot</p>{links}{long}{links}<p>Copyright</p></body>") == main_text(long)
+    assert main_text(f"<body><div>{long}</div>{'<div class=ad>Buy</div>' * 5}<p>Yes.</p></body>").endswith(" Yes.")
+    assert main_text(f"<article>{long}</article><div>Something else</div>") == main_text(long)
 
 
 def test_unclosed_items_end_with_their_container():
@@ -137,12 +168,51 @@ def test_thresholds_use_every_labelled_document(spark, monkeypatch):
     labels = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
     seen, count = [], t.calibration_counts
     monkeypatch.setattr(t, "calibration_counts", lambda *a: seen.append(count(*a)) or seen[0])
-    t.train(docs, labels, most_toxic=24, most_clean=40)
+    assert t.classify(docs, labels, most_toxic=24, most_clean=40).count() == 400
     outside = labels.where(t.fold_of(F.col("doc_id")) != 0)
     assert seen[0][:, 3].sum() == outside.count() - 48  # all but the fitted three of four of 64
     assert set(seen[0][:, 0].tolist()) == {0, 1} and set(seen[0][:, 2].tolist()) == {0, 1}
 
 
+def test_outputs_against_filters_by_hand():
+    import numpy as np
+
+    import tallyframe.llm.toxicity_cnn as t
+
+    r = np.random.default_rng(2)
+    texts = ["some words to score", "", None, "one", " ".join(f"w{k % 7}" for k in range(60))]
+    net = t.Cnn(50)
+    model = {"net": net.p, "index": r.integers(0, 50, t.BUCKETS).astype(np.int32), "langs": r.normal(size=(t.GRAMS, 3)).astype(np.float32)}
+    got, _ = t.scorer(model)(texts)
+    for x, y in zip(texts, got):
+        vectors = [net.p["e"][model["index"][t.buckets_of(w)]].sum(0) for w in t.WORD.findall(x or "")] + [np.zeros(t.SIZE)] * max(t.WIDTHS)
+        out, place = float(net.p["c"][0]), 0
+        for j, w in enumerate(t.WIDTHS):
+            for f in range(t.FILTERS):
+                values = [sum(vectors[i + k] @ net.p["w"][:, place + k, f] for k in range(w) if i + k < len(vectors)) for i in range(len(vectors))]
+                out += max(0.0, max(values) + net.p["b"][j * t.FILTERS + f]) * net.p["o"][j * t.FILTERS + f]
+            place += w
+        assert abs(out - y) < 1e-4
+
+
+def test_few_labels_flag_nothing_and_keep_the_order():
+    import numpy as np
+
+    from tallyframe.llm.toxicity_cnn import cuts_of
+
+    counts = np.array([[0, 5, 1, 4], [0, 1, 0, 90]])
+    assert cuts_of(counts, {0: 90, 1: 4}, 2) is None
+    assert cuts_of(np.array([[0, 5, 1, 5], [0, 1, 0, 90]]), {0: 90, 1: 5}, 2) is not None
+
+
+def test_toxicity_of_the_smallest_tables(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = by_id(classify(docs, labels), "held_out", "predicted")
+    clean = {r["doc_id"] for r in labels.where("toxic = 0").collect()}
+    held = [p for i, (h, p) in got.items() if h and i in clean]
+    assert sum(held) <= 0.1 * len(held)
+
+
 def test_a_set_of_five_languages():
     import numpy as np
 
