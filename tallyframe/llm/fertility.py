@@ -8,8 +8,8 @@ band, quartiles +- ``width`` interquartile ranges; a document outside a band is
 base rules. Classes of under ``least_docs`` documents take the band of their language over all sizes, if that has as many.
 
 Cases: null or empty text has no words, fails the base rules and has null measures; short documents of under
-``least_tokens`` tokens are judged by the base rules only; ties and repeated rows each count; an empty table gives an
-empty result; other columns are ignored.
+``least_tokens`` tokens are judged by the base rules only; whole texts of any length are read; ties and repeated rows
+each count; a null doc_id is kept; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, materialise, tidied
+from .common import in_small_batches, materialise, small, tidied
 from .tokens import vocabulary
 from .words import WORD, WordTable
 
@@ -157,7 +157,7 @@ def bands(rows: DataFrame, width: float = 4.0, least_tokens: int = 50, least_doc
 def judge(docs: DataFrame, width: float = 4.0, least_tokens: int = 50, least_docs: int = 30) -> DataFrame:
     """Per document: the base counts, base_failed, the measures and kept."""
     rows = materialise(measures(docs), "fertility")
-    limits = bands(rows, width, least_tokens, least_docs)
+    limits = materialise(bands(rows, width, least_tokens, least_docs), "bands")  # a few rows for each language
     ends = [f"{m}_{e}" for m in MEASURES for e in ("low", "high")]
     of_size = limits.where(F.col("size") != ALL_SIZES).select(F.col("group").alias("g"), F.col("size").alias("s"), *ends)
     of_all = limits.where(F.col("size") == ALL_SIZES).select(F.col("group").alias("h"), *(F.col(e).alias(f"all_{e}") for e in ends))
@@ -166,6 +166,6 @@ def judge(docs: DataFrame, width: float = 4.0, least_tokens: int = 50, least_doc
     for m in MEASURES:
         low, high = (F.coalesce(f"{m}_{e}", f"all_{m}_{e}") for e in ("low", "high"))
         inside &= F.coalesce(F.col(m).between(low - 0.001, high + 0.001), F.lit(True))
-    out = rows.join(of_size, (F.col("group") == F.col("g")) & (size_class() == F.col("s")), "left").join(of_all, F.col("group") == F.col("h"), "left")
+    out = rows.join(small(of_size), (F.col("group") == F.col("g")) & (size_class() == F.col("s")), "left").join(small(of_all), F.col("group") == F.col("h"), "left")
     kept = ~failed & ((F.col("n_tokens") < least_tokens) | inside)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "n_tokens", *MEASURES)
