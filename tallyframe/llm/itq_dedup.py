@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import join_by_key, materialise
 from .components import components
 
 
@@ -155,11 +155,13 @@ def near_classes(embeddings: DataFrame, least: float = 0.93, sample: int = 5000,
     coded = groups.select("label", "dim", "rep", "weight", "vector").mapInArrow(encode, "label bigint, dim int, rep bigint, weight bigint, vector binary, code bigint, keys array<bigint>")
     coded = materialise(coded, "codes")
     spread = coded.select("label", "dim", "rep", F.posexplode("keys").alias("t", "key"))
-    sizes = spread.groupBy("label", "dim", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    bucket = ["label", "dim", "t", "key"]
+    sizes = materialise(spread.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    full = coded.select("label", "dim", "rep", "weight", "vector", "code", F.posexplode("keys").alias("t", "key"))
+    full = join_by_key(full, sizes, bucket, "n", heavy=block)
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    full = coded.select("label", "dim", "rep", "weight", "vector", "code", F.posexplode("keys").alias("t", "key")).join(sizes, ["label", "dim", "t", "key"])
     full = full.select("label", "dim", "t", "key", "rep", "weight", "vector", "code", mine.alias("mine"), F.explode(pairs).alias("p")).select("*", "p.i", "p.j").drop("p")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,8 +194,9 @@ def near_classes(embeddings: DataFrame, least: float = 0.93, sample: int = 5000,
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     classes = groups.select("label", "dim", "digest", "rep", "weight").join(counts, "rep", "left").join(linked, F.col("rep") == F.col("node"), "left")
-    classes = classes.select("label", "dim", "digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    member = valid.select("vec_id", "label", "dim", "digest").join(classes, ["label", "dim", "digest"]).groupBy(F.col("vec_id").alias("v")).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    classes = classes.select("label", "dim", "digest", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    member = join_by_key(valid.select("vec_id", "label", "dim", "digest"), materialise(classes, "classes"), ["label", "dim", "digest"], "weight")
+    member = member.groupBy(F.col("vec_id").alias("v")).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select("vec_id").join(member, F.col("vec_id") == F.col("v"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
