@@ -1,19 +1,22 @@
 """Self-join of documents on the Jaccard similarity of their 5-word shingles, by prefix filters under several orders.
 
 Under any total order of the shingles two sets with enough in common share one of their first
-``size - ceil(threshold * size) + 1`` shingles. Rarest-first order makes these prefixes the rarest shingles:
+``size - ceil(threshold * size) + 1`` shingles. Three global orders are used: by how many documents hold a shingle,
+rarest first, which makes the candidates, and by two hashes, which candidates have to pass as well:
 
 1. Every document's shingles are counted over all documents, as packed arrays by hash bucket. A document whose prefix
    is all shingles that nobody else has links with nothing.
 2. The others' sets are built, equal sets are put together, and the sets that differ are counted again.
-3. Sets that share a prefix shingle become candidates, written as a star around the least of them, never as all pairs;
-   connected components of the stars bound the groups that can link.
-4. In each group (in pairs of blocks, where it is large) candidates must share prefix shingles under three different
-   orders; pairs that pass all filters and are not yet connected are verified on the whole sets.
+3. Each set is posted under its prefix shingles. In each posting list the set of least id is a star's hub; its pairs
+   with the others must share a prefix shingle under the other two orders as well, and are then verified on the whole
+   sets. Verified links make components.
+4. Only lists that still hold several components go on, as stars around other hubs and in the end, over what little is
+   left, as all pairs of different components. Pairs that are connected already can add nothing and are not made.
 
 Cases: null text and text without words has an empty set and links with nothing; fewer than five words are one
-shingle; equal texts link; a null doc_id keeps its count and links with nothing; columns other than doc_id and text
-are ignored; an empty table gives an empty result.
+shingle; texts of any length are read whole; equal texts link; rows of one doc_id get its least class; a null doc_id
+keeps its count and links with nothing; columns other than doc_id and text are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_small_batches, materialise, small, tasks_for, tidied, tidied_group
+from .common import discard, fresh, in_small_batches, join_by_key, materialise, small, tasks_for, tidied, tidied_group
 from .components import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -171,8 +174,8 @@ def sizes_and_own(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     return counted.groupBy("bucket").applyInPandas(add, "doc_id bigint, n bigint, own bigint")
 
 
-def star_links(sets: DataFrame, buckets: int, percent: int, most: int = 32) -> DataFrame:
-    """Candidates among sets(doc_id, tokens): a, b for each b that shares a prefix shingle with the least such a.
+def postings(sets: DataFrame, buckets: int, percent: int, most: int = 32) -> DataFrame:
+    """Prefix shingles that several of sets(doc_id, tokens) hold: token, doc_id, n (the set's size).
 
     The order is by how many sets hold a shingle (``most`` or more count alike), then by a hash. A shingle that a task
     meets ``most`` times goes once, with its count, and its documents learn nothing new from the others.
@@ -231,7 +234,7 @@ def star_links(sets: DataFrame, buckets: int, percent: int, most: int = 32) -> D
         room = prefix_size(n, percent) - np.bincount(np.searchsorted(ids, owner), weights=own, minlength=len(ids)).astype(np.int64)
         rows = pdf[(pdf["kind"] == _SHARED) | (pdf["kind"] == _HOT)]
         if not len(rows):
-            return pd.DataFrame(columns=_COLUMNS)
+            return pd.DataFrame({"token": [], "doc_id": [], "n": []}).astype("int64")
         who = np.searchsorted(ids, np.concatenate([np.frombuffer(x, dtype=np.int64) for x in rows["docs"]]))
         three = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in rows["tokens"]]).reshape(-1, 3)
         token = three[:, 0].astype(np.uint64) << np.uint64(32) | three[:, 1]
@@ -239,87 +242,121 @@ def star_links(sets: DataFrame, buckets: int, percent: int, most: int = 32) -> D
         who, three = who[order], three[order]
         first, times = _alike(who)
         inside = np.arange(len(who)) - np.repeat(first, times) < room[who]
-        out = _split(_TOKENS, three[inside, 0].astype(np.int64), ids[who[inside]], None, three[inside, 1])
-        return pd.DataFrame(out, columns=_COLUMNS)
-
-    def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner, _, tokens = _arrays(pdf, _TOKENS)
-        order = np.lexsort((owner, tokens))
-        tokens, owner = tokens[order], owner[order]
-        first, times = _alike(tokens)
-        pairs = np.unique(np.stack([np.repeat(owner[first], times), owner], axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        name = three[inside, 0].astype(np.int64) << 32 | three[inside, 1].astype(np.int64)
+        return pd.DataFrame({"token": name, "doc_id": ids[who[inside]], "n": n[who[inside]]})
 
     counted = sets.select("doc_id", "tokens").mapInArrow(tidied(send), _PACKED).groupBy("bucket").applyInPandas(tidied_group(count), _PACKED)
-    listed = counted.groupBy("bucket").applyInPandas(tidied_group(prefixes), _PACKED)
-    return listed.groupBy("bucket").applyInPandas(stars, "a bigint, b bigint")
+    return counted.groupBy("bucket").applyInPandas(tidied_group(prefixes), "token bigint, doc_id bigint, n bigint")
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, orders: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and, for each, the least id it is connected to by links among these sets.
+def in_prefix(tokens: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, order: int) -> np.ndarray:
+    """Which tokens are in their set's prefix under a hash order. owner: the set of each token, ascending; n: sizes of the sets."""
+    rank = np.lexsort((mixed(tokens ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64))), owner))
+    ends = np.cumsum(n)
+    out = np.zeros(len(tokens), dtype=bool)
+    out[rank] = np.arange(len(tokens)) - np.repeat(ends - n, n) < np.repeat(prefix_size(n, percent), n)
+    return out
 
-    side: 0 or 1 for each set when only pairs of different sides are to be compared.
-    """
-    n = np.array([len(x) for x in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-    _, local, times = np.unique(flat, return_inverse=True, return_counts=True)
-    ends, room = np.concatenate([[0], np.cumsum(n)]), prefix_size(n, percent)
-    root = np.arange(len(sets))
-    share = np.ones((len(sets), len(sets)), dtype=bool)
-    for k in range(orders):
-        key = mixed(np.arange(len(times), dtype=np.uint64) + np.uint64(1 + k * 7919))
-        order = np.lexsort((key[local], times[local], owner))
-        rank = np.arange(len(flat)) - ends[owner]
-        chosen = order[rank < room[owner]]
-        chosen = chosen[times[local[chosen]] > 1]
-        names, at = np.unique(local[chosen], return_inverse=True)
-        both = np.zeros_like(share)
-        for a in range(0, len(names), 4096):
-            here = (at >= a) & (at < a + 4096)
-            x = np.zeros((len(sets), min(4096, len(names) - a)), dtype=np.float32)
-            x[owner[chosen[here]], at[here] - a] = 1
-            both |= x @ x.T > 0
-        share &= both
-    mark = np.zeros(len(times), dtype=bool)
-    for i in range(len(sets)):
-        other = np.flatnonzero(share[i, i + 1 :] & (root[i + 1 :] != root[i])) + i + 1
-        other = other[100 * np.minimum(n[i], n[other]) >= percent * np.maximum(n[i], n[other])]
-        if side is not None:
-            other = other[side[other] != side[i]]
-        if not len(other):
-            continue
-        mark[local[ends[i] : ends[i + 1]]] = True
-        for j in other:
-            if root[j] != root[i]:
-                common = int(mark[local[ends[j] : ends[j + 1]]].sum())
-                if 100 * common >= percent * (n[i] + n[j] - common):
-                    root[(root == root[i]) | (root == root[j])] = min(root[i], root[j])
-        mark[local[ends[i] : ends[i + 1]]] = False
-    least = np.full(len(sets), np.iinfo(np.int64).max)
-    np.minimum.at(least, root, ids)
-    return ids, least[root]
-
-
-def verified_links(sets: DataFrame, groups: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Links a, b that connect what is linked in each candidate group. sets(doc_id, tokens), groups(node, component)."""
-    counts = groups.groupBy("component").agg(F.count("*").alias("members"))
-    of = sets.join(groups, F.col("doc_id") == F.col("node")).join(counts.withColumnRenamed("component", "c"), F.col("component") == F.col("c"))
-    blocks = F.ceil(F.col("members") / block).cast("int")
+
+def matches(hub: np.ndarray, others: list[np.ndarray], percent: int, orders: int = 2) -> tuple[np.ndarray, list[int]]:
+    """Which others link with hub, and how many passed each filter: size, prefixes under each hash order."""
+    n, size = np.array([len(x) for x in others], dtype=np.int64), len(hub)
+    at = np.flatnonzero(100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+    passed = [len(at)]
+    for order in range(1, orders + 1):
+        if not len(at):
+            break
+        flat, owner = np.concatenate([others[i] for i in at]), np.repeat(np.arange(len(at)), n[at])
+        first = np.sort(hub[in_prefix(hub, np.zeros(size, np.int64), np.array([size]), percent, order)])
+        hit = in_prefix(flat, owner, n[at], percent, order) & (first[np.minimum(np.searchsorted(first, flat), len(first) - 1)] == flat)
+        at = at[np.bincount(owner[hit], minlength=len(at)) > 0]
+        passed.append(len(at))
+    out = np.zeros(len(others), dtype=bool)
+    if len(at):
+        flat = np.concatenate([others[i] for i in at])
+        hit = hub[np.minimum(np.searchsorted(hub, flat), size - 1)] == flat
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[at]) - n[at])
+        out[at] = 100 * common >= percent * (n[at] + size - common)
+    return out, passed
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, mb_each: float = 8.0, salts: int = 256) -> DataFrame:
+    """The pairs (a, b) of sets(doc_id, tokens) that link. A hub a is dealt in ``salts`` parts by its partners, so that none is a hot group."""
+    pairs = materialise(pairs.distinct(), "pairs")
+    mean = sets.agg(F.avg(F.length("tokens"))).first()[0] or 0
+    buckets = max(8, int(pairs.count() * mean / (mb_each * 1e6)) + 1)
+    to = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(salts))), F.lit(buckets)).cast("int")
+    dealt = pairs.select("a", "b", to.alias("bucket"))
+    members = dealt.join(sets, F.col("b") == F.col("doc_id")).select("bucket", "a", "b", "tokens")
+    hubs = dealt.select("bucket", "a").distinct().join(sets, F.col("a") == F.col("doc_id")).select("bucket", "a", F.lit(None).cast("bigint").alias("b"), "tokens")
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        hub = {a: np.frombuffer(x, dtype=np.uint64) for a, x in zip(pdf.loc[pdf["b"].isna(), "a"], pdf.loc[pdf["b"].isna(), "tokens"])}
+        for a, some in pdf[pdf["b"].notna()].groupby("a"):
+            b, each = some["b"].to_numpy().astype(np.int64), [np.frombuffer(x, dtype=np.uint64) for x in some["tokens"]]
+            step = max(1, 2_000_000 // max(map(len, each)))
+            for k in range(0, len(b), step):
+                yes, _ = matches(hub[a], each[k : k + step], percent)
+                out += [(a, x) for x in b[k : k + step][yes]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return members.union(hubs).groupBy("bucket").applyInPandas(tidied_group(check), "a bigint, b bigint")
+
+
+def _alike_in_size(percent: int):
+    return lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def star_pairs(lists: DataFrame, percent: int, seed: int | None = None) -> DataFrame:
+    """Pairs of each list's hub with its members in other components. lists(token, doc_id, n, c); the hub has the least id, or the least hash of it with a seed."""
+    key = F.col("doc_id") if seed is None else F.xxhash64("doc_id", F.lit(seed))
+    hubs = lists.groupBy("token").agg(F.min(F.struct(key.alias("k"), "doc_id", "n", "c")).alias("hub"), F.count("*").alias("m"))
+    both = join_by_key(lists, materialise(hubs.where("m > 1"), "hubs"), ["token"], "m")
+    a, b = F.least("doc_id", "hub.doc_id"), F.greatest("doc_id", "hub.doc_id")
+    return both.where((F.col("c") != F.col("hub.c")) & _alike_in_size(percent)(F.col("n"), F.col("hub.n"))).select(a.alias("a"), b.alias("b")).distinct()
+
+
+def cross_pairs(lists: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Pairs of members of one list that are in different components, of sizes that can link; long lists in pairs of blocks. lists(token, doc_id, n, c, m)."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    rows = of.select("doc_id", "tokens", "component", mine.alias("mine"), F.explode(pairs).alias("p"))
+    with_ = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+    rows = lists.select("token", F.struct("doc_id", "n", "c", mine.alias("mine")).alias("x"), F.explode(with_).alias("p")).select("token", "x", "p.i", "p.j")
+    groups = rows.groupBy("token", "i", "j").agg(F.collect_list("x").alias("xs"))
+    one, two = F.filter("xs", lambda x: x["mine"] == F.col("i")), F.filter("xs", lambda x: x["mine"] == F.col("j"))
+    able = _alike_in_size(percent)
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pd.DataFrame(columns=["a", "b"])
-        pdf = pdf.sort_values("doc_id")
-        side = None if pdf["i"].iloc[0] == pdf["j"].iloc[0] else (pdf["mine"] != pdf["i"]).to_numpy().astype(int)
-        ids, least = linked(pdf["doc_id"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in pdf["tokens"]], percent, side)
-        return pd.DataFrame({"a": least, "b": ids})[lambda x: x["a"] != x["b"]]
+    def partners(x):
+        ok = lambda y: (x["c"] != y["c"]) & able(x["n"], y["n"]) & ((F.col("i") != F.col("j")) | (x["doc_id"] < y["doc_id"]))
+        return F.transform(F.filter(two, ok), lambda y: F.struct(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b")))
 
-    rows = rows.select("doc_id", "tokens", "component", "mine", "p.i", "p.j")
-    return rows.groupBy("component", "i", "j").applyInPandas(verify, "a bigint, b bigint")
+    return groups.select(F.explode(F.flatten(F.transform(one, partners))).alias("q")).select("q.a", "q.b").distinct()
+
+
+def connecting_links(sets: DataFrame, percent: int, few: int = 4, rounds: int = 4) -> DataFrame:
+    """node, component of the sets(doc_id, tokens) that link with another.
+
+    Stars go on while the pairs left between components are over ``few`` for each posting, for ``rounds`` rounds at
+    most; then all pairs that are left are verified.
+    """
+    posted = materialise(postings(sets, tasks_for(sets, 6, 16), percent), "postings")
+    links = materialise(verified(star_pairs(posted.withColumn("c", F.col("doc_id")), percent), sets, percent), "verified")
+    for k in range(rounds + 1):
+        found = components(links)
+        lists = posted.join(small(found), F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        each = lists.groupBy("token", "c").agg(F.count("*").alias("one")).groupBy("token").agg(F.sum("one").alias("m"), F.sum(F.col("one") * F.col("one")).alias("squares"))
+        mixed_ = materialise(each.where("squares < m * m").select("token", "m", ((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("left")), "mixed")
+        left, posts = mixed_.agg(F.sum("left"), F.sum("m")).first()
+        if not left:
+            return found
+        open_ = materialise(join_by_key(lists, mixed_.select("token", "m"), ["token"], "m"), "open")
+        last = left <= few * posts or k == rounds
+        pairs = cross_pairs(open_, percent) if last else star_pairs(open_.drop("m"), percent, k)
+        links = materialise(links.union(verified(pairs, sets, percent)), "verified")
+        discard(open_)
+        if last:
+            return components(links)
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
@@ -338,15 +375,13 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "tokens"])
 
     sets = materialise(rows.join(near, F.col("doc_id") == F.col("d"), "left_semi").mapInArrow(tidied(build), "doc_id bigint, digest binary, tokens binary"), "sets")
-    least = small(materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "least"))
-    member = materialise(sets.select("doc_id", F.col("digest").alias("g")).join(least, F.col("g") == F.col("digest")).select("doc_id", "rep").distinct(), "members")
+    least = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "least")
+    member = materialise(join_by_key(sets.select("doc_id", "digest"), least, ["digest"], "copies").select("doc_id", "rep").distinct(), "members")
     firsts = materialise(sets.join(small(member.where("doc_id = rep").select("rep")), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "tokens").dropDuplicates(["doc_id"]), "firsts")
     discard(sets)
-    candidates = components(star_links(firsts, tasks_for(firsts, 6, 16), percent))
-    links = components(verified_links(firsts, candidates, percent))
-    discard(candidates)
+    links = connecting_links(firsts, percent)
     discard(firsts)
-    classes = member.join(links, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("d"), F.coalesce("component", "rep").alias("c"))
+    classes = member.join(links, F.col("rep") == F.col("node"), "left").groupBy(F.col("doc_id").alias("d")).agg(F.min(F.coalesce("component", "rep")).alias("c"))
     out = stats.join(classes, F.col("doc_id") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
     def only_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +393,13 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
-    """The documents, all columns, without those linked to a document of a lower id."""
+    """The documents, all columns, without those linked to a document of a lower id; of rows with one doc_id and text one stays."""
     classes = jaccard_classes(docs.select("doc_id", "text"), percent, size)
-    gone = materialise(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    away = fresh("gone")
+    gone = materialise(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(away)).distinct(), "gone")
+    kept = docs.join(small(gone), F.col("doc_id") == F.col(away), "left_anti")
+    again = materialise(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias(away)), "again")
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id") == F.col(away)
+    return kept.join(small(again), same, "left_anti").union(kept.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))

@@ -7,7 +7,7 @@ import numpy as np
 from tallyframe.llm.bwt_merge import repeated_starts
 from tallyframe.llm.components import components
 from tallyframe.llm.itq_dedup import near_classes, table_masks, train_rotation
-from tallyframe.llm.ngram_join import Shingler, jaccard_classes, linked, one_of_each
+from tallyframe.llm.ngram_join import Shingler, connecting_links, cross_pairs, jaccard_classes, matches, one_of_each, postings, prefix_size
 from tallyframe.llm.suffix_dedup import digest_removed, remove_repeats
 
 from .corpus import by_id, documents, empty, texts
@@ -93,27 +93,70 @@ def test_jaccard_classes_against_all_pairs(spark):
     assert jaccard_classes(empty(spark)).count() == 0
 
 
-def test_near_copies_in_pairs_of_blocks(spark):
-    r = random.Random(8)
-    base = [f"w{i}" for i in range(60)]
-    rows = {}
-    for i in range(90):
+def near_copies(n=90, seed=8):
+    r = random.Random(seed)
+    base, rows = [f"w{i}" for i in range(60)], {}
+    for i in range(n):
         w = list(base)
-        w[r.randrange(60)] = f"x{i}"
+        for _ in range(r.randint(1, 2)):
+            w[r.randrange(60)] = f"x{i}"
         rows[i] = " ".join(w)
-    from pyspark.sql import functions as F
+    return rows
 
-    from tallyframe.llm import ngram_join
 
+def sets_of(spark, rows):
     s = Shingler()
-    sets = spark.createDataFrame([(i, bytearray(s.set_of(t).tobytes())) for i, t in rows.items()], "doc_id bigint, tokens binary")
-    groups = spark.range(90).select(F.col("id").alias("node"), F.lit(0).cast("bigint").alias("component"))
-    links = [(x["a"], x["b"]) for x in ngram_join.verified_links(sets, groups, 75, block=20).collect()]
-    assert union(rows, links) == {i: c for i, (_, c) in classes(rows).items()}
-    ids, least = linked(np.arange(90), [s.set_of(rows[i]) for i in range(90)], 75)
-    assert dict(zip(ids.tolist(), least.tolist())) == {i: c for i, (_, c) in classes(rows).items()}
+    return spark.createDataFrame([(i, bytearray(s.set_of(t).tobytes())) for i, t in rows.items()], "doc_id bigint, tokens binary")
+
+
+def test_near_copies_by_stars_and_by_all_that_is_left(spark):
+    rows = near_copies()
+    want = {i: c for i, (_, c) in classes(rows).items()}
+    assert len(set(want.values())) > 1 and max(Counter(want.values()).values()) > 10
+    for how in ({}, {"few": 0}, {"rounds": 0}):
+        got = {x["node"]: x["component"] for x in connecting_links(sets_of(spark, rows), 75, **how).collect()}
+        assert {i: got.get(i, i) for i in rows} == want
     kept = one_of_each(documents(spark, rows))
-    assert {x["doc_id"] for x in kept.collect()} == {c for _, c in classes(rows).values()}
+    assert {x["doc_id"] for x in kept.collect()} == set(want.values())
+
+
+def test_pairs_of_blocks_make_every_cross_pair_once(spark):
+    lists = spark.createDataFrame([(7, i, 50 + i, i % 3, 30) for i in range(30)], "token bigint, doc_id bigint, n bigint, c bigint, m bigint")
+    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 != b % 3 and 100 * (50 + a) >= 75 * (50 + b)}
+    got = [(x["a"], x["b"]) for x in cross_pairs(lists, 75, block=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_each_order_prunes_and_keeps_every_link():
+    r, s = random.Random(4), Shingler()
+    base = [f"w{i}" for i in range(80)]
+    texts_ = []
+    for k in range(200):
+        cut = r.randrange(80)
+        texts_.append(" ".join(base[:cut] + [f"y{k}_{j}" for j in range(80 - cut)]))
+    hub, others = s.set_of(" ".join(base)), [s.set_of(t) for t in texts_]
+    yes, passed = matches(hub, others, 75)
+    true = [100 * len(set(hub) & set(o)) >= 75 * len(set(hub) | set(o)) for o in others]
+    assert yes.tolist() == true and any(true)
+    assert 200 == passed[0] > passed[1] > passed[2] >= sum(true) and len(passed) == 3
+
+
+def test_prefixes_are_the_rarest_shingles_of_all_sets(spark):
+    rows = near_copies(40)
+    held = Counter(x for t in rows.values() for x in set(Shingler().set_of(t).tolist()))
+    posted = Counter()
+    for x in postings(sets_of(spark, rows), 8, 75).collect():
+        posted[x["doc_id"]] += 1
+    for i, t in rows.items():
+        some = Shingler().set_of(t).tolist()
+        alone = sum(held[x] == 1 for x in some)
+        assert posted[i] == max(0, prefix_size(len(some), 75) - alone)
+
+
+def test_rows_of_one_id(spark):
+    docs = documents(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (2, "A b c d e f"), (3, "q r s t u v"), (None, "a b c d e f")])
+    assert sorted(((x["doc_id"], x["component_id"]) for x in jaccard_classes(docs).collect()), key=str) == sorted([(1, 1)] * 3 + [(2, 1), (3, 1), (None, None)], key=str)
+    assert sorted((str(x["doc_id"]), x["text"]) for x in one_of_each(docs).collect()) == [("1", "a b c d e f"), ("1", "q r s t u v"), ("None", "a b c d e f")]
 
 
 def test_components_of_chains_stars_and_cycles(spark):
