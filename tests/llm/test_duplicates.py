@@ -132,13 +132,13 @@ def test_each_order_prunes_and_keeps_every_link():
     base = [f"w{i}" for i in range(80)]
     texts_ = []
     for k in range(200):
-        cut = r.randrange(80)
+        cut = r.randrange(80) if k % 2 else r.randrange(4, 16)
         texts_.append(" ".join(base[:cut] + [f"y{k}_{j}" for j in range(80 - cut)]))
     hub, others = s.set_of(" ".join(base)), [s.set_of(t) for t in texts_]
     yes, passed = matches(hub, others, 75)
     true = [100 * len(set(hub) & set(o)) >= 75 * len(set(hub) | set(o)) for o in others]
     assert yes.tolist() == true and any(true)
-    assert 200 == passed[0] > passed[1] > passed[2] >= sum(true) and len(passed) == 3
+    assert 200 >= passed[0] > passed[1] > passed[2] >= sum(true) and len(passed) == 3
 
 
 def test_prefixes_are_the_rarest_shingles_of_all_sets(spark):
