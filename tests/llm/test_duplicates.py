@@ -133,7 +133,8 @@ def test_each_order_prunes_and_keeps_every_link():
     texts_ = []
     for k in range(200):
         cut = r.randrange(80) if k % 2 else r.randrange(4, 16)
-        texts_.append(" ".join(base[:cut] + [f"y{k}_{j}" for j in range(80 - cut)]))
+        at = r.randrange(81 - cut)
+        texts_.append(" ".join(base[at : at + cut] + [f"y{k}_{j}" for j in range(80 - cut)]))
     hub, others = s.set_of(" ".join(base)), [s.set_of(t) for t in texts_]
     yes, passed = matches(hub, others, 75)
     true = [100 * len(set(hub) & set(o)) >= 75 * len(set(hub) | set(o)) for o in others]
