@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyframe.llm.bwt_merge import repeated_starts
 from tallyframe.llm.components import components
@@ -61,13 +62,24 @@ def removed(rows, length=200):
 def test_repeated_passages_against_all_windows(spark):
     rows = list(texts().items()) + [(3, texts()[3]), (None, texts()[6])]
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    for how in ({}, {"most": 1}, {"gram": 120, "part_bytes": 2000}):
+    for how in ({}, {"most": 1}, {"most": 1, "bits": 2}, {"grams": (120,), "part_bytes": 2000, "bits": 2}):  # few bits: anchors of different grams collide
         got = sorted((tuple(r[c] for c in cols) for r in digest_removed(documents(spark, rows), **how).collect()), key=str)
         assert got == removed(rows)
     assert digest_removed(empty(spark)).count() == 0
-    docs = documents(spark, rows)
+    docs = documents(spark, rows).withColumn("_key", F.lit("mine"))
     out = remove_repeats(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.columns == docs.columns and out.count() == docs.count() and {r["_key"] for r in out.collect()} == {"mine"}
+
+
+def test_a_task_sends_a_repeated_context_twice_at_most():
+    from tallyframe.llm.suffix_dedup import Sent, contexts_of
+
+    raw, sent = (b"some words that come again and again in one text after another " * 40)[:400], Sent()
+    states = []
+    for _ in range(4):
+        c = contexts_of(np.array([1]), np.array([0]), [raw], 200, 48)[:1]
+        states.append(int(sent.look(c)[0]))
+    assert states == [0, 1, 2, 2]
 
 
 def shingles(t):
