@@ -7,11 +7,11 @@ rarest first, which makes the candidates, and by two hashes, which candidates ha
 1. Every document's shingles are counted over all documents, as packed arrays by hash bucket. A document whose prefix
    is all shingles that nobody else has links with nothing.
 2. The others' sets are built, equal sets are put together, and the sets that differ are counted again.
-3. Each set is posted under its prefix shingles. In each posting list the set of least id is a star's hub; its pairs
-   with the others must share a prefix shingle under the other two orders as well, and are then verified on the whole
-   sets. Verified links make components.
-4. Only lists that still hold several components go on, as stars around other hubs and in the end, over what little is
-   left, as all pairs of different components. Pairs that are connected already can add nothing and are not made.
+3. Sets that share a prefix shingle make a star around the least of them, never all pairs. A star's pairs that share
+   prefix shingles under the other two orders as well are verified on the whole sets; the links make components.
+4. Connected stars bound the groups that can link. A group that its verified links connect is done. In any other, pairs
+   of different components must share prefix shingles under all three orders before they are verified; large groups are
+   dealt out in pairs of blocks of sets that are near enough in size.
 
 Cases: null text and text without words has an empty set and links with nothing; fewer than five words are one
 shingle; texts of any length are read whole; equal texts link; rows of one doc_id get its least class; a null doc_id
@@ -114,7 +114,7 @@ def _split(kind: int, where: np.ndarray, docs: np.ndarray, values: np.ndarray, t
 
 _COLUMNS = ["kind", "bucket", "docs", "counts", "tokens"]
 #: Kinds of packed rows: sizes of sets; shingles to count; shingles met several times in a task, with how often; results.
-_SIZES, _TOKENS, _MANY, _OWN, _SHARED, _HOT = range(6)
+_SIZES, _TOKENS, _MANY, _OWN, _SHARED, _HOT, _PREFIX = range(7)
 
 
 def _batches_of_sets(batches, from_text: bool, size: int):
@@ -174,8 +174,8 @@ def sizes_and_own(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     return counted.groupBy("bucket").applyInPandas(add, "doc_id bigint, n bigint, own bigint")
 
 
-def postings(sets: DataFrame, buckets: int, percent: int, most: int = 32) -> DataFrame:
-    """Prefix shingles that several of sets(doc_id, tokens) hold: token, doc_id, n (the set's size).
+def prefix_lists(sets: DataFrame, buckets: int, percent: int, most: int = 32) -> DataFrame:
+    """Prefix shingles that several of sets(doc_id, tokens) hold, packed: _TOKENS by the shingle's bucket, _PREFIX by document.
 
     The order is by how many sets hold a shingle (``most`` or more count alike), then by a hash. A shingle that a task
     meets ``most`` times goes once, with its count, and its documents learn nothing new from the others.
@@ -234,19 +234,49 @@ def postings(sets: DataFrame, buckets: int, percent: int, most: int = 32) -> Dat
         room = prefix_size(n, percent) - np.bincount(np.searchsorted(ids, owner), weights=own, minlength=len(ids)).astype(np.int64)
         rows = pdf[(pdf["kind"] == _SHARED) | (pdf["kind"] == _HOT)]
         if not len(rows):
-            return pd.DataFrame({"token": [], "doc_id": [], "n": []}).astype("int64")
+            return pd.DataFrame(columns=_COLUMNS)
         who = np.searchsorted(ids, np.concatenate([np.frombuffer(x, dtype=np.int64) for x in rows["docs"]]))
         three = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in rows["tokens"]]).reshape(-1, 3)
         token = three[:, 0].astype(np.uint64) << np.uint64(32) | three[:, 1]
         order = np.lexsort((mixed(token), three[:, 2], who))
-        who, three = who[order], three[order]
+        who, three, token = who[order], three[order], token[order]
         first, times = _alike(who)
         inside = np.arange(len(who)) - np.repeat(first, times) < room[who]
-        name = three[inside, 0].astype(np.int64) << 32 | three[inside, 1].astype(np.int64)
-        return pd.DataFrame({"token": name, "doc_id": ids[who[inside]], "n": n[who[inside]]})
+        out = _split(_TOKENS, three[inside, 0].astype(np.int64), ids[who[inside]], None, three[inside, 1])
+        docs, runs = _runs(ids[who[inside]])
+        out.append((_PREFIX, int(pdf["bucket"].iloc[0]), docs.astype(np.int64).tobytes(), runs.astype(np.uint32).tobytes(), token[inside].tobytes()))
+        return pd.DataFrame(out, columns=_COLUMNS)
 
     counted = sets.select("doc_id", "tokens").mapInArrow(tidied(send), _PACKED).groupBy("bucket").applyInPandas(tidied_group(count), _PACKED)
-    return counted.groupBy("bucket").applyInPandas(tidied_group(prefixes), "token bigint, doc_id bigint, n bigint")
+    return counted.groupBy("bucket").applyInPandas(tidied_group(prefixes), _PACKED)
+
+
+def star_pairs(lists: DataFrame) -> DataFrame:
+    """a, b for each b that shares a prefix shingle with a, the least document that has it."""
+
+    def stars(pdf: pd.DataFrame) -> pd.DataFrame:
+        owner, _, tokens = _arrays(pdf, _TOKENS)
+        order = np.lexsort((owner, tokens))
+        tokens, owner = tokens[order], owner[order]
+        first, times = _alike(tokens)
+        pairs = np.unique(np.stack([np.repeat(owner[first], times), owner], axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return lists.where(f"kind = {_TOKENS}").groupBy("bucket").applyInPandas(stars, "a bigint, b bigint").distinct()
+
+
+def prefixes_of(lists: DataFrame) -> DataFrame:
+    """p_doc, prefix: each document's packed prefix shingles under the order by frequency."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, runs, tokens in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                ids, ends = np.frombuffer(docs, dtype=np.int64), 8 * np.cumsum(np.frombuffer(runs, dtype=np.uint32).astype(np.int64))
+                parts = [tokens[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(parts, pa.binary())], names=["p_doc", "prefix"])
+
+    return lists.where(f"kind = {_PREFIX}").select("docs", "counts", "tokens").mapInArrow(run, "p_doc bigint, prefix binary")
 
 
 def in_prefix(tokens: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, order: int) -> np.ndarray:
@@ -304,59 +334,101 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, mb_each: float = 8
     return members.union(hubs).groupBy("bucket").applyInPandas(tidied_group(check), "a bigint, b bigint")
 
 
-def _alike_in_size(percent: int):
-    return lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-
-def star_pairs(lists: DataFrame, percent: int, seed: int | None = None) -> DataFrame:
-    """Pairs of each list's hub with its members in other components. lists(token, doc_id, n, c); the hub has the least id, or the least hash of it with a seed."""
-    key = F.col("doc_id") if seed is None else F.xxhash64("doc_id", F.lit(seed))
-    hubs = lists.groupBy("token").agg(F.min(F.struct(key.alias("k"), "doc_id", "n", "c")).alias("hub"), F.count("*").alias("m"))
-    both = join_by_key(lists, materialise(hubs.where("m > 1"), "hubs"), ["token"], "m")
-    a, b = F.least("doc_id", "hub.doc_id"), F.greatest("doc_id", "hub.doc_id")
-    return both.where((F.col("c") != F.col("hub.c")) & _alike_in_size(percent)(F.col("n"), F.col("hub.n"))).select(a.alias("a"), b.alias("b")).distinct()
-
-
-def cross_pairs(lists: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Pairs of members of one list that are in different components, of sizes that can link; long lists in pairs of blocks. lists(token, doc_id, n, c, m)."""
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    with_ = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    rows = lists.select("token", F.struct("doc_id", "n", "c", mine.alias("mine")).alias("x"), F.explode(with_).alias("p")).select("token", "x", "p.i", "p.j")
-    groups = rows.groupBy("token", "i", "j").agg(F.collect_list("x").alias("xs"))
-    one, two = F.filter("xs", lambda x: x["mine"] == F.col("i")), F.filter("xs", lambda x: x["mine"] == F.col("j"))
-    able = _alike_in_size(percent)
+def sharing(prefixes: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sets share a prefix shingle."""
+    flat, owner = np.concatenate(prefixes), np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes])
+    names, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    some = times[at] > 1
+    names, at = np.unique(at[some], return_inverse=True)
+    owner, share = owner[some], np.zeros((len(prefixes), len(prefixes)), dtype=bool)
+    for a in range(0, len(names), 4096):
+        here = (at >= a) & (at < a + 4096)
+        x = np.zeros((len(prefixes), min(4096, len(names) - a)), dtype=np.float32)
+        x[owner[here], at[here] - a] = 1
+        share |= x @ x.T > 0
+    return share
 
-    def partners(x):
-        ok = lambda y: (x["c"] != y["c"]) & able(x["n"], y["n"]) & ((F.col("i") != F.col("j")) | (x["doc_id"] < y["doc_id"]))
-        return F.transform(F.filter(two, ok), lambda y: F.struct(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b")))
 
-    return groups.select(F.explode(F.flatten(F.transform(one, partners))).alias("q")).select("q.a", "q.b").distinct()
+def linked(ids: np.ndarray, known: np.ndarray, sets: list[np.ndarray], prefixes: list[np.ndarray], percent: int, side: np.ndarray | None = None, orders: int = 2) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links (a, b) that join sets of different components, and how many pairs passed each order. known: the components so far.
 
+    prefixes: those under the order by frequency; side: 0 or 1 for each set when only pairs of different sides are to be compared.
+    """
+    n, owner = np.array([len(x) for x in sets], dtype=np.int64), None
+    able = (known[:, None] != known[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    if side is not None:
+        able &= side[:, None] != side[None, :]
+    able = np.triu(able, 1)
+    passed = [int(able.sum())]
+    if able.any():
+        able &= sharing(prefixes)
+        passed.append(int(able.sum()))
+    if able.any():
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        for order in range(1, orders + 1):
+            inside = in_prefix(flat, owner, n, percent, order)
+            able &= sharing(np.split(flat[inside], np.cumsum(np.bincount(owner[inside], minlength=len(sets)))[:-1]))
+            passed.append(int(able.sum()))
+    root, out = known.copy(), []
+    for i in np.flatnonzero(able.any(1)):
+        others = [j for j in np.flatnonzero(able[i]) if root[j] != root[i]]
+        if not others:
+            continue
+        flat = np.concatenate([sets[j] for j in others])
+        hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), n[i] - 1)] == flat
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[others]) - n[others])
+        for j, k in zip(others, common.tolist()):
+            if 100 * k >= percent * (n[i] + n[j] - k):
+                out.append((int(ids[i]), int(ids[j])))
+                root[root == root[j]] = root[i]
+    return out, passed
 
-def connecting_links(sets: DataFrame, percent: int, few: int = 4, rounds: int = 4) -> DataFrame:
-    """node, component of the sets(doc_id, tokens) that link with another.
 
-    Stars go on while the pairs left between components are over ``few`` for each posting, for ``rounds`` rounds at
-    most; then all pairs that are left are verified.
-    """
-    posted = materialise(postings(sets, tasks_for(sets, 6, 16), percent), "postings")
-    links = materialise(verified(star_pairs(posted.withColumn("c", F.col("doc_id")), percent), sets, percent), "verified")
-    for k in range(rounds + 1):
-        found = components(links)
-        lists = posted.join(small(found), F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-        each = lists.groupBy("token", "c").agg(F.count("*").alias("one")).groupBy("token").agg(F.sum("one").alias("m"), F.sum(F.col("one") * F.col("one")).alias("squares"))
-        mixed_ = materialise(each.where("squares < m * m").select("token", "m", ((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("left")), "mixed")
-        left, posts = mixed_.agg(F.sum("left"), F.sum("m")).first()
-        if not left:
-            return found
-        open_ = materialise(join_by_key(lists, mixed_.select("token", "m"), ["token"], "m"), "open")
-        last = left <= few * posts or k == rounds
-        pairs = cross_pairs(open_, percent) if last else star_pairs(open_.drop("m"), percent, k)
-        links = materialise(links.union(verified(pairs, sets, percent)), "verified")
-        discard(open_)
-        if last:
-            return components(links)
+def open_links(sets: DataFrame, groups: DataFrame, lists: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links a, b between different components of each group. groups(node, g, c): the group and the component so far of each set."""
+    size_class = F.when(F.col("members") > block, F.floor(F.log(F.col("n")) / np.log(100 / percent) + 1e-9)).otherwise(0).cast("int")
+    counts = groups.groupBy("g").agg(F.count("*").alias("members"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("g", "members")
+    rows = join_by_key(groups, materialise(counts, "groups"), ["g"], "members")
+    sizes = sets.select(F.col("doc_id").alias("node"), (F.length("tokens") / 8).cast("bigint").alias("n"))
+    rows = materialise(rows.join(sizes, "node").withColumn("k", size_class), "grouped")
+    blocks = rows.groupBy("g", "k").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("weight"))
+    near = lambda step, name: blocks.select("g", (F.col("k") + step).alias("k"), F.col("blocks").alias(name))
+    blocks = blocks.join(near(1, "before"), ["g", "k"], "left").join(near(-1, "after"), ["g", "k"], "left").na.fill(0, ["before", "after"])
+    rows = join_by_key(rows, materialise(blocks, "blocks"), ["g", "k"], "weight")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda j: j < n)
+    one = F.col("k").alias("k1"), F.col("k").alias("k2")
+    same = F.transform(upto(F.col("blocks")), lambda j: F.struct(*one, F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), (F.greatest(mine, j) == mine).cast("int").alias("side")))
+    up = F.transform(upto(F.col("after")), lambda j: F.struct(one[0], (F.col("k") + 1).alias("k2"), mine.alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    down = F.transform(upto(F.col("before")), lambda j: F.struct((F.col("k") - 1).alias("k1"), one[1], j.alias("i"), mine.alias("j"), F.lit(1).alias("side")))
+    dealt = rows.select("node", "g", "c", F.explode(F.concat(same, up, down)).alias("p")).select("node", "g", "c", "p.*")
+    dealt = dealt.join(sets, F.col("node") == F.col("doc_id")).join(prefixes_of(lists), F.col("node") == F.col("p_doc")).select("node", "g", "c", "k1", "k2", "i", "j", "side", "tokens", "prefix")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["c"].nunique() < 2:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        pdf = pdf.sort_values("node")
+        whole = pdf["k1"].iloc[0] == pdf["k2"].iloc[0] and pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        read = lambda c: [np.frombuffer(x, dtype=np.uint64) for x in pdf[c]]
+        found, _ = linked(pdf["node"].to_numpy(), pdf["c"].to_numpy(), read("tokens"), read("prefix"), percent, None if whole else pdf["side"].to_numpy())
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("g", "k1", "k2", "i", "j").applyInPandas(verify, "a bigint, b bigint")
+
+
+def connecting_links(sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """node, component of the sets(doc_id, tokens) that link with another."""
+    lists = materialise(prefix_lists(sets, tasks_for(sets, 6, 16), percent), "prefixes")
+    stars = materialise(star_pairs(lists), "stars")
+    links = materialise(verified(stars, sets, percent), "verified")
+    known = components(links).select(F.col("node").alias("v"), "component")
+    groups = components(stars).select("node", F.col("component").alias("g"))
+    groups = materialise(groups.join(small(known), F.col("node") == F.col("v"), "left").select("node", "g", F.coalesce("component", "node").alias("c")), "candidates")
+    more = open_links(sets, groups, lists, percent, block)
+    # the components so far stand for their links
+    out = components(materialise(more.union(known.select(F.col("component").alias("a"), F.col("v").alias("b"))), "links"))
+    discard(lists)
+    return out
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.bwt_merge import repeated_starts
 from tallyframe.llm.components import components
 from tallyframe.llm.itq_dedup import near_classes, table_masks, train_rotation
-from tallyframe.llm.ngram_join import Shingler, connecting_links, cross_pairs, jaccard_classes, matches, one_of_each, postings, prefix_size
+from tallyframe.llm.ngram_join import Shingler, connecting_links, jaccard_classes, linked, matches, one_of_each, open_links, prefix_lists, prefix_size, prefixes_of
 from tallyframe.llm.suffix_dedup import digest_removed, remove_repeats
 
 from .corpus import by_id, documents, empty, texts
@@ -121,22 +121,26 @@ def sets_of(spark, rows):
     return spark.createDataFrame([(i, bytearray(s.set_of(t).tobytes())) for i, t in rows.items()], "doc_id bigint, tokens binary")
 
 
-def test_near_copies_by_stars_and_by_all_that_is_left(spark):
+def test_near_copies_by_stars_and_blocks(spark):
     rows = near_copies()
     want = {i: c for i, (_, c) in classes(rows).items()}
     assert len(set(want.values())) > 1 and max(Counter(want.values()).values()) > 10
-    for how in ({}, {"few": 0}, {"rounds": 0}):
-        got = {x["node"]: x["component"] for x in connecting_links(sets_of(spark, rows), 75, **how).collect()}
+    for block in (512, 20):
+        got = {x["node"]: x["component"] for x in connecting_links(sets_of(spark, rows), 75, block).collect()}
         assert {i: got.get(i, i) for i in rows} == want
     kept = one_of_each(documents(spark, rows))
     assert {x["doc_id"] for x in kept.collect()} == set(want.values())
 
 
-def test_pairs_of_blocks_make_every_cross_pair_once(spark):
-    lists = spark.createDataFrame([(7, i, 50 + i, i % 3, 30) for i in range(30)], "token bigint, doc_id bigint, n bigint, c bigint, m bigint")
-    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 != b % 3 and 100 * (50 + a) >= 75 * (50 + b)}
-    got = [(x["a"], x["b"]) for x in cross_pairs(lists, 75, block=7).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+def test_blocks_of_all_sizes_meet(spark):
+    r, rows = random.Random(5), {}
+    for i in range(60):
+        n = r.choice([20, 26, 34, 45, 60])
+        rows[i] = " ".join(f"w{k}" for k in range(n)) + f" x{i}"
+    lists = prefix_lists(sets_of(spark, rows), 8, 75)
+    groups = spark.range(60).select(F.col("id").alias("node"), F.lit(0).cast("bigint").alias("g"), F.col("id").alias("c"))
+    links = [(x["a"], x["b"]) for x in open_links(sets_of(spark, rows), groups, lists, 75, block=7).collect()]
+    assert union(rows, links) == {i: c for i, (_, c) in classes(rows).items()}
 
 
 def test_each_order_prunes_and_keeps_every_link():
@@ -154,16 +158,26 @@ def test_each_order_prunes_and_keeps_every_link():
     assert 200 >= passed[0] > passed[1] > passed[2] >= sum(true) and len(passed) == 3
 
 
+def test_three_orders_within_a_block():
+    rows = near_copies(60)
+    sets = [Shingler().set_of(t) for t in rows.values()] + [Shingler().set_of(" ".join(f"w{k}" for k in range(a, a + 60))) for a in range(5, 55, 5)]
+    held = Counter(x for s in sets for x in s.tolist())
+    prefixes = [np.array(sorted(s.tolist(), key=lambda x: (held[x], x))[: prefix_size(len(s), 75)], dtype=np.uint64) for s in sets]
+    ids = np.arange(len(sets))
+    links, passed = linked(ids, ids.copy(), sets, prefixes, 75)
+    true = [(a, b) for a in ids for b in ids[:a] if 100 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 75 * len(set(sets[a].tolist()) | set(sets[b].tolist()))]
+    assert union(ids.tolist(), links) == union(ids.tolist(), true) and len(passed) == 4
+    assert passed[0] > passed[1] >= passed[2] >= passed[3] >= len(true)
+
+
 def test_prefixes_are_the_rarest_shingles_of_all_sets(spark):
     rows = near_copies(40)
     held = Counter(x for t in rows.values() for x in set(Shingler().set_of(t).tolist()))
-    posted = Counter()
-    for x in postings(sets_of(spark, rows), 8, 75).collect():
-        posted[x["doc_id"]] += 1
+    posted = {x["p_doc"]: len(x["prefix"]) // 8 for x in prefixes_of(prefix_lists(sets_of(spark, rows), 8, 75)).collect()}
     for i, t in rows.items():
         some = Shingler().set_of(t).tolist()
         alone = sum(held[x] == 1 for x in some)
-        assert posted[i] == max(0, prefix_size(len(some), 75) - alone)
+        assert posted.get(i, 0) == max(0, prefix_size(len(some), 75) - alone)
 
 
 def test_rows_of_one_id(spark):
