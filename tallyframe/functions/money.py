@@ -37,3 +37,53 @@ def plausible(token: Column) -> Column:
 def printed(token: Column) -> Column:
     """The amount inside a word that is nothing but an amount with up to three other characters at either end, else ''."""
     return F.regexp_extract(token, STRICT, 1)
+
+
+#: An amount split in two words, and the word in front of its fraction.
+SPLIT = r"(?<!\S)([^\d\s]{0,3}\d{1,7})\s([.,]\d{1,2}[^\d\s]{0,2})(?!\S)"
+
+
+def words_of(line: Column) -> Column:
+    """A line's words as (text, is_money); an amount that was split in two words is one."""
+    joined = F.regexp_replace(line, SPLIT, "$1\u0001$2")
+    words = F.filter(F.split(F.trim(joined), r"\s+"), lambda w: w != "")
+
+    def marked(w: Column) -> Column:
+        text = F.translate(w, "\u0001", "")
+        return F.struct(text.alias("text"), ((F.contains(w, F.lit("\u0001")) | text.rlike(STRICT)) & plausible(text)).alias("is_money"))
+
+    return F.transform(words, marked)
+
+
+def money_of(words: Column) -> Column:
+    return F.transform(F.filter(words, lambda w: w["is_money"]), lambda w: w["text"])
+
+
+def rest_of(words: Column) -> Column:
+    """The line without its amounts."""
+    return F.concat_ws(" ", F.transform(F.filter(words, lambda w: ~w["is_money"]), lambda w: w["text"]))
+
+
+def number_or_null(x: Column) -> Column:
+    return x.try_cast("double")
+
+
+def clamped(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(x, F.lit(1.0)))
+
+
+def whole_quantity(x: Column) -> Column:
+    """A stated quantity as a whole number of at least 1, halves to even; 1 where it is no number."""
+    return F.greatest(F.lit(1), F.coalesce(F.bround(x.try_cast("double"), 0).try_cast("int"), F.lit(1)))
+
+
+def with_separators(x: Column) -> Column:
+    return F.format_number(x, 2)
+
+
+def stands_in(amount: Column, digits: Column) -> Column:
+    """Whether an amount's digits, with two places or (if whole) without, are in a stream of digits."""
+    c = F.round(F.abs(amount) * 100).cast("bigint")
+    two = F.when(c < 100, F.lpad(c.cast("string"), 3, "0")).otherwise(c.cast("string"))
+    whole = F.when(c % 100 == 0, (c / 100).cast("bigint").cast("string"))
+    return F.contains(digits, two) | F.coalesce(F.contains(digits, whole), F.lit(False))

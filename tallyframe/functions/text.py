@@ -40,3 +40,88 @@ def nearest(word: Column, vocabulary: Column) -> Column:
     most = F.when(F.length(word) < 5, 1).otherwise(2)
     near = F.filter(F.transform(vocabulary, lambda v: F.struct(F.levenshtein(word, v).alias("d"), v.alias("w"))), lambda s: s["d"] <= most)
     return F.array_min(near)
+
+
+def solid_tokens(x: Column, pattern: str) -> Column:
+    return F.filter(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda t: F.length(t) >= 3)
+
+
+def looks_like_item_name(x: Column) -> Column:
+    """Three letters or more that make up half of the text, and a word of four letters or two of three, few with a capital inside."""
+    s = F.trim(x)
+    solid = solid_tokens(s, r"[A-Za-z][A-Za-z.'&/-]*")
+    odd = F.size(F.filter(solid, lambda t: t.rlike("[a-z][A-Z]")))
+    words = (F.size(solid) >= 2) | ((F.size(solid) == 1) & (F.length(F.get(solid, F.lit(0))) >= 4))
+    return (letters(s) >= 3) & (letters(s) >= F.length(s) * 0.5) & words & (odd <= F.size(solid) * 0.5)
+
+
+def looks_like_store_code(x: Column) -> Column:
+    """All capitals, with a word in which a capital follows a digit."""
+    return (F.upper(x) == x) & x.rlike(r"\p{Lu}") & F.exists(F.split(F.trim(x), r"\s+"), lambda t: t.rlike("[0-9][A-Z0-9]*[A-Z]"))
+
+
+def plausible_description(x: Column) -> Column:
+    return (letters(x) >= 3) & (letters(x) >= F.length(x) * 0.4)
+
+
+#: What is stripped from the ends of an item's name, its barcode, the longest name, the name of noise.
+NAME_ENDS, BARCODE, LONGEST_NAME, UNREADABLE = r" .,:;\-*\\/", r"^\s*(?:\d{8,14}|[A-Za-z0-9]{2,6}\d{7,14})\s+", 255, "Unreadable item"
+
+
+def stripped(x: Column, chars: str) -> Column:
+    return F.regexp_replace(x, f"^[{chars}]+|[{chars}]+$", "")
+
+
+def clean_name(x: Column) -> Column:
+    """An item's name without column rules, barcode and outer punctuation; '' without a letter."""
+    s = stripped(F.regexp_replace(F.regexp_replace(x, r"[|_]+", " "), r"\s+", " "), NAME_ENDS)
+    s = stripped(F.regexp_replace(s, BARCODE, ""), NAME_ENDS)
+    return F.when(letters(s) > 0, F.substring(s, 1, LONGEST_NAME)).otherwise("")
+
+
+def readable(x: Column) -> Column:
+    """The name, or the stand-in for one that could not be read."""
+    return F.when(looks_like_item_name(x), F.substring(x, 1, LONGEST_NAME)).otherwise(UNREADABLE)
+
+
+#: The counts in front of, behind and instead of an item's name.
+LEADING = r"^\s*(\d{1,3})\s*(?:x|pc|pcs|pieces)?\s+(?=\S)"
+TRAILING = r"(?i)(?:\s+x\s*(\d{1,3})|\s+(\d{1,3}))\s*$"
+COUNT_ONLY, COUNT_DIGITS = r"^\s*[0-9Il]{1,3}\s*[xX×]\s*$", r"^\s*(\d{1,3})\s*[xX×]\s*$"
+
+
+def item_quantity(x: Column) -> Column:
+    """The count in front of a name, else behind it; 1 without one, and at least 1."""
+    lead, one, two = F.regexp_extract(x, LEADING, 1), F.regexp_extract(x, TRAILING, 1), F.regexp_extract(x, TRAILING, 2)
+    number = lambda c: F.nullif(c, F.lit("")).cast("int")
+    return F.greatest(F.lit(1), F.coalesce(number(lead), number(one), number(two), F.lit(1)))
+
+
+def without_quantity(x: Column) -> Column:
+    return F.when(x.rlike(LEADING), F.regexp_replace(x, LEADING, "")).otherwise(F.regexp_replace(x, TRAILING, ""))
+
+
+def is_count_only(x: Column) -> Column:
+    return x.rlike(COUNT_ONLY)
+
+
+def count_only(x: Column) -> Column:
+    """The count of a line that holds nothing else; 1 where its digits are misread."""
+    return F.greatest(F.lit(1), F.coalesce(F.nullif(F.regexp_extract(x, COUNT_DIGITS, 1), F.lit("")).cast("int"), F.lit(1)))
+
+
+#: The least mean confidence and share of words of a page that can be read, and scripts that are not read.
+LEAST_CONFIDENCE, LEAST_WORDS = 0.45, 0.55
+NON_LATIN = r"[぀-ヿ一-鿿฀-๿Ѐ-ӿ]"
+
+
+def illegible(text: Column, confidence: Column) -> Column:
+    """Blank, of low mean confidence (0 says nothing), or with few words among its tokens."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    share = F.regexp_count(t, F.lit("[A-Za-z]{2,}")) / F.regexp_count(t, F.lit(r"\S+"))
+    low = F.coalesce((confidence != 0) & (confidence < LEAST_CONFIDENCE), F.lit(False))
+    return F.when(~t.rlike(r"\S"), True).otherwise(low | (share < LEAST_WORDS))
+
+
+def non_latin(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(NON_LATIN)

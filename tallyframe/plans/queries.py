@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,24 +10,11 @@ from ..operators import anchors, category, confidence, evaluation, items, layout
 from ..sources.receipts import rendered, rendered_sql
 from ..streaming import jobs
 from . import receipts as plan
+from .registry import BEYOND_SQL, ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-#: Queries that SQL can't express.
-BEYOND_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW = "1999-01-01"
 
 
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -419,3 +404,8 @@ def str_looks_like_words(spark, sf):
 def dat_date_appears(spark, sf):
     """DAT-05, VER-01 for dates."""
     return rendered(spark, sf).select("doc_id", dates.appears(F.col("d"), F.col("text")).alias("shown"))
+
+
+from . import more, slips  # noqa: E402, F401  (register their queries)
+
+__all__ = ["BEYOND_SQL", "ORACLES", "QUERIES"]
