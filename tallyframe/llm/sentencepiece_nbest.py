@@ -19,6 +19,7 @@ whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from collections import defaultdict
@@ -44,6 +45,43 @@ def _hash(piece: str) -> int:
     return h
 
 
+class Places:
+    """Where each of some hashes is, by open addressing in a sparse table, for whole arrays of hashes at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(8 * max(1, len(keys)) - 1).bit_length())
+        size = 1 << self.bits
+        self.keys, self.at = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(left):
+            free = self.at[slot] < 0
+            _, one = np.unique(np.where(free, slot, size + np.arange(len(slot))), return_index=True)
+            one = one[free[one]]
+            self.keys[slot[one]], self.at[slot[one]] = keys[left[one]], left[one]
+            rest = np.ones(len(left), dtype=bool)
+            rest[one] = False
+            left, slot = left[rest], (slot[rest] + 1) & (size - 1)
+
+    def _first(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash among the keys, -1 for others."""
+        slot = self._first(hashes)
+        out = self.at[slot]
+        odd = np.flatnonzero((self.keys[slot] != hashes) & (out >= 0))
+        out[(self.keys[slot] != hashes)] = -1
+        slot, h = slot[odd], hashes[odd]
+        while len(odd):
+            slot = (slot + 1) & (len(self.at) - 1)
+            got = self.at[slot]
+            hit = (got >= 0) & (self.keys[slot] == h)
+            out[odd[hit]] = got[hit]
+            go = (got >= 0) & ~hit
+            odd, slot, h = odd[go], slot[go], h[go]
+        return out
+
+
 class Pieces:
     """A vocabulary: the scores of pieces, the byte pieces, and what each id decodes to."""
 
@@ -57,7 +95,11 @@ class Pieces:
         self.by_length = []
         for n in range(1, self.longest + 1):
             found = sorted((_hash(p), i, s) for p, (i, s) in scores.items() if len(p) == n) or [(0, -1, -np.inf)]
-            self.by_length.append((np.array([h for h, _, _ in found], dtype=np.uint64), np.array([i for _, i, _ in found]), np.array([s for _, _, s in found])))
+            # one row more, for what is no piece
+            ids, score = np.array([*(i for _, i, _ in found), -1]), np.array([*(s for _, _, s in found), -np.inf])
+            if n == 1:
+                score[-1] = self.unknown
+            self.by_length.append((Places(np.array([h for h, _, _ in found], dtype=np.uint64)), ids, score))
         self.whole = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in scores)  # words are no chunks then
         self._flat = None
         self.plain: list[bytes] = [b""] * size
@@ -165,11 +207,10 @@ class Pieces:
         hashes, score, ids = np.zeros((length, n), dtype=np.uint64), [], []
         for w in range(1, widest + 1):  # substrings of w characters, by where they start
             hashes = hashes[: length - w + 1] * _BASE + codes[w - 1 :] + np.uint64(1)
-            keys, id_of, score_of = self.by_length[w - 1]
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            hit = keys[at] == hashes
-            score.append(np.where(hit, score_of[at], self.unknown if w == 1 else -np.inf))
-            ids.append(np.where(hit, id_of[at], -1))
+            places, id_of, score_of = self.by_length[w - 1]
+            at = places.find(hashes.ravel()).reshape(hashes.shape)
+            score.append(score_of[at])
+            ids.append(id_of[at])
         fore, back = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
         fore[0] = back[length] = 0
         width = np.zeros((length + 1, n), dtype=np.int64)
@@ -240,32 +281,35 @@ def least_sums(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int,
 class TextEncoder:
     """Encodes whole texts; keeps chunks it has met, up to ``most``."""
 
-    def __init__(self, pieces: Pieces, n: int, most: int = 300_000):
-        self.pieces, self.n, self.most = pieces, n, most
+    def __init__(self, pieces: Pieces, n: int, most: int = 300_000, whole: int = 24):
+        self.pieces, self.n, self.most, self.whole = pieces, n, most, whole  # chunks of up to ``whole`` characters are searched uncut
         self.place: dict[str, int] = {}  # of a chunk in the lists below
         self.score: list[float] = []
         self.gap: list[float] = []
         self.ids: list[bytes] = []
-        self.cut: list[list[str]] = []
         self.parts: dict[str, tuple[float, float, bytes]] = {}
         self.lists: dict[str, tuple[list[float], list[bytes], list[bool]]] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        cut = self.pieces.parts(chunks)
+        short = [c for c in chunks if len(c) <= self.whole]
+        long = [c for c in chunks if len(c) > self.whole]
+        self.place.update(zip(short + long, range(len(self.place), len(self.place) + len(chunks))))
+        found = self.pieces.best_of(short)
+        for ps in self._cut(long):
+            scores, gaps, every = zip(*[self.parts[p] for p in ps])
+            found.append((sum(scores), min(gaps), b"".join(every)))
+        if found:
+            score, gap, ids = zip(*found)
+            self.score += score
+            self.gap += gap
+            self.ids += ids
+
+    def _cut(self, chunks: list[str]) -> list[list[str]]:
+        """The parts of chunks, which are searched if they are new."""
+        cut = self.pieces.parts(chunks) if chunks else []
         new = list({p for ps in cut for p in ps}.difference(self.parts))
         self.parts.update(zip(new, self.pieces.best_of(new)))
-        parts = self.parts
-        self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks))))
-        self.cut += cut
-        for ps in cut:
-            if len(ps) == 1:
-                score, gap, ids = parts[ps[0]]
-            else:
-                scores, gaps, every = zip(*[parts[p] for p in ps])
-                score, gap, ids = sum(scores), min(gaps), b"".join(every)
-            self.score.append(score)
-            self.gap.append(gap)
-            self.ids.append(ids)
+        return cut
 
     def _ranked(self, part: str) -> tuple[list[float], list[bytes], list[bool]]:
         """A part's n best: gaps to its best, ids, and whether these stand for the same bytes as the best ids."""
@@ -286,19 +330,24 @@ class TextEncoder:
         """For each text its n best segmentations: ids, scores, and whether the ids stand for the same bytes as the best ones."""
         split = [([normalised(t)] if self.pieces.whole else _CHUNK.findall(normalised(t))) if t else [] for t in texts]
         if max(len(self.place), len(self.parts)) > self.most:
-            self.place, self.score, self.gap, self.ids, self.cut, self.parts = {}, [], [], [], [], {}
+            self.place, self.score, self.gap, self.ids, self.parts = {}, [], [], [], {}
         if new := set().union(*split).difference(self.place):
             self._learn(list(new))
         score, gap = np.array(self.score), np.array(self.gap)
-        get, ids_of, out, few = self.place.__getitem__, self.ids.__getitem__, [], self.n - 1
+        get, ids_of, few = self.place.__getitem__, self.ids.__getitem__, self.n - 1
+        rows, close = [], set()
         for chunks in split:
             at = list(map(get, chunks))
             places = np.array(at, dtype=np.int64)
             gaps, total = gap[places], float(score[places].sum())
             limit = np.partition(gaps, few - 1)[few - 1] if few and len(gaps) > few else np.inf
-            close = np.flatnonzero(gaps <= limit)
-            least = close[np.argsort(gaps[close], kind="stable")[:few]].tolist()
-            near = heapq.nsmallest(few, ((self.parts[p][1], k, j, p) for k in least for j, p in enumerate(self.cut[at[k]])))
+            near = np.flatnonzero(gaps <= limit)
+            least = near[np.argsort(gaps[near], kind="stable")[:few]].tolist()
+            rows.append((at, total, least))
+            close.update(chunks[k] for k in least)
+        cut, out = dict(zip(close, self._cut(list(close)))), []
+        for chunks, (at, total, least) in zip(split, rows):
+            near = heapq.nsmallest(few, ((self.parts[p][1], k, j, p) for k in least for j, p in enumerate(cut[chunks[k]])))
             ranked = [self._ranked(p) for _, _, _, p in near]
             sums, best = least_sums([x[0] for x in ranked], self.n), list(map(ids_of, at))
             ids, same = [], []
@@ -306,13 +355,19 @@ class TextEncoder:
                 new = {(k, j): x[1][c] for (_, k, j, _), x, c in zip(near, ranked, choice) if c}
                 here = best.copy() if new else best
                 for k in {k for k, _ in new}:
-                    here[k] = b"".join([new.get((k, j)) or self.parts[p][2] for j, p in enumerate(self.cut[at[k]])])
+                    here[k] = b"".join([new.get((k, j)) or self.parts[p][2] for j, p in enumerate(cut[chunks[k]])])
                 ids.append(b"".join(here))
                 same.append(all(x[2][c] for x, c in zip(ranked, choice)))
             out.append((ids, [total - s for s, _ in sums], same))
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, n: int) -> TextEncoder:
+    """A worker's encoder, which stays from task to task."""
+    return TextEncoder(Pieces.load(path), n)
+
+
 def _lists(raws: list[bytes]) -> pa.ListArray:
     """Little-endian 32-bit numbers as a list of numbers for each of raws."""
     ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raws])]).astype(np.int32)
@@ -324,8 +379,9 @@ def segment(docs: DataFrame, n: int = 4, vocab: str | None = None, every: bool =
     path = vocab or vocabulary("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(path)
-        encoder, is_byte = TextEncoder(pieces, n), np.zeros(len(pieces.plain), dtype=bool)
+        encoder = _encoder(path, n)
+        pieces = encoder.pieces
+        is_byte = np.zeros(len(pieces.plain), dtype=bool)
         is_byte[pieces.byte_ids] = True
         for batch in batches:
             for a in range(0, batch.num_rows, 400):
