@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The gates, and what counts as equal money and equal rates.
+from ..functions.fuzzy import best_token_set, normalised_text, token_set_of
+from ..functions.fuzzy import token_set as likeness
+
+#: The gates, and what counts as equal money, equal rates and equal names.
 GATES = {"critical": 0.95, "standard": 0.90}
-MONEY, RATE = 0.01, 0.005
+MONEY, RATE, ALIKE = 0.01, 0.005, 90.0
 
 
 def matches(kind: Column, expected: Column, produced: Column) -> Column:
@@ -21,16 +24,37 @@ def matches(kind: Column, expected: Column, produced: Column) -> Column:
         .otherwise(F.lower(F.trim(expected)) == F.lower(F.trim(produced))), F.lit(False))
 
 
-def outcome(kind: Column, expected: Column, produced: Column, traps: Column, also: Column, grounded: Column) -> Column:
-    """correct, abstained_ok, missed, confused, fabricated, ungrounded or wrong, for a field that is scored."""
+def outcome(kind: Column, expected: Column, produced: Column, traps: Column, also: Column, grounded: Column, likes: tuple[Column, Column, Column] | None = None) -> Column:
+    """correct, abstained_ok, missed, confused, fabricated, ungrounded or wrong, for a field that is scored.
+
+    likes: how alike produced is to expected, to the likest of also and of traps, which decides for kind fuzzy.
+    """
     in_list = lambda xs: F.exists(F.coalesce(xs, F.array().cast("array<string>")), lambda x: matches(kind, x, produced))
+    fuzzy, (to_expected, to_also, to_traps) = (kind == "fuzzy", likes) if likes else (F.lit(False), (F.lit(0.0),) * 3)
+    same = F.when(fuzzy, to_expected >= ALIKE).otherwise(matches(kind, expected, produced))
+    other, trap = F.when(fuzzy, to_also >= ALIKE).otherwise(in_list(also)), F.when(fuzzy, to_traps >= ALIKE).otherwise(in_list(traps))
     return (
         F.when(produced.isNull(), F.when(expected.isNull(), "abstained_ok").otherwise("missed"))
-        .when(expected.isNotNull() & matches(kind, expected, produced), "correct").when(in_list(also), "correct").when(in_list(traps), "confused")
+        .when(expected.isNotNull() & same, "correct").when(other, "correct").when(trap, "confused")
         .when(expected.isNull(), "fabricated").when(~grounded, "ungrounded").otherwise("wrong")
     )
 
 
+def scored(expected: DataFrame, produced: DataFrame) -> DataFrame:
+    """expected(doc_id, field, kind, value, traps, also) with what was produced(doc_id, field, value, grounded) for it, and the outcome.
+
+    A field that was not produced counts as abstained; a produced field that is not scored is left out.
+    """
+    got = produced.select("doc_id", "field", F.col("value").alias("produced"), "grounded")
+    rows = expected.join(got, ["doc_id", "field"], "left").withColumn("grounded", F.coalesce("grounded", F.lit(True)))
+    none = F.array().cast("array<string>")
+    text = F.col("kind") == "fuzzy"
+    rows = rows.withColumns({"e": F.when(text, normalised_text("value")), "p": F.when(text, normalised_text("produced")), "ts": F.when(text, F.transform("traps", F.lower)), "as_": F.when(text, F.transform("also", F.lower))})
+    likes = F.coalesce(token_set_of("e", "p"), F.lit(0.0)), best_token_set("p", F.coalesce("as_", none)), best_token_set("p", F.coalesce("ts", none))
+    got = outcome(F.col("kind"), F.col("value"), F.nullif(F.trim("produced"), F.lit("")), F.col("traps"), F.col("also"), F.col("grounded"), likes)
+    return rows.withColumn("outcome", got).select("doc_id", "field", "outcome")
+
+
 def tallies(outcomes: DataFrame, *by: str) -> DataFrame:
     passed = F.count_if(F.col("outcome").isin("correct", "abstained_ok"))
     made_up = F.count_if(F.col("outcome").isin("fabricated", "ungrounded"))
@@ -66,27 +90,6 @@ def timings(df: DataFrame, stage: str, value: str) -> DataFrame:
     return rest.join(p95, stage)
 
 
-def likeness(a: str, b: str) -> float:
-    """Token set ratio of two texts, 0 to 100: the best ratio of what their sorted words share, with and without the rest."""
-
-    def ratio(x: str, y: str) -> float:  # 2 x longest common subsequence / both lengths
-        row = [0] * (len(y) + 1)
-        for c in x:
-            before = 0
-            for k, d in enumerate(y, 1):
-                before, row[k] = row[k], before + 1 if c == d else max(row[k], row[k - 1])
-        return 200.0 * row[-1] / (len(x) + len(y)) if x or y else 0.0
-
-    one, two = set(a.split()), set(b.split())
-    if not one or not two:
-        return 0.0
-    both, x, y = (sorted(s) for s in (one & two, one - two, two - one))
-    if both and (not x or not y):
-        return 100.0
-    shared, left, right = " ".join(both), " ".join(both + x), " ".join(both + y)
-    return max(ratio(left, right), *((ratio(shared, left), ratio(shared, right)) if both else ()), 0.0)
-
-
 def greedy_items(expected: DataFrame, produced: DataFrame, least: float = 85.0) -> DataFrame:
     """Expected items matched one to one with produced ones of a document: same name (any case), then name alike by ``least``, then price within 0.01.
 

@@ -72,3 +72,15 @@ def selection(ranked: DataFrame) -> DataFrame:
     best = F.slice(F.array_sort(F.collect_list(F.when(F.col("rank") <= TOP, F.struct("rank", label.alias("label"), F.round("anchor", 4).alias("anchor"))))), 1, TOP)
     second = F.max(F.when(F.col("rank") == 2, F.col("anchor")))
     return ranked.groupBy("doc_id").agg(first(label).alias("label"), F.round(F.coalesce(first("anchor") - second, F.lit(0.0)), 4).alias("margin"), best.alias("top"), F.count("*").alias("candidates"))
+
+
+def audit(df: DataFrame) -> DataFrame:
+    """doc_id, document: what was decided and why, as JSON. df: a row of the receipt plan (plans.receipts.extract) joined to a row of selection()."""
+    part = lambda *names: F.struct(*names)
+    doc = F.struct(
+        part(F.col("label").alias("reading"), F.col("margin").alias("selection_margin"), F.col("candidates").alias("candidates_evaluated"), F.col("top").alias("candidate_summary")).alias("ocr_selection"),
+        part((F.size("reasons") > 0).alias("needs_manual_review"), F.col("reasons").alias("review_reasons")).alias("verification"),
+        part("reconciled", F.col("basis").alias("tax_basis"), F.col("status").alias("financial_reconciliation_status"), "tax_breakdown").alias("reconciliation"),
+        part("country", "currency").alias("locale"), F.col("score").alias("composite_confidence_score"),
+    )
+    return df.select("doc_id", F.to_json(doc).alias("document"))

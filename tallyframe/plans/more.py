@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, money
-from ..operators import choices, corrections, geometry, layout, locale, payloads, readings, reports, verification
+from ..operators import category, choices, corrections, evaluation, geometry, layout, locale, payloads, readings, reconcile, reports, verification
 from ..sources import corpus
 from ..sources.receipts import rendered, rendered_sql
 from ..streaming import jobs
-from .queries import LOC, _log
+from . import receipts as plan
+from .queries import LOC, MONEY_SQL, _log
 from .registry import query, table
 
 R = rendered_sql()
@@ -394,3 +395,63 @@ def agg_agreement(spark, sf):
     r = li.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("text "), (F.col("l_partkey") % 3).cast("string")).alias("text"))
     t = li.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("t "), (F.col("l_suppkey") % 4).cast("string")).alias("token")).distinct()
     return readings.agreement(r, t)
+
+
+@query("""WITH f AS (SELECT l_orderkey AS doc_id, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS ord, CASE WHEN l_partkey % 3 = 0 THEN 'tax_amount' ELSE 'net_sales' END AS field, l_returnflag AS label, CAST(l_extendedprice AS DECIMAL(18, 2)) AS amount FROM lineitem)
+  SELECT doc_id, CAST(sum(amount) * 100 AS BIGINT) AS tax_c, CASE WHEN count(*) > 1 THEN string_agg(concat(label, '=', CAST(CAST(amount * 100 AS BIGINT) AS STRING)), ';' ORDER BY ord) END AS breakdown FROM f WHERE field = 'tax_amount' GROUP BY 1""")
+def agg_tax_breakdown(spark, sf):
+    """AGG-04."""
+    f = table(spark, sf, "lineitem").selectExpr("l_orderkey AS doc_id", f"{_ORD} AS ord", "CASE WHEN l_partkey % 3 = 0 THEN 'tax_amount' ELSE 'net_sales' END AS field", "l_returnflag AS label", "CAST(l_extendedprice AS DECIMAL(18, 2)) AS amount")
+    told = F.array_join(F.transform("breakdown", lambda x: F.concat(x["label"], F.lit("="), (x["amount"] * 100).cast("bigint").cast("string"))), ";")
+    return reconcile.tax_totals(f).select("doc_id", (F.col("tax") * 100).cast("bigint").alias("tax_c"), told.alias("breakdown"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS ord, bool_or(abs(b.p - CAST(a.l_extendedprice AS DECIMAL(18, 2)) - 0.02) <= 0.02) AS present FROM lineitem a JOIN (SELECT l_orderkey AS k, CAST(l_extendedprice AS DECIMAL(18, 2)) AS p FROM lineitem) b ON a.l_orderkey = b.k GROUP BY 1, 2")
+def mon_token_present(spark, sf):
+    """MON-03: two cents above an amount of the page, which is present, as is anything within two cents of another."""
+    li = table(spark, sf, "lineitem").selectExpr("l_orderkey AS doc_id", f"{_ORD} AS ord", "CAST(l_extendedprice AS DECIMAL(18, 2)) AS amount")
+    pages = li.groupBy("doc_id").agg(F.collect_list("amount").alias("printed"))
+    rows = li.join(pages, "doc_id").withColumn("present", reconcile.token_present(F.col("amount") + F.lit("0.02").cast("decimal(18,2)"), F.col("printed")))
+    return rows.groupBy("doc_id", "ord").agg(F.bool_or("present").alias("present"))
+
+
+@query(R + """, low AS (SELECT doc_id, text, lower(text) AS t FROM receipts), e AS (SELECT doc_id, list_concat([CASE WHEN regexp_matches(t, 'vat\\s*reg\\.?\\s*tin') THEN 'PH4.0' END, CASE WHEN regexp_matches(t, 'philippines|makati|quezon\\s+city|manila|pasig|cebu|davao|binondo|rizal') THEN 'PH2.5' END, CASE WHEN regexp_matches(t, 'official\\s+receipt|sales\\s+invoice') THEN 'PH1.0' END, CASE WHEN regexp_matches(t, '\\btin\\b\\s*[:#]?\\s*\\d{3}') THEN 'PH2.0' END, CASE WHEN regexp_matches(t, 'sdn\\.?\\s*bhd') THEN 'MY2.0' END, CASE WHEN regexp_matches(t, '\\bmalaysia\\b|kuala\\s+lumpur|\\bgst\\b|\\bsst\\b') THEN 'MY3.0' END, CASE WHEN regexp_matches(t, 'brunei|bandar\\s+seri|yayasan') THEN 'BN3.5' END, CASE WHEN regexp_matches(t, 'ent\\s*rek\\s*\\(\\s*b\\s*\\)') THEN 'BN2.5' END, CASE WHEN regexp_matches(t, '\\bsales\\s+tax\\b') THEN 'US3.0' END],
+    [CASE WHEN regexp_matches(text, '\\bIL\\s+\\d{5}(?:-\\d{4})?\\b') THEN 'US4.0' END, CASE WHEN regexp_matches(text, '[a-zA-Z\\s]{2,25},\\s*IL\\b') THEN 'US3.0' END, CASE WHEN regexp_matches(text, '\\(\\d{3}\\)\\s*\\d{3}\\s*-\\s*\\d{4}') THEN 'US2.0' END]) AS found FROM low)
+  SELECT doc_id, array_to_string([x for x in found if x IS NOT NULL], ';') AS evidence FROM e""")
+def loc_evidence(spark, sf):
+    """AGG-06: what speaks for which country, in order."""
+    return rendered(spark, sf).select("doc_id", F.array_join(F.transform(locale.evidence(F.col("text")), lambda x: F.concat(x["country"], x["weight"].cast("string"))), ";").alias("evidence"))
+
+
+@query("""WITH e AS (SELECT c_custkey AS doc_id, c_name AS value, CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN concat('the ', c_name) WHEN 2 THEN NULL WHEN 3 THEN 'Other Holdings' WHEN 4 THEN 'Acme Trap' ELSE 'Alias Company' END AS produced, c_custkey % 11 <> 0 AS grounded, c_custkey % 7 = 0 AS none FROM customer)
+  SELECT doc_id, 'vendor_name' AS field, CASE WHEN produced IS NULL THEN CASE WHEN none THEN 'abstained_ok' ELSE 'missed' END WHEN NOT none AND doc_id % 6 IN (0, 1) THEN 'correct' WHEN doc_id % 6 = 5 THEN 'correct' WHEN doc_id % 6 = 4 THEN 'confused' WHEN none THEN 'fabricated' WHEN NOT grounded THEN 'ungrounded' ELSE 'wrong' END AS outcome FROM e""")
+def evl_joined_names(spark, sf):
+    """JOI-09, EVL-01's likeness of names, EVL-02: expected names joined to produced ones."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    expected = c.select(k.alias("doc_id"), F.lit("vendor_name").alias("field"), F.lit("fuzzy").alias("kind"), F.when(k % 7 != 0, F.col("c_name")).alias("value"), F.array(F.lit("ACME trap")).alias("traps"), F.array(F.lit("company alias")).alias("also"))
+    value = F.when(k % 6 == 0, F.col("c_name")).when(k % 6 == 1, F.concat(F.lit("the "), "c_name")).when(k % 6 == 3, "Other Holdings").when(k % 6 == 4, "Acme Trap").when(k % 6 == 5, "Alias Company")
+    produced = c.where("c_custkey % 6 <> 2").select(k.alias("doc_id"), F.lit("vendor_name").alias("field"), value.alias("value"), (k % 11 != 0).alias("grounded"))
+    return evaluation.scored(expected, produced)
+
+
+@query("""WITH d AS (SELECT label AS category, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)), p AS (SELECT v.vec_id, CAST(d.category AS STRING) AS category, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), d.e) AS s FROM embeddings v, d),
+  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, category DESC) AS rank FROM p), w AS (SELECT vec_id, max(category) FILTER (rank = 1) AS one, max(category) FILTER (rank = 2) AS two, max(s) AS s FROM r GROUP BY 1)
+  SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'Transportation' WHEN s >= 0.25 AND s < 0.30 AND vec_id % 2 = 1 THEN two WHEN s >= 0.25 THEN one ELSE 'Others' END AS category, CASE WHEN vec_id % 4 = 0 THEN 'lexicon' WHEN s >= 0.25 AND s < 0.30 AND vec_id % 2 = 1 THEN 'tiebreak' WHEN s >= 0.25 THEN 'embedding' ELSE 'default' END AS method FROM w""")
+def cat_combined(spark, sf):
+    """CAT-01: every fourth vendor is in the lexicon; the tiebreaker picks the runner-up of odd ones."""
+    e = table(spark, sf, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(F.col("label").cast("string").alias("category"), "embedding")
+    near = category.by_vector(e.select("vec_id", "embedding"), first)
+    tie = F.when(F.col("vec_id") % 2 == 1, F.col("runner_up"))
+    got = category.classify(category.by_lexicon(F.when(F.col("vec_id") % 4 == 0, "City Taxi").otherwise("Zzz")), F.col("category"), F.col("runner_up"), F.col("similarity"), tie)
+    return near.select("vec_id", got.alias("g")).select("vec_id", "g.category", "g.method")
+
+
+@query(MONEY_SQL + """ SELECT doc_id, reconciled, basis, country, 1 + doc_id % 3 AS candidates FROM g""")
+def prj_audit(spark, sf):
+    """PRJ-03: the audit document, read back from its JSON."""
+    df = rendered(spark, sf)
+    runs = df.select("doc_id", F.explode(F.sequence(F.lit(1), (1 + F.col("doc_id") % 3).cast("int"))).alias("psm"), F.lit("e").alias("engine"), F.lit("v").alias("variant"), "text", "confidence").withColumns({"reading_id": F.col("psm"), "anchor": F.col("psm") / 2})
+    docs = payloads.audit(plan.extract(df).join(payloads.selection(readings.ranked(runs)), "doc_id")).withColumn("v", F.parse_json("document"))
+    get = lambda p, t, n: F.try_variant_get("v", p, t).alias(n)
+    return docs.select("doc_id", get("$.reconciliation.reconciled", "boolean", "reconciled"), get("$.reconciliation.tax_basis", "string", "basis"), get("$.locale.country", "string", "country"), get("$.ocr_selection.candidates_evaluated", "bigint", "candidates"))

@@ -175,14 +175,28 @@ def cat_lexicon(spark, sf):
     return rendered(spark, sf).select("doc_id", category.by_lexicon(F.col("vendor_line")).alias("c")).select("doc_id", "c.category", "c.method")
 
 
+@query(MONEY_SQL + """, day AS (SELECT doc_id, min_by(found, n) AS found FROM (SELECT r.doc_id, n, coalesce(TRY_CAST(concat(a.y, '-', lpad(a.m, 2, '0'), '-', lpad(a.d, 2, '0')) AS DATE), CASE WHEN mm > 12 THEN TRY_CAST(concat(b.y, '-', lpad(CAST(dd AS STRING), 2, '0'), '-', lpad(CAST(mm AS STRING), 2, '0')) AS DATE) ELSE TRY_CAST(concat(b.y, '-', lpad(CAST(mm AS STRING), 2, '0'), '-', lpad(CAST(dd AS STRING), 2, '0')) AS DATE) END) AS found
+      FROM (SELECT *, CASE WHEN country IS NULL OR country IN ('US', 'PH') THEN TRY_CAST(b.x AS INT) ELSE TRY_CAST(b.z AS INT) END AS mm, CASE WHEN country IS NULL OR country IN ('US', 'PH') THEN TRY_CAST(b.z AS INT) ELSE TRY_CAST(b.x AS INT) END AS dd FROM
+      (SELECT l.doc_id, country, n, regexp_extract(line, '\\b(\\d{4})[/.-](\\d{1,2})[/.-](\\d{1,2})\\b', ['y', 'm', 'd']) AS a, regexp_extract(line, '\\b(\\d{1,2})[/.-](\\d{1,2})[/.-](\\d{4}|\\d{2})\\b', ['x', 'z', 'y']) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM receipts) l JOIN loc USING (doc_id))) r) WHERE found IS NOT NULL GROUP BY 1),
+  cat AS (""" + ORACLES["cat_lexicon"] + """), anc AS (""" + ORACLES["ocr_anchor_score"] + """),
+  why AS (SELECT g.*, loc.score AS located, c.category, day.found AS date, anc.score_e4 / 10000.0 AS anchor, total_out IS NULL AS no_total, country IS NULL AS no_place, len(regexp_extract_all(text, '[A-Za-z]{2,}')) / CAST(len(regexp_extract_all(text, '\\S+')) AS DOUBLE) < 0.55 OR confidence < 0.45 AS unread FROM g JOIN cat c USING (doc_id) JOIN anc USING (doc_id) JOIN (SELECT doc_id, score FROM loc) loc USING (doc_id) LEFT JOIN day USING (doc_id)),
+  sc AS (SELECT *, least(CASE WHEN no_total THEN 50000 ELSE 100000 END, CASE WHEN NOT reconciled THEN 60000 ELSE 100000 END, CASE WHEN no_place THEN 70000 ELSE 100000 END, CASE WHEN unread THEN 45000 ELSE 100000 END) AS cap_e5,
+    CAST(3 * round(10000 * (0.7 * least(anchor / 7.0, 1.0) + 0.3 * confidence) + 0.000001) + 35000 + 25000 * CAST(reconciled AS INT) + CASE WHEN located >= 3 THEN round(10000 * least(located / 8.0, 1.0)) ELSE 0 END AS BIGINT) AS raw_e5 FROM why)
+  SELECT doc_id, CAST(date AS STRING) AS date, category, array_to_string([x for x in [CASE WHEN no_total THEN 'total_amount_missing' END, CASE WHEN NOT reconciled THEN 'reconciliation_failed' END, CASE WHEN no_place THEN 'locale_unresolved' END, CASE WHEN unread THEN 'handwriting_or_illegible' END] if x IS NOT NULL], ';') AS reasons, (least(raw_e5, cap_e5) + 5) // 10 AS score_e4, (least(raw_e5, cap_e5) + 5) // 10 < 8000 AS flagged FROM sc""")
+def ext_extract(spark, sf):
+    """EXT-01, VER-04, CNF-01: date, category, reasons and score of the whole plan."""
+    df = plan.extract(rendered(spark, sf))
+    return df.select("doc_id", F.col("date").cast("string").alias("date"), "category", F.array_join("reasons", ";").alias("reasons"), F.round(F.col("score") * 10000).cast("bigint").alias("score_e4"), "flagged")
+
+
 @query("""SELECT event_id, ocr_e4, score_e4, score_e4 < 8000 AS flagged FROM (SELECT event_id, CAST(round(ocr * 10000) AS BIGINT) AS ocr_e4,
   CAST(round(10000 * least(0.30 * ocr + 0.35 * g + 0.25 * r + 0.10 * l, cap)) AS BIGINT) AS score_e4 FROM (SELECT event_id, round(0.7 * least(event_id % 11 / 7.0, 1.0) + 0.3 * (event_id % 101 / 100.0), 4) AS ocr,
   CASE WHEN event_id % 5 = 0 THEN 1.0 ELSE (event_id % 5 - event_id % 2) / (event_id % 5) END AS g, CAST(event_id % 3 = 0 AS INT) AS r, event_id % 9 / 8.0 AS lraw, least(event_id % 9 / 8.0, 1.0) AS l,
-  CASE WHEN event_id % 4 = 1 THEN 0.55 WHEN event_id % 4 = 2 THEN 0.75 ELSE 1.0 END AS cap FROM events))""")
+  CASE WHEN event_id % 4 = 1 THEN 0.50 WHEN event_id % 4 = 2 THEN 0.60 ELSE 1.0 END AS cap FROM events))""")
 def cnf_confidence(spark, sf):
     """CNF-01, AGG-09, AGG-10, VER-04."""
     e = F.col("event_id")
-    reasons = F.array_compact(F.array(F.when(e % 4 == 1, "no_total"), F.when(F.col("k").isin(1, 2), "not_reconciled")))
+    reasons = F.array_compact(F.array(F.when(e % 4 == 1, "total_amount_missing"), F.when(F.col("k").isin(1, 2), "reconciliation_failed")))
     df = _t(spark, sf, "events").select("event_id").withColumn("k", e % 4).withColumn("cap", confidence.cap_of(reasons, plan.CAPS))
     g = confidence.pass_rate((e % 5 - e % 2).cast("double"), (e % 5).cast("double"))
     c = confidence.confidence((e % 11).cast("double"), (e % 101) / 100.0, g, e % 3 == 0, (e % 9) / 8.0, F.col("cap"))

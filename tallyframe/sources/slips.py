@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .receipts import spread
+
 _MONTH = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * month(d) - 2, 3)"
 _Y, _M, _D = "CAST(year(d) AS STRING)", "CAST(month(d) AS STRING)", "CAST(day(d) AS STRING)"
 _MM, _DD = f"lpad({_M}, 2, '0')", f"lpad({_D}, 2, '0')"
@@ -54,7 +56,7 @@ def _text() -> str:
 
 def slip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, reading (0 and 1), rank (1 and 2), line_no, text, confidence."""
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k", "CAST(o_orderdate AS DATE) AS d", f"explode(sequence(0, {2 * len(LINES) - 1})) AS i")
+    df = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")).selectExpr("o_orderkey AS k", "CAST(o_orderdate AS DATE) AS d", f"explode(sequence(0, {2 * len(LINES) - 1})) AS i")
     df = df.selectExpr("k", "d", f"CAST(floor(i / {len(LINES)}) AS INT) AS r", f"CAST(i % {len(LINES)} AS INT) AS n")
     # a generator, so that filters on the text do not write its expression out again
     return df.selectExpr("k AS doc_id", "r AS reading", "r + 1 AS rank", "n AS line_no", f"explode(array({_text()})) AS text", f"{CONFIDENCE} AS confidence")
