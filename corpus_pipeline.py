@@ -2,6 +2,10 @@
 
 Each stage gets what its predecessor kept, written as Parquet and read again, and returns the columns of documents;
 the last returns the pieces of the packed sequences.
+
+Every stage keeps extra columns, whatever their names. Documents whose text is null, empty or without a letter go in the
+first stage; very long texts are treated whole; rows repeated with one doc_id and text stay once from the third stage on;
+ties go to the least doc_id; no documents give no pieces; without labels of both kinds nothing is toxic.
 """
 
 from __future__ import annotations
@@ -18,28 +22,28 @@ from tallyframe.llm.toxicity_cnn import keep_civil
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no letter, or no language for 0.4 of the text."""
+    """Documents without a language go: null, empty or without a letter, or no language for 0.4 of the text. Repeated rows all stay."""
     return keep_identified(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go."""
+    """Documents scored as toxic go; an empty text scores as one without words. Repeated rows go or stay together."""
     return keep_civil(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each linked group stays."""
+    """The document of the least id of each linked group stays, once; empty texts link with nothing, null ids stay."""
     return one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes or more that start elsewhere too are cut out of the texts; every document stays."""
+    """Passages of 200 bytes or more that start elsewhere too are cut out of the texts; every document stays, with an empty text if all of it repeats."""
     out = remove_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, in sequences of 2048 tokens."""
+    """What is left, in sequences of 2048 tokens; an empty text is its end id alone."""
     return pack_documents(docs)
 
 

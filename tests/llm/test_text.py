@@ -231,3 +231,44 @@ def test_more_than_five_hundred_languages(spark):
 
     docs = spark.createDataFrame([(5 * i + k, f"word{i} text{i}", f"l{i:03}") for i in range(505) for k in range(5)], "doc_id bigint, text string, lang string")
     assert len(train(docs)[0]) == 505
+
+
+def test_mixtures_against_em_by_hand():
+    import numpy as np
+
+    from tallyframe.llm.lang_mixture import fit_mixtures
+
+    r = np.random.default_rng(9)
+    blocks, weight, start = r.normal(-30, 6, (23, 4)), r.integers(1, 9, 23).astype(float), np.array([0, 1, 9, 15])
+    mix, like = fit_mixtures(blocks, weight, start, 12)
+    for d, (a, b) in enumerate(zip(start, [*start[1:], 23])):
+        p = [0.25] * 4
+        for _ in range(12):
+            new, total = [0.0] * 4, 0.0
+            for i in range(a, b):
+                joint = [p[k] * np.exp(blocks[i, k]) for k in range(4)]
+                for k in range(4):
+                    new[k] += weight[i] * joint[k] / sum(joint)
+                total += weight[i]
+            p = [x / total for x in new]
+        assert np.allclose(mix[d], p, atol=1e-9)
+        assert np.isclose(like[d], sum(np.log(sum(p[k] * np.exp(blocks[i, k]) for k in range(4))) for i in range(a, b)))
+
+
+def test_bands_against_quartiles_by_hand(spark):
+    import numpy as np
+
+    from tallyframe.llm.fertility import ALL_SIZES, bands, measures
+
+    r, words = random.Random(3), "some house water people other number sound little place".split()
+    rows = [(i, " ".join(r.choice(words) + str(r.randrange(500)) for _ in range(r.choice([70, 150])))) for i in range(80)]
+    got = measures(documents(spark, rows).withColumn("lang", F.lit("en")))
+    limits = {x["size"]: x.asDict() for x in bands(got, width=1.5).collect()}
+    data = got.toPandas()
+    assert set(limits) == {ALL_SIZES, 6, 7}
+    for size, lim in limits.items():
+        some = data if size == ALL_SIZES else data[np.floor(np.log2(data["n_words"])) == size]
+        for m in ("chars_per_token", "byte_share", "entropy_share"):
+            q1, q3 = np.quantile(some[m].round(3), [0.25, 0.75])
+            spread = max(q3 - q1, 0.01)
+            assert np.isclose(lim[f"{m}_low"], q1 - 1.5 * spread) and np.isclose(lim[f"{m}_high"], q3 + 1.5 * spread)
