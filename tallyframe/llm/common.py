@@ -126,7 +126,7 @@ def tidied_group(run):
     return wrapped
 
 
-def in_small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def in_small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Long texts: fewer rows in each Arrow batch than Spark's default, if the session left it at that."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:

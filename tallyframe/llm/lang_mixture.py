@@ -133,7 +133,7 @@ def predictor(model: tuple[list[str], np.ndarray], block_words: int = 8):
         grams, starts = _trigrams(words)
         return np.add.reduceat(logp[grams[: starts[-1] + len(words[-1].lower().encode("utf-8", "surrogatepass"))]], starts).astype(np.float32)
 
-    table = WordTable(rows_of, 250_000)
+    table = WordTable(rows_of, 150_000)
 
     def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         n = len(texts)

@@ -52,7 +52,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of shingle hashes, with a bounded cache of word hashes."""
 
-    def __init__(self, size: int = 5, most: int = 200_000):
+    def __init__(self, size: int = 5, most: int = 100_000):
         self.size, self.most, self.known = size, most, {}
 
     def set_of(self, text: str | None) -> np.ndarray:
@@ -310,7 +310,7 @@ def matches(hub: np.ndarray, others: list[np.ndarray], percent: int, orders: int
     return out, passed
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, mb_each: float = 8.0, salts: int = 256) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, mb_each: float = 4.0, salts: int = 256) -> DataFrame:
     """The pairs (a, b) of sets(doc_id, tokens) that link. A hub a is dealt in ``salts`` parts by its partners, so that none is a hot group."""
     pairs = materialise(pairs.distinct(), "pairs")
     mean = sets.agg(F.avg(F.length("tokens"))).first()[0] or 0
@@ -325,7 +325,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, mb_each: float = 8
         hub = {a: np.frombuffer(x, dtype=np.uint64) for a, x in zip(pdf.loc[pdf["b"].isna(), "a"], pdf.loc[pdf["b"].isna(), "tokens"])}
         for a, some in pdf[pdf["b"].notna()].groupby("a"):
             b, each = some["b"].to_numpy().astype(np.int64), [np.frombuffer(x, dtype=np.uint64) for x in some["tokens"]]
-            step = max(1, 2_000_000 // max(map(len, each)))
+            step = max(1, 400_000 // max(map(len, each)))
             for k in range(0, len(b), step):
                 yes, _ = matches(hub[a], each[k : k + step], percent)
                 out += [(a, x) for x in b[k : k + step][yes]]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, fresh, in_small_batches, materialise, tidied
+from .common import fold_of, fresh, in_small_batches, materialise, small, tidied
 from .lang_mixture import BUCKETS as GRAMS
 from .lang_mixture import _trigrams, count_grams, log_shares
 from .words import WORD, WordTable
@@ -198,7 +198,7 @@ def train(docs: DataFrame, marks: DataFrame, most_toxic: int = 1200, most_clean:
 
 
 def raw_outputs(docs: DataFrame, model: dict, raw: str, lang: str) -> DataFrame:
-    """docs, which have a column text, with the network's output and the guessed language (its number) of each row."""
+    """docs, which have a column text, with the network's output and the guessed language (its number) of each row; texts come out empty (null stays null)."""
     place = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(raw, T.DoubleType()), T.StructField(lang, T.IntegerType())])
 
@@ -207,8 +207,10 @@ def raw_outputs(docs: DataFrame, model: dict, raw: str, lang: str) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 80):
                 some = batch.slice(a, 80)
-                out, which = outputs(some.column(place).cast(pa.string()).to_pylist())
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(out.astype(float)), pa.array(which.astype(np.int32))], names=[*some.schema.names, raw, lang])
+                texts = some.column(place).to_pylist()
+                out, which = outputs(texts)
+                columns = [pa.array([None if t is None else "" for t in texts], pa.string()) if k == place else c for k, c in enumerate(some.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(out.astype(float)), pa.array(which.astype(np.int32))], names=[*some.schema.names, raw, lang])
 
     return docs.mapInArrow(tidied(run), schema)
 
@@ -261,7 +263,7 @@ def scorer(model: dict):
         ids = model["index"][np.array([buckets_of(w) for w in new])]
         return np.concatenate([net.taps(ids), lang_rows(new, langs)], axis=1).astype(np.float32)
 
-    known = WordTable(rows_of, 100_000)
+    known = WordTable(rows_of, 80_000)
 
     def outputs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words = [WORD.findall(t or "") for t in texts]
@@ -281,15 +283,19 @@ def scorer(model: dict):
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents, all columns, that are not scored as toxic; a table with their outputs is written between scoring and choosing."""
+    """The documents, all columns, that are not scored as toxic. A narrow table of outputs is written between scoring and choosing; rows are told apart by 128 bits of hash."""
     in_small_batches(docs.sparkSession)
     marks = materialise(marks_of(labels), "marks")
-    model, raw, which = train(docs, marks, **how), fresh("raw"), fresh("which")
+    model = train(docs, marks, **how)
     if model is None:
         return docs
-    outputs = materialise(raw_outputs(docs, model, raw, which), "outputs")
-    cuts = calibrated(outputs, marks, model, raw, which)
-    return outputs.where(cut_column(cuts, F.col(raw), F.col(which)) < 0.5).select(*docs.columns)
+    text, one, two = F.col("text").cast("string"), fresh("one"), fresh("two")
+    hashes = F.xxhash64("doc_id", text), F.xxhash64(F.lit(7), text, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), hashes[0].alias(one), hashes[1].alias(two))
+    outputs = materialise(raw_outputs(rows, model, "raw", "which"), "outputs")
+    score = cut_column(calibrated(outputs, marks, model), F.col("raw"), F.col("which"))
+    toxic = materialise(outputs.where(score >= 0.5).select(one, two).distinct(), "toxic")
+    return docs.join(small(toxic), (hashes[0] == F.col(one)) & (hashes[1] == F.col(two)), "left_anti")
 
 
 def calibrated(outputs: DataFrame, marks: DataFrame, model: dict, raw: str = "raw", which: str = "which", least_calibration: int = 20, least_toxic: int = 5) -> np.ndarray | None:
@@ -306,7 +312,6 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     if model is None:
         return docs.select(ids.alias("doc_id"), (fold_of(ids) == 0).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     texts = docs.select(ids.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    narrow = raw_outputs(texts, model, "raw", "which").select("doc_id", F.when(F.col("text").isNotNull(), "").alias("text"), "raw", "which")
-    outputs = materialise(narrow, "outputs")
+    outputs = materialise(raw_outputs(texts, model, "raw", "which"), "outputs")
     score = cut_column(calibrated(outputs, marks, model), F.col("raw"), F.col("which"))
     return outputs.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
