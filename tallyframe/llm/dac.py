@@ -6,8 +6,9 @@ is the rank of its bit. A rank directory (a count before each 512-bit block and,
 gives that rank at once: any token is read without decoding those around it.
 
 Cases: null text is empty and yields the end id alone; an empty table gives an empty result; repeated ids and rows
-each keep their own entry (equal doc_ids in no fixed order among themselves); a null doc_id sorts first; columns
-other than doc_id and text are ignored.
+each keep their own entry (equal doc_ids in no fixed order among themselves); a null doc_id sorts first; a very long
+text is one entry of one segment, which has to fit in one row (2 GB of codes); columns other than doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ down, what is left over is packed first-fit decreasing, and documents, ranked wi
 from the patterns by arithmetic on their rank.
 
 Cases: null text is empty and is the end id alone; an empty table gives an empty result; ties in length are ranked
-by task and order of reading; repeated rows are packed each; columns other than doc_id and text are ignored.
+by task and order of reading; repeated rows are packed each; very long texts fill sequences of their own and one rest;
+a null doc_id is kept; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
