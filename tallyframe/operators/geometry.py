@@ -49,3 +49,19 @@ def spread_words(lines: DataFrame) -> DataFrame:
 
 def label(engine: Column, variant: Column, psm: Column) -> Column:
     return F.concat(engine, F.lit("/"), variant, F.lit("/psm"), psm.cast("string"))
+
+
+def segments(requests: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
+    """requests(doc_id, urls) of documents that come in several pictures: doc_id, segment, url, in order. Fewer than ``least`` or more than ``most`` urls are an error."""
+    n = F.size("urls")
+    checked = F.when(n.between(least, most), F.col("urls")).otherwise(F.raise_error(F.format_string(f"%d segments, {least} to {most} are allowed", n)).cast("array<string>"))
+    return requests.select("doc_id", F.posexplode(checked).alias("segment", "url"))
+
+
+def stitched(words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Words of segments as words of one page, each segment below the ones before: words(doc_id, segment, top, ...), sizes(doc_id, segment, height)."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("doc_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("doc_id", "segment", F.coalesce(F.sum("height").over(before), F.lit(0)).cast("int").alias("offset"))
+    return words.join(offsets, ["doc_id", "segment"]).withColumn("top", F.col("top") + F.col("offset")).drop("offset")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, money
-from ..operators import category, choices, corrections, evaluation, geometry, layout, locale, payloads, readings, reconcile, reports, verification
+from ..functions import dates, fuzzy, money
+from ..operators import category, choices, corrections, evaluation, geometry, itemlines, layout, locale, payloads, readings, reconcile, reports, verification
 from ..sources import corpus
-from ..sources.receipts import rendered, rendered_sql
+from ..sources.receipts import kind, rendered, rendered_sql
 from ..streaming import jobs
 from . import receipts as plan
 from .queries import LOC, MONEY_SQL, _log
@@ -100,7 +100,7 @@ def loc_resolved(spark, sf):
   SELECT k AS doc_id, CASE WHEN k % 4 = 0 THEN NULL ELSE concat('Vendor ', CAST(k AS STRING)) END AS vendor, CASE k % 3 WHEN 0 THEN 'vat' WHEN 1 THEN 'non-vat' END AS vat, CASE WHEN k % 5 = 0 THEN 'PHP' WHEN k % 5 = 1 THEN 'EUR' END AS currency, CASE k % 4 WHEN 0 THEN 'Meals' WHEN 1 THEN 'Supplies' WHEN 2 THEN 'Others' END AS category,
    CASE WHEN dup THEN 'rejected' ELSE 'completed' END AS status, CASE WHEN k % 2 = 0 THEN 'inclusive' END AS basis, 15 + CASE WHEN k % 2 = 0 THEN 1 + CAST(k % 3 <> 0 AS INT) + 1 ELSE 0 END AS n_keys, 2 AS n_items, CASE WHEN k % 7 = 1 THEN 2 ELSE 3 END AS quantities FROM q""")
 def con_callback(spark, sf):
-    """CON-02, CON-03, CON-04, SNK-05, JSN-03, PRJ-01: even documents have their semantics from a model."""
+    """CON-02, CON-03, CON-04, SNK-05, JSN-03, PRJ-01, STR-16, MAP-01, ARR-01: even documents have their semantics from a model."""
     k = F.col("o_orderkey")
     fields = F.map_from_arrays(
         F.array(*map(F.lit, ("vendor_name", "total_amount", "vat_classification", "currency", "expense_category", "tax_basis", "financial_reconciliation_status", "needs_manual_review"))),
@@ -455,3 +455,57 @@ def prj_audit(spark, sf):
     docs = payloads.audit(plan.extract(df).join(payloads.selection(readings.ranked(runs)), "doc_id")).withColumn("v", F.parse_json("document"))
     get = lambda p, t, n: F.try_variant_get("v", p, t).alias(n)
     return docs.select("doc_id", get("$.reconciliation.reconciled", "boolean", "reconciled"), get("$.reconciliation.tax_basis", "string", "basis"), get("$.locale.country", "string", "country"), get("$.ocr_selection.candidates_evaluated", "bigint", "candidates"))
+
+
+_FORMATS = ("%Y-%m-%d", "%m-%d-%Y", "%d-%m-%Y", "%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%b %d, %Y", "%B %d, %Y", "%d %b %y", "%d %b %Y")
+
+
+@query("WITH t AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 12 " + " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, f in enumerate(_FORMATS)) + " WHEN 10 THEN concat('paid at ', strftime(o_orderdate, '%Y-%m-%d'), ' 10:00') ELSE 'n/a' END AS x FROM orders) SELECT doc_id, CAST(coalesce(" + ", ".join(f"CAST(try_strptime(x, '{f}') AS DATE)" for f in _FORMATS) + ", TRY_CAST(nullif(regexp_extract(x, '\\d{4}-\\d{2}-\\d{2}', 0), '') AS DATE)) AS STRING) AS found FROM t")
+def dat_parse_values(spark, sf):
+    """DAT-04: a date in ten formats, inside other text, and none."""
+    d = F.col("o_orderdate")
+    forms = ("yyyy-MM-dd", "MM-dd-yyyy", "dd-MM-yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "MMM dd, yyyy", "MMMM dd, yyyy", "dd MMM yy", "dd MMM yyyy")
+    shown = F.element_at(F.array(*(F.date_format(d, f) for f in forms), F.concat(F.lit("paid at "), F.date_format(d, "yyyy-MM-dd"), F.lit(" 10:00")), F.lit("n/a")), (F.col("o_orderkey") % 12 + 1).cast("int"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), dates.parse_value(shown).cast("string").alias("found"))
+
+
+@query("""WITH t AS (SELECT c_custkey, ['meals', ' Travel ', 'Office Supplies', 'Accom', '', 'Meals & Travel', 'zzz'][c_custkey % 7 + 1] AS x FROM customer)
+  SELECT c_custkey, CASE trim(x) WHEN 'meals' THEN 'Meals' WHEN 'Travel' THEN 'Travel' WHEN 'Office Supplies' THEN 'Supplies' WHEN 'Accom' THEN 'Accommodation' WHEN 'Meals & Travel' THEN 'Meals' ELSE 'Others' END AS category FROM t""")
+def cat_coerced(spark, sf):
+    """CAT-02: exact, containing, contained and other categories."""
+    x = F.element_at(F.array(*map(F.lit, ("meals", " Travel ", "Office Supplies", "Accom", "", "Meals & Travel", "zzz"))), (F.col("c_custkey") % 7 + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", category.coerce(x).alias("category"))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS doc_id, ['exclusive', 'inclusive', 'unknown'][o_orderkey % 3 + 1] AS basis, o_orderkey % 5 = 0 AS net_derived, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 112 END AS total, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 12 END AS tax FROM orders)
+  SELECT doc_id, array_to_string([x for x in [CASE WHEN basis = 'exclusive' OR (basis = 'unknown' AND NOT net_derived) THEN 'net_sales=100' END, CASE WHEN basis <> 'exclusive' THEN 'total_sales=112' END, CASE WHEN basis <> 'unknown' AND total IS NOT NULL THEN 'total_amount=112' END, CASE WHEN basis <> 'unknown' AND total IS NOT NULL AND tax <> 0 THEN 'total_less_tax_and_charges=100' END] if x IS NOT NULL], ';') AS targets FROM t""")
+def itm_targets(spark, sf):
+    """ITM-02."""
+    k, d = F.col("o_orderkey"), lambda x: F.lit(x).cast("decimal(18,2)")
+    basis = F.element_at(F.array(*map(F.lit, ("exclusive", "inclusive", "unknown"))), (k % 3 + 1).cast("int"))
+    derived = F.when(k % 5 == 0, F.array(F.lit("net_sales"))).otherwise(F.array().cast("array<string>"))
+    t = itemlines.targets(basis, d("100"), d("112"), F.when(k % 4 != 0, d("112")), F.when(k % 7 == 0, d("0")).otherwise(d("12")), F.lit(None).cast("decimal(18,2)"), derived)
+    return table(spark, sf, "orders").select(k.alias("doc_id"), F.array_join(F.transform(t, lambda x: F.concat(x["name"], F.lit("="), x["value"].cast("int").cast("string"))), ";").alias("targets"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS ord, CASE WHEN l_partkey % 5 > 0 THEN l_suppkey % 9 / CAST(l_partkey % 5 * 5 AS DOUBLE) BETWEEN 0 AND 0.3 END AS plausible FROM lineitem")
+def num_tax_rate(spark, sf):
+    """NUM-07."""
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.expr(_ORD).alias("ord"), reconcile.plausible_rate(F.col("l_suppkey") % 9, F.col("l_partkey") % 5 * 5).alias("plausible"))
+
+
+@query("WITH p AS (SELECT page_id, concat(coalesce(url, 'x'), CASE page_id % 6 WHEN 0 THEN '.pdf' WHEN 3 THEN '.PDF?size=1&name=a.jpg' WHEN 1 THEN '.jpg?as=b.pdf' ELSE '.png' END) AS path FROM pages) SELECT page_id, CASE WHEN lower(string_split(path, '?')[1]) LIKE '%.pdf' THEN 'pdf' ELSE 'image' END AS kind FROM p")
+def src_kind(spark, sf):
+    """SRC-02, SRC-11: addresses with and without a query string."""
+    k = F.col("page_id") % 6
+    path = F.concat(F.coalesce("url", F.lit("x")), F.when(k == 0, ".pdf").when(k == 3, ".PDF?size=1&name=a.jpg").when(k == 1, ".jpg?as=b.pdf").otherwise(".png"))
+    return table(spark, sf, "pages").select("page_id", kind(path).alias("kind"))
+
+
+@query(WORDS_SQL + """, s AS (SELECT word_id, doc_id, line % 3 AS segment, top FROM w) SELECT word_id, doc_id, segment, CAST(top + CASE segment WHEN 0 THEN 0 WHEN 1 THEN 100 ELSE 300 END AS INT) AS top FROM s""")
+def src_stitched(spark, sf):
+    """SRC-04: three segments of a document, 100, 200 and 300 high, one below the other."""
+    words = _words(spark, sf).withColumn("segment", F.col("line") % 3)
+    requests = words.select("doc_id").distinct().withColumn("urls", F.array(*map(F.lit, ("a", "b", "c"))))
+    sizes = geometry.segments(requests).select("doc_id", "segment", ((F.col("segment") + 1) * 100).alias("height"))
+    return geometry.stitched(words, sizes).select("word_id", "doc_id", "segment", F.col("top").cast("int").alias("top"))

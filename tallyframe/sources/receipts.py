@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS = "doc_id bigint, page int, engine string, variant string, psm int, word_id int, text string, confidence double, `left` int, top int, width int, height int, block int, par int, line int"
@@ -33,10 +33,14 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return files.select("name", F.from_json("value", TRUTH).alias("t"), extra.alias("extra")).select("name", "t.*", "extra").orderBy("name")
 
 
+def kind(path: Column) -> Column:
+    """pdf or image, by the end of a path or address; a query string after it is not part of it."""
+    return F.when(F.lower(F.regexp_replace(path, r"\?.*$", "")).endswith(".pdf"), "pdf").otherwise("image")
+
+
 def read_files(spark: SparkSession, path: str, most_pages: int = 5) -> DataFrame:
-    """Input files with their kind; a query string after the name is not part of it."""
-    name = F.lower(F.regexp_replace("path", r"\?.*$", ""))
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content", F.when(name.endswith(".pdf"), "pdf").otherwise("image").alias("kind"), F.when(name.endswith(".pdf"), most_pages).otherwise(1).alias("most_pages"))
+    """Input files with their kind and how many of their pages are read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content", kind(F.col("path")).alias("kind"), F.when(kind(F.col("path")) == "pdf", most_pages).otherwise(1).alias("most_pages"))
 
 
 def money_text(cents: str) -> str:

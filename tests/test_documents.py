@@ -154,6 +154,13 @@ def test_words_without_boxes(spark):
     assert one(spark, T.looks_like_store_code, "JNJ MRCHPSN / CHS24G") and not one(spark, T.looks_like_store_code, "CHICKEN")
 
 
+def test_segments_of_a_document(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"])], "doc_id bigint, urls array<string>")
+    assert [(r["segment"], r["url"]) for r in geometry.segments(rows).collect()] == [(0, "a"), (1, "b")]
+    with pytest.raises(Exception, match="5 segments"):
+        geometry.segments(rows.withColumn("urls", F.array(*[F.lit("x")] * 5))).collect()
+
+
 def test_look_back_of_a_stream(spark, tmp_path):
     store = spark.createDataFrame([(7, "a", [1.0, 0.0], datetime.datetime(2026, 1, 1)), (8, "a", [1.0, 0.0], datetime.datetime(2025, 1, 1))], "receipt_id bigint, source_service string, embedding array<double>, created_at timestamp")
     spark.createDataFrame([(1, 1, "a", [0.99, 0.1]), (2, 2, "a", [0.0, 1.0]), (1, 1, "a", [0.99, 0.1])], "job_id bigint, receipt_id bigint, source_service string, embedding array<double>").write.parquet(f"{tmp_path}/in")
