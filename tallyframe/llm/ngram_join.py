@@ -120,8 +120,8 @@ _SIZES, _TOKENS, _MANY, _OWN, _SHARED, _HOT, _PREFIX = range(7)
 def _batches_of_sets(batches, from_text: bool, size: int):
     shingler = Shingler(size)
     for batch in batches:
-        for a in range(0, batch.num_rows, 1000):
-            some = batch.slice(a, 1000)
+        for a in range(0, batch.num_rows, 600):
+            some = batch.slice(a, 600)
             ids, values = np.array(some.column(0).to_pylist(), dtype=np.int64), some.column(1).to_pylist()
             yield ids, [shingler.set_of(x) if from_text else np.frombuffer(x, dtype=np.uint64) for x in values]
 
@@ -418,7 +418,7 @@ def open_links(sets: DataFrame, groups: DataFrame, lists: DataFrame, percent: in
 
 def connecting_links(sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
     """node, component of the sets(doc_id, tokens) that link with another."""
-    lists = materialise(prefix_lists(sets, tasks_for(sets, 6, 16), percent), "prefixes")
+    lists = materialise(prefix_lists(sets, tasks_for(sets, 3, 16), percent), "prefixes")
     stars = materialise(star_pairs(lists), "stars")
     links = materialise(verified(stars, sets, percent), "verified")
     known = components(links).select(F.col("node").alias("v"), "component")
@@ -435,7 +435,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     in_small_batches(docs.sparkSession)
-    buckets = tasks_for(rows, 6, 16)
+    buckets = tasks_for(rows, 3, 16)
     stats = materialise(sizes_and_own(rows.where("doc_id is not null"), buckets, size), "sizes")
     near = stats.where((F.col("n") > 0) & (F.col("own") < F.expr(f"n - ceil(n * {percent} / 100.0d) + 1"))).select(F.col("doc_id").alias("d")).distinct()
     near = small(materialise(near, "near"))
