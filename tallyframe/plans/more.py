@@ -311,7 +311,7 @@ def flt_fixtures(spark, sf):
 _DRAW = "(CAST(concat('0x', substr(md5(concat('1:', CAST(i AS STRING), ':{w}')), 1, 7)) AS BIGINT) % {n})"
 SPEC_SQL = (
     "WITH n AS (SELECT CAST(i AS BIGINT) AS i, i < 3000 AS sound, CASE WHEN i < 3000 THEN i / 3000.0 ELSE (i - 3000) / 500.0 END AS place FROM range(0, 3500) t(i)), a AS (SELECT i, NOT sound AS corrupt, CASE WHEN sound THEN ['ph_vat_or', 'ph_vat_pos', 'ph_nonvat_si', 'us_pos', 'my_pos'][" + _DRAW.format(w="template", n=5)
-    + " + 1] ELSE 'ph_vat_or' END AS template, CASE WHEN place < 0.4 THEN 'clean' WHEN place < 0.8 THEN 'moderate' ELSE 'severe' END AS tier, DATE '1999-01-01' - CAST(" + _DRAW.format(w="date", n=900) + " + 1 AS INT) AS date, " + _DRAW.format(w="gross", n=900000) + " + 1000 AS gross, [625, 725, 800, 875][" + _DRAW.format(w="rate", n=4) + " + 1] AS rate, "
+    + " + 1] ELSE 'ph_vat_or' END AS template, CASE WHEN place < 0.4 THEN 'clean' WHEN place < 0.8 THEN 'moderate' ELSE 'severe' END AS tier, DATE '1999-01-01' - CAST(" + _DRAW.format(w="date", n=900) + " + 1 AS INT) AS date, " + _DRAW.format(w="items", n=4) + " + 1 AS n_items, " + " + ".join(f"CASE WHEN {j} <= {_DRAW.format(w='items', n=4)} THEN ({_DRAW.format(w=f'quantity{j}', n=3)} + 1) * ({_DRAW.format(w=f'price{j}', n=60000)} + 500) ELSE 0 END" for j in range(4)) + " AS gross, [625, 725, 800, 875][" + _DRAW.format(w="rate", n=4) + " + 1] AS rate, "
     + _DRAW.format(w="service", n=100) + " AS sv FROM n), b AS (SELECT *, CASE WHEN template IN ('ph_vat_or', 'ph_vat_pos') THEN (gross * 100 + 56) // 112 ELSE gross END AS net FROM a), c AS (SELECT *, CASE WHEN template = 'ph_nonvat_si' THEN NULL WHEN starts_with(template, 'ph_') THEN gross - net WHEN template = 'us_pos' THEN CAST(floor((net * rate + 5000) / 10000) AS BIGINT) ELSE CAST(floor((net * 6 + 50) / 100) AS BIGINT) END AS tax FROM b),"
     " d AS (SELECT *, CASE WHEN starts_with(template, 'ph_') THEN gross ELSE net + tax END AS sales, CASE WHEN template = 'ph_vat_or' AND sv < 45 THEN CAST(floor((net + 5) / 10) AS BIGINT) END AS service FROM c)"
 )
@@ -330,12 +330,12 @@ def agg_corpus(spark, sf):
     return corpus.corpus(spark, 3000, 500).groupBy("template", "tier").agg(F.count("*").alias("n"), F.count_if("corrupt").alias("corrupted"))
 
 
-@query(SPEC_SQL + """ SELECT i AS index, concat('syn-', lpad(CAST(i AS STRING), 4, '0'), '-', template, '-', tier, '.jpg') AS image, corrupt AS review, CASE WHEN corrupt THEN 6 ELSE 1 END AS n_unknown, CASE WHEN tax IS NULL THEN NULL ELSE concat(CAST(CAST(floor(tax / 100) AS BIGINT) AS STRING), '.', lpad(CAST(tax % 100 AS STRING), 2, '0')) END AS tax, template, tier FROM d""")
+@query(SPEC_SQL + """ SELECT i AS index, CAST(n_items AS INT) AS n_items, concat('syn-', lpad(CAST(i AS STRING), 4, '0'), '-', template, '-', tier, '.jpg') AS image, corrupt AS review, CASE WHEN corrupt THEN 6 ELSE 1 END AS n_unknown, CASE WHEN tax IS NULL THEN NULL ELSE concat(CAST(CAST(floor(tax / 100) AS BIGINT) AS STRING), '.', lpad(CAST(tax % 100 AS STRING), 2, '0')) END AS tax, template, tier FROM d""")
 def syn_truth(spark, sf):
     """SYN-03, SNK-06: the documents, read back from their JSON."""
     docs = corpus.truth(corpus.corpus(spark, 3000, 500)).withColumn("v", F.parse_json("document"))
     get = lambda p, t, n: F.try_variant_get("v", p, t).alias(n)
-    return docs.select("index", "image", get("$.expect_manual_review", "boolean", "review"), F.size(F.try_variant_get("v", "$.unknown", "array<string>")).alias("n_unknown"), get("$.expected.tax_amount", "string", "tax"), get("$.template", "string", "template"), get("$.degradation", "string", "tier"))
+    return docs.select("index", "image", F.size(F.try_variant_get("v", "$.expected_items", "array<variant>")).alias("n_items"), get("$.expect_manual_review", "boolean", "review"), F.size(F.try_variant_get("v", "$.unknown", "array<string>")).alias("n_unknown"), get("$.expected.tax_amount", "string", "tax"), get("$.template", "string", "template"), get("$.degradation", "string", "tier"))
 
 
 @query("""WITH w AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part)), ph AS (SELECT p_partkey AS doc_id, unnest(string_split(t, ' ')) AS word, generate_subscripts(string_split(t, ' '), 1) AS n FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN replace(p_type, 'A', 'O') WHEN 1 THEN concat(replace(p_type, 'E', ''), ',') WHEN 2 THEN lower(replace(p_type, 'N', 'M')) ELSE p_type END AS t FROM part)),
