@@ -509,3 +509,31 @@ def src_stitched(spark, sf):
     requests = words.select("doc_id").distinct().withColumn("urls", F.array(*map(F.lit, ("a", "b", "c"))))
     sizes = geometry.segments(requests).select("doc_id", "segment", ((F.col("segment") + 1) * 100).alias("height"))
     return geometry.stitched(words, sizes).select("word_id", "doc_id", "segment", F.col("top").cast("int").alias("top"))
+
+
+_GAPS = """o_orderkey AS doc_id, ['PH', 'US', 'MY'][{one}] AS country, ['inclusive', 'exclusive', 'unknown', 'inclusive'][{two}] AS basis, o_orderkey % 5 <> 0 AS vat_registered,
+  CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_custkey * 1.13 AS DECIMAL(18, 2)) END AS net, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey * 1.13 * CASE WHEN o_orderkey % 13 = 0 THEN 0.45 ELSE 0.12 END AS DECIMAL(18, 2)) END AS tax,
+  CASE WHEN o_orderkey % 3 <> 1 THEN CAST(o_custkey * 1.13 * 1.12 AS DECIMAL(18, 2)) END AS sales, CASE WHEN o_orderkey % 6 = 0 THEN CAST(10 AS DECIMAL(18, 2)) END AS service,
+  CASE WHEN o_orderkey % 11 > 1 THEN CAST(o_custkey * 1.13 * 1.12 + CASE WHEN o_orderkey % 6 = 0 THEN 10 ELSE 0 END + CASE WHEN o_orderkey % 17 = 0 THEN 5 ELSE 0 END AS DECIMAL(18, 2)) END AS total, CAST(o_custkey * 1.13 * 1.12 + CASE WHEN o_orderkey % 6 = 0 THEN 10 ELSE 0 END AS DECIMAL(18, 2)) AS shown"""
+
+
+@query("WITH w AS (SELECT *, country = 'PH' AS ph, basis = 'inclusive' AS inc, basis = 'exclusive' AS exc, coalesce(service, 0) AS svc FROM (SELECT " + _GAPS.format(one="o_orderkey % 3 + 1", two="o_orderkey % 4 + 1") + """ FROM orders)),
+  a AS (SELECT *, ph AND NOT vat_registered AND net IS NULL AND sales IS NOT NULL AS ns, ph AND vat_registered AND inc AND net IS NULL AND sales IS NOT NULL AS nv FROM w),
+  b AS (SELECT *, CASE WHEN ns THEN sales WHEN nv THEN CAST((CAST(sales * 100 AS BIGINT) * 100 + 56) // 112 AS DECIMAL(18, 2)) / 100 ELSE net END AS net_raw FROM a), b2 AS (SELECT *, CAST(net_raw AS DECIMAL(18, 2)) AS net_out, CASE WHEN NOT ns THEN CAST(net_raw AS DECIMAL(18, 2)) END AS netx FROM b),
+  c AS (SELECT *, ph AND vat_registered AND inc AND tax IS NULL AND netx IS NOT NULL AS tv FROM b2), d AS (SELECT *, CASE WHEN tv THEN CAST(round(netx * 0.12, 2) AS DECIMAL(18, 2)) ELSE tax END AS tax_out FROM c),
+  e AS (SELECT *, (inc OR exc) AND sales IS NULL AND netx IS NOT NULL AND tax_out IS NOT NULL AS summed, CASE WHEN exc AND netx IS NOT NULL AND NOT nv AND tax_out IS NOT NULL AND NOT tv THEN netx + tax_out + svc END AS comp FROM d), f AS (SELECT *, CASE WHEN summed THEN netx + tax_out ELSE sales END AS sales_out FROM e),
+  g AS (SELECT *, comp IS NOT NULL AND total IS NULL AS replaced, comp IS NULL AND inc AND total IS NULL AND sales_out IS NOT NULL AND abs(shown - sales_out - svc) <= 0.02 AS carried, abs(total - comp) <= 0.02 AS agrees FROM f),
+  h AS (SELECT *, CASE WHEN replaced THEN comp WHEN carried THEN sales_out + svc ELSE total END AS total_out FROM g),
+  i AS (SELECT *, [x for x in [CASE WHEN tax_out IS NOT NULL AND net_out > 0 AND ph AND inc AND NOT tv THEN abs(net_out * 0.12 - tax_out) <= greatest(0.02, net_out * 0.001) END, CASE WHEN tax_out IS NOT NULL AND net_out > 0 AND (NOT ph OR exc) THEN CAST(tax_out AS DOUBLE) / CAST(net_out AS DOUBLE) BETWEEN 0 AND 0.3 END,
+    CASE WHEN net_out IS NOT NULL AND tax_out IS NOT NULL AND sales_out IS NOT NULL AND NOT summed AND NOT (nv AND tv) THEN abs(net_out + tax_out - sales_out) <= 0.02 END, CASE WHEN sales_out IS NOT NULL AND total_out IS NOT NULL AND NOT carried AND NOT replaced THEN abs(sales_out + svc - total_out) <= 0.02 END,
+    CASE WHEN tax_out IS NULL AND net_out IS NOT NULL AND total_out IS NOT NULL AND svc = 0 AND NOT ns AND NOT nv THEN abs(net_out - total_out) <= 0.02 END] if x IS NOT NULL] AS checks FROM h)
+  SELECT doc_id, CAST(net_out * 100 AS BIGINT) AS net_c, CAST(tax_out * 100 AS BIGINT) AS tax_c, CAST(sales_out * 100 AS BIGINT) AS sales_c, CAST(total_out * 100 AS BIGINT) AS total_c, len(checks) > 0 AND len([x for x in checks if NOT x]) = 0 AS reconciled,
+    CASE WHEN comp IS NOT NULL THEN CASE WHEN total IS NULL THEN 'computed' WHEN agrees THEN 'reported' ELSE 'reported_conflict' END WHEN len(checks) > 0 AND len([x for x in checks if NOT x]) = 0 THEN 'reconciled' ELSE 'unresolved' END AS status,
+    array_to_string([x for x in [CASE WHEN ns OR nv THEN 'net_sales' END, CASE WHEN tv THEN 'tax_amount' END, CASE WHEN summed THEN 'total_sales' END, CASE WHEN replaced OR carried THEN 'total_amount' END] if x IS NOT NULL], ';') AS derived FROM i""")
+def mon_fill_gaps(spark, sf):
+    """MON-02, MON-04 with sales, service charges, both kinds of registration, every basis and missing amounts of every kind."""
+    pick = lambda xs, n: f"element_at({xs}, CAST({n} AS INT))"
+    sql = _GAPS.format(one="ONE", two="TWO").replace("['PH', 'US', 'MY'][ONE]", pick("array('PH', 'US', 'MY')", "o_orderkey % 3 + 1")).replace("['inclusive', 'exclusive', 'unknown', 'inclusive'][TWO]", pick("array('inclusive', 'exclusive', 'unknown', 'inclusive')", "o_orderkey % 4 + 1"))
+    df = table(spark, sf, "orders").selectExpr(*(x.strip() for x in _split_columns(sql))).withColumn("printed", F.array("shown"))
+    c = lambda x, n: (F.col(x) * 100).cast("bigint").alias(n)
+    return reconcile.resolve(df).select("doc_id", c("net_out", "net_c"), c("tax_out", "tax_c"), c("sales_out", "sales_c"), c("total_out", "total_c"), "reconciled", "status", F.array_join("derived", ";").alias("derived"))

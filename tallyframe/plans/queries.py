@@ -27,6 +27,31 @@ def _ord():
 
 R = rendered_sql()
 
+# What the SQL below looks for, written out apart from the operators.
+_NEAR_WORDS = ("total", "amount due", "amt due", "grand total", "balance due", "subtotal", "balance", "vat", "tax", "sst", "gst", "vatable", "zero-rated", "vat-exempt")
+_DOC_WORDS = ("receipt", "invoice", "official receipt", "sales invoice", "tin", "cashier", "change", "payment", "qty", "service charge")
+_MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+_DATE = rf"(?i)\b\d{{1,2}}[/\-.]\d{{1,2}}[/\-.]\d{{2,4}}\b|\b\d{{4}}[/\-.]\d{{1,2}}[/\-.]\d{{1,2}}\b|\b\d{{1,2}}\s+(?:{_MONTHS})[a-z.]*\s+\d{{2,4}}\b|\b(?:{_MONTHS})[a-z.]*\s+\d{{1,2}},?\s+\d{{4}}\b"
+_NOISE = r"(?i)authority\s+to\s+print|\bocn\b|permit\s+no|accreditation|booklets|valid\s+until|date\s+of\s+atp|printers?\b|bkl?ts|\batp\b|vat\s*reg|reference\s*#|card\s+number"
+_INCLUSIVE = r"vat\s*inclusive|tax\s*inclusive|inclusive\s*(?:of|vat)|incl\.?\s*vat"
+_EXCLUSIVE = r"vat\s*exclusive|tax\s*exclusive|exclusive\s*(?:of|vat)|net\s+of\s+vat|before\s+tax|plus\s+(?:vat|tax)|add\s*:\s*(?:vat|tax)"
+_EVIDENCE = (
+    ("PH", 4.0, r"vat\s*reg\.?\s*tin"), ("PH", 4.0, r"non\s*-?\s*vat\s*reg"), ("PH", 4.0, r"\bbir\b|authority\s+to\s+print|\batp\b"), ("PH", 2.5, r"philippines|makati|quezon\s+city|manila|pasig|cebu|davao|binondo|rizal"),
+    ("PH", 3.0, r"sc\s*/\s*pwd|solo\s+parent|senior\s+citizen"), ("PH", 3.0, r"vatable\s+sales|zero\s*-?\s*rated\s+sales|vat\s*-?\s*exempt\s+sales"), ("PH", 1.0, r"official\s+receipt|sales\s+invoice"), ("PH", 2.0, r"\btin\b\s*[:#]?\s*\d{3}"),
+    ("MY", 2.0, r"sdn\.?\s*bhd"), ("MY", 3.0, r"\bmalaysia\b|kuala\s+lumpur|\bgst\b|\bsst\b"), ("MY", 3.0, r"\brm\s*\d"), ("BN", 3.5, r"brunei|bandar\s+seri|yayasan"), ("BN", 2.5, r"sdn\.?\s*bhd.{0,12}\(\s*b\s*\)|ent\s*rek\s*\(\s*b\s*\)"),
+    ("US", 3.0, r"\bsales\s+tax\b"), ("SG", 3.5, r"\bsingapore\b"), ("JP", 3.0, r"\bjapan\b|円"), ("HK", 3.0, r"\bhong\s*kong\b"), ("TH", 3.0, r"\bthailand\b|bangkok"),
+)
+_STATE = r"(AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY|DC)"
+_SHAPES = ((4.0, rf"\b{_STATE}\s+\d{{5}}(?:-\d{{4}})?\b"), (3.0, rf"\b[a-zA-Z\s]{{2,25}},\s*{_STATE}\b"), (2.0, r"\(\d{3}\)\s*\d{3}\s*-\s*\d{4}"))
+_COUNTRIES, _CURRENCIES = ("PH", "MY", "BN", "US", "SG", "JP", "HK", "TH"), ("PHP", "MYR", "BND", "USD", "SGD", "JPY", "HKD", "THB")
+_LEXICON = (
+    ("Accommodation", r"hotel|inn\b|resort|lodge|pension|airbnb|apartelle"), ("Travel", r"air(lines|ways|asia)|cebu\s*pac|philippine\s*air|\bpal\b|boarding\s*pass|travel\s*agency|tours?\b"),
+    ("Transportation", r"grab|uber|taxi|lalamove|angkas|jeep|bus\s*(fare|ticket)|mrt|lrt|toll|parking|shell|petron|caltex|seaoil|fuel|gasoline|petrol|diesel"),
+    ("Meals", r"jollibee|mcdonald|kfc|chowking|greenwich|mang\s*inasal|starbucks|restaurant|resto|cafe|coffee|bakery|bakeshop|grill|diner|eatery|catering|pizza|food|kitchen|japanese|ramen|bbq|canteen"),
+    ("Supplies", r"office\s*warehouse|national\s*book|bookstore|stationery|supplies|hardware|\bmart\b|supermarket|grocer|puregold|sm\s*market|wholesaling|trading|printing|press|photocopy"),
+    ("Others", r"pharmacy|drug\s*store|mercury\s*drug|clinic|hospital|laboratory|diagnostic|medical|dental"), ("Others", r"telecom|communications|globe|smart\b|pldt|converge|electric|meralco|water|maynilad|internet|utility"),
+)
+
 
 @query("""SELECT o_orderkey AS doc_id, l AS kind, CAST(CASE
   WHEN l = 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) WHEN l = 1 THEN CAST(round(o_totalprice * 100) AS BIGINT)
@@ -48,11 +73,11 @@ def num_normalize_money(spark, sf):
     regexp_split_to_array(text, '\\d{1,3}(?:[,.\\s]\\d{3})*[,.]\\d{2}\\b|\\b\\d+[,.]\\d{2}\\b') AS gaps,
     regexp_extract_all(text, '\\d{1,3}(?:[,.\\s]\\d{3})*[,.]\\d{2}\\b|\\b\\d+[,.]\\d{2}\\b') AS toks FROM receipts),
   pos AS (SELECT *, [CAST(list_sum([length(g) for g in gaps[1:i]]) + coalesce(list_sum([length(t) for t in toks[1:i - 1]]), 0) AS BIGINT) for i in range(1, len(toks) + 1)] AS starts,
-    list_concat(""" + ", ".join(f"[[p - 1 - 60, p - 1 + {len(w)} + 60] for p in range(1, length(low) + 1) if substr(low, p, {len(w)}) = '{w}']" for w in anchors.TOTAL_WORDS + anchors.TAX_WORDS).replace("list_concat(", "") + """) AS spans FROM tok),
+    list_concat(""" + ", ".join(f"[[p - 1 - 60, p - 1 + {len(w)} + 60] for p in range(1, length(low) + 1) if substr(low, p, {len(w)}) = '{w}']" for w in _NEAR_WORDS).replace("list_concat(", "") + """) AS spans FROM tok),
   near AS (SELECT *, len([s for s in starts if len([x for x in spans if x[1] <= s and s <= x[2]]) > 0]) AS money_near, len(toks) AS money_tokens,
     regexp_matches(text, '\\b\\d{3}\\s*[-\\s]\\s*\\d{3}\\s*[-\\s]\\s*\\d{3}\\s*[-\\s]\\s*\\d{3,5}\\b') AS has_tax_id,
-    regexp_matches(text, '""" + anchors.DATE.replace("'", "''") + """') AS has_date,
-    """ + " + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in anchors.TOTAL_WORDS + anchors.TAX_WORDS + anchors.DOC_WORDS) + """ AS keyword_hits FROM pos)
+    regexp_matches(text, '""" + _DATE + """') AS has_date,
+    """ + " + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in _NEAR_WORDS + _DOC_WORDS) + """ AS keyword_hits FROM pos)
   SELECT doc_id, has_tax_id, has_date, CAST(money_near AS BIGINT) AS money_near, CAST(money_tokens AS BIGINT) AS money_tokens, CAST(keyword_hits AS BIGINT) AS keyword_hits,
     CAST(round(10000 * (3.0 * CAST(has_tax_id AS INT) + 3.0 * least(money_near, 4) / 4 + 2.0 * CAST(has_date AS INT) + least(keyword_hits, 10) / 10 + 0.5 * greatest(0.0, least(confidence, 1.0)) + 0.5 * least(money_tokens, 6) / 6)) AS BIGINT) AS score_e4 FROM near""")
 def ocr_anchor_score(spark, sf):
@@ -63,11 +88,11 @@ def ocr_anchor_score(spark, sf):
 
 
 def _locale_sql() -> str:
-    of = {c: " + ".join(["0.0", *(f"CASE WHEN regexp_matches(low, '{p}') THEN {w} ELSE 0.0 END" for p, k, w in locale.EVIDENCE if k == c)]) for c in locale.COUNTRIES}
-    of["US"] += "".join(f" + CASE WHEN regexp_matches(text, '{p}') THEN {w} ELSE 0.0 END" for p, w in locale.US_SHAPES)
+    of = {c: " + ".join(["0.0", *(f"CASE WHEN regexp_matches(low, '{p}') THEN {w} ELSE 0.0 END" for p, k, w in locale.EVIDENCE if k == c)]) for c in _COUNTRIES}
+    of["US"] += "".join(f" + CASE WHEN regexp_matches(text, '{p}') THEN {w} ELSE 0.0 END" for w, p in _SHAPES)
     scored = ", ".join(f"{e} AS s_{c}" for c, e in of.items())
-    pairs = ", ".join(f"{{'c': '{c}', 's': CAST(s_{c} AS DOUBLE)}}" for c in locale.COUNTRIES)
-    currency = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in locale.CURRENCY.items()) + " END"
+    pairs = ", ".join(f"{{'c': '{c}', 's': CAST(s_{c} AS DOUBLE)}}" for c in _COUNTRIES)
+    currency = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in zip(_COUNTRIES, _CURRENCIES)) + " END"
     return f""", low AS (SELECT doc_id, text, lower(text) AS low FROM receipts), ev AS (SELECT doc_id, {scored} FROM low),
       best AS (SELECT doc_id, [x for x in [{pairs}] if x.s > 0] AS found FROM ev),
       top AS (SELECT doc_id, found, list_max([x.s for x in found]) AS m FROM best),
@@ -85,7 +110,7 @@ def loc_detect_locale(spark, sf):
     return rendered(spark, sf).select("doc_id", locale.detect(F.col("text")).alias("l")).select("doc_id", "l.country", "l.currency", F.round(F.col("l.score") * 10).cast("bigint").alias("score_e1"))
 
 
-BASIS_SQL = f"CASE WHEN regexp_matches(lower(text), '{locale.INCLUSIVE}') THEN 'inclusive' WHEN regexp_matches(lower(text), '{locale.EXCLUSIVE}') THEN 'exclusive' WHEN country = 'US' AND regexp_matches(lower(text), '\\b(?:sales\\s+)?tax\\b') THEN 'exclusive' WHEN country = 'MY' AND regexp_matches(lower(text), '\\b(?:sst|gst)\\b') THEN 'exclusive' WHEN country = 'PH' THEN 'inclusive' ELSE 'unknown' END"
+BASIS_SQL = f"CASE WHEN regexp_matches(lower(text), '{_INCLUSIVE}') THEN 'inclusive' WHEN regexp_matches(lower(text), '{_EXCLUSIVE}') THEN 'exclusive' WHEN country = 'US' AND regexp_matches(lower(text), '\\b(?:sales\\s+)?tax\\b') THEN 'exclusive' WHEN country = 'MY' AND regexp_matches(lower(text), '\\b(?:sst|gst)\\b') THEN 'exclusive' WHEN country = 'PH' THEN 'inclusive' ELSE 'unknown' END"
 
 
 @query(LOC + f" SELECT doc_id, {BASIS_SQL} AS basis FROM receipts JOIN loc USING (doc_id)")
@@ -104,7 +129,7 @@ def tax_vat_class(spark, sf):
 
 
 AMOUNTS_SQL = R + """, ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM receipts),
-  tk AS (SELECT doc_id, line_no, line, lower(line) AS low, regexp_extract(line, '(\\d{1,3}(?:,\\d{3})*\\.\\d{1,2})\\s*$', 1) AS token FROM ls WHERE NOT regexp_matches(line, '""" + layout.NOISE + """')),
+  tk AS (SELECT doc_id, line_no, line, lower(line) AS low, regexp_extract(line, '(\\d{1,3}(?:,\\d{3})*\\.\\d{1,2})\\s*$', 1) AS token FROM ls WHERE NOT regexp_matches(line, '""" + _NOISE + """')),
   lb AS (SELECT *, CASE WHEN starts_with(low, 'total amount due') THEN 'total_amount' WHEN starts_with(low, 'subtotal') THEN 'net_sales' WHEN regexp_matches(low, '^(vat 12%|sales tax|sst|tax) ') THEN 'tax_amount' END AS field FROM tk WHERE token <> ''),
   la AS (SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, field, CAST(replace(token, ',', '') AS DECIMAL(18, 2)) AS amount FROM lb WHERE field IS NOT NULL)"""
 
@@ -168,8 +193,8 @@ def dat_line_dates(spark, sf):
     return df.select("doc_id", dates.first_numeric_date(F.get(F.split("text", "\n"), F.lit(2)), F.col("true_country")).cast("string").alias("found"))
 
 
-@query(R + f""" SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(lower(vendor_line) || ' ', '{p}') THEN '{c}'" for p, c in category.LEXICON)} ELSE 'Others' END AS category,
-  CASE WHEN {' OR '.join(f"regexp_matches(lower(vendor_line) || ' ', '{p}')" for p, _ in category.LEXICON)} THEN 'lexicon' ELSE 'default' END AS method FROM receipts""")
+@query(R + f""" SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(lower(vendor_line) || ' ', '{p}') THEN '{c}'" for c, p in _LEXICON)} ELSE 'Others' END AS category,
+  CASE WHEN {' OR '.join(f"regexp_matches(lower(vendor_line) || ' ', '{p}')" for _, p in _LEXICON)} THEN 'lexicon' ELSE 'default' END AS method FROM receipts""")
 def cat_lexicon(spark, sf):
     """CAT-01."""
     return rendered(spark, sf).select("doc_id", category.by_lexicon(F.col("vendor_line")).alias("c")).select("doc_id", "c.category", "c.method")
