@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, fresh, in_small_batches, materialise, small, tidied
+from .common import fold_of, fresh, hand_back, in_small_batches, materialise, small, tidied
 from .lang_mixture import BUCKETS as GRAMS
 from .lang_mixture import _trigrams, count_grams, log_shares
 from .words import WORD, WordTable
@@ -194,7 +194,10 @@ def train(docs: DataFrame, marks: DataFrame, most_toxic: int = 1200, most_clean:
     if len(set(y[~held])) < 2:
         held = np.zeros(len(y), dtype=bool)
     net, index = fit([t for t, h in zip(texts, held) if not h], y[~held])
-    return {"net": net.p, "index": index, "langs": langs, "fitted": sorted({int(r["doc_id"]) for r, h in zip(rows, held) if not h})}
+    fitted = sorted({int(r["doc_id"]) for r, h in zip(rows, held) if not h})
+    del rows, texts
+    hand_back()  # the driver goes on with what follows
+    return {"net": net.p, "index": index, "langs": langs, "fitted": fitted}
 
 
 def raw_outputs(docs: DataFrame, model: dict, raw: str, lang: str) -> DataFrame:
