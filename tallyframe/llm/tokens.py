@@ -8,6 +8,7 @@ cache) and gives only new ones to the tokenizers library, many at a time.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import regex
@@ -20,6 +21,7 @@ CUTS = {
 #: Byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, from U+0100 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: b for b in _PLAIN} | {b: 0x100 + k for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
+_SPACE = chr(_BYTES[0x20])
 _ENCODERS: dict[tuple[str, str], "CachedEncoder"] = {}
 
 
@@ -37,6 +39,8 @@ class CachedEncoder:
         self.library.encode_special_tokens = True
         self.model = Tokenizer(self.library.model)  # no cutting again
         self.cut = regex.compile(CUTS[kind]).findall
+        # the same pattern for ASCII texts, in which these are all letters, numbers and white space there are
+        self.cut_ascii = re.compile(CUTS[kind].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(" ?a-zA-Z+", " ?[a-zA-Z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall
         self.lower = kind == "word"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -45,10 +49,10 @@ class CachedEncoder:
         if not text:
             return []
         if not self.lower:
-            return self.cut(text)
+            return self.cut_ascii(text) if text.isascii() else self.cut(text)
         # the library composes and lower-cases each character by itself; a capital sigma would depend on what follows
         if text.isascii():
-            return self.cut(text.lower())
+            return self.cut_ascii(text.lower())
         text = self.library.normalizer.normalize_str(text) if "Σ" in text or "İ" in text else _composed(text).lower()
         return self.cut(text)
 
@@ -66,7 +70,7 @@ class CachedEncoder:
         fresh = list(new)
         for i in range(0, len(fresh), self.AT_ONCE):
             some = fresh[i : i + self.AT_ONCE]
-            e = self.model.encode([c.encode().decode("latin1").translate(_BYTES) for c in some], is_pretokenized=True, add_special_tokens=False)
+            e = self.model.encode([c.replace(" ", _SPACE) if c.isascii() and c.isprintable() else c.encode().decode("latin1").translate(_BYTES) for c in some], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(e.ids, dtype="<u4").tobytes()
             ends = np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(some)), side="right") * 4
             a = 0
