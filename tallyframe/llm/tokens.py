@@ -29,7 +29,7 @@ class CachedEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes."""
 
     #: Pre-tokens in each of the cache's two generations; longer ones are not kept; how many the library gets at once.
-    CACHE, LONGEST, AT_ONCE = 220_000, 48, 2_000
+    CACHE, LONGEST, AT_ONCE = 400_000, 48, 2_000
 
     def __init__(self, path: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
