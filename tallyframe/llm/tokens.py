@@ -72,11 +72,8 @@ class CachedEncoder:
             some = fresh[i : i + self.AT_ONCE]
             e = self.model.encode([c.replace(" ", _SPACE) if c.isascii() and c.isprintable() else c.encode().decode("latin1").translate(_BYTES) for c in some], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(e.ids, dtype="<u4").tobytes()
-            ends = np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(some)), side="right") * 4
-            a = 0
-            for c, b in zip(some, ends.tolist()):
-                known[c] = raw[a:b]
-                a = b
+            ends = (np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(some)), side="right") * 4).tolist()
+            known.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
         get = known.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
         for c in long_ones:
