@@ -94,3 +94,77 @@ def test_repair_equals_every_edit_tried(spark, monkeypatch, block):
     rows = conversations(4, 150) + [(None, 1, "user", "Lost.", "n"), (None, 2, "assistant", "Found.", "n")]
     monkeypatch.setattr(turn_repair, "BLOCK_ROWS", block)
     assert repaired_by_spark(spark, rows) == repaired_plainly(rows)
+
+
+def trie_plainly(rows: list[tuple]) -> set:
+    """Every node, by a dictionary of prefixes."""
+    own = defaultdict(list)
+    for conv, turn, role, text, *_ in rows:
+        if conv is not None:
+            own[conv].append((turn, role or "", text or ""))
+    own = {c: [x[1:] for x in sorted(v, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))] for c, v in own.items()}
+    rebuilt = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        rebuilt[c] = tuple(own.get(c - int(c % 100 if c >= 0 else -(-c % 100)), [])[:h] + v[h:])
+    nodes = defaultdict(list)
+    for c, v in rebuilt.items():
+        for d in range(len(v) + 1):
+            nodes[v[:d]].append(c)
+    children, leaves, saved = defaultdict(int), defaultdict(int), defaultdict(int)
+    for p in nodes:
+        if p:
+            children[p[:-1]] += 1
+    for p, members in nodes.items():
+        for d in range(len(p) + 1):
+            saved[p[:d]] += (len(members) - 1) * (len(p[-1][1]) if p else 0)
+            leaves[p[:d]] += children[p] == 0
+    sha = lambda p: hashlib.sha256(",".join(str(c) for c in sorted(c for c in nodes[p] if len(rebuilt[c]) == len(p))).encode()).hexdigest()
+    out = [(min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p], sha(p)) for p, m in nodes.items()]
+    assert len(set(out)) == len(out)
+    return set(out)
+
+
+COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def trie_by_spark(spark, df) -> set:
+    from tallyframe.llm import prefix_trie
+
+    got = prefix_trie.trie(df)
+    assert got.columns == COLUMNS
+    rows = [tuple(r) for r in got.collect()]
+    assert len(set(rows)) == len(rows)
+    return set(rows)
+
+
+def copies(seed: int, n_convs: int) -> list[tuple]:
+    """Conversations of few distinct turns: many copies, prefixes of each other, empty ones after rebuilding."""
+    r, rows = random.Random(seed), []
+    for c in range(n_convs):
+        for t in range(r.choice([0, 1, 1, 2, 3, 3, 5, 12])):
+            rows.append((c + (c // 150) * 1000 - 30, t if r.random() < 0.95 else None, r.choice(["user", None]), r.choice(["a", "bé", None, "a"]), "n"))
+    return rows
+
+
+@pytest.mark.parametrize("tasks", [1, 5, 40])
+def test_trie_equals_a_dictionary_of_prefixes(spark, monkeypatch, tasks):
+    from tallyframe.llm import prefix_trie
+
+    monkeypatch.setattr(prefix_trie, "tasks_for", lambda df, *_: tasks)
+    rows = copies(tasks, 400) + [(None, 0, "user", "nobody", "n")]
+    assert trie_by_spark(spark, spark.createDataFrame(rows, SCHEMA)) == trie_plainly(rows)
+
+
+def test_trie_of_longer_conversations(spark):
+    rows = conversations(8, 120)
+    assert trie_by_spark(spark, spark.createDataFrame(rows, SCHEMA)) == trie_plainly(rows)
+
+
+def test_nothing_gives_nothing(spark):
+    from tallyframe.llm import prefix_trie
+
+    none = spark.createDataFrame([], SCHEMA)
+    assert prefix_trie.trie(none).count() == 0 and turn_repair.repair(none).count() == 0
+    one = spark.createDataFrame([(7, None, None, None, "n")], SCHEMA)
+    assert trie_by_spark(spark, one) == trie_plainly([(7, None, None, None)])
