@@ -21,7 +21,8 @@ def normalised_words(words: DataFrame) -> DataFrame:
 def mean_confidence(words: DataFrame, *by: str) -> DataFrame:
     """The mean of the raw confidences that are not negative, 0 to 1; 0 without any."""
     known = F.when(F.col("confidence") >= 0, F.col("confidence"))
-    return words.groupBy(*by).agg((F.coalesce(F.avg(known), F.lit(0.0)) / 100).alias("confidence"))
+    exact = F.try_divide(F.sum(known.cast("decimal(18,6)")), F.count(known).cast("decimal(18,0)"))  # the sum of decimals is the same in any order
+    return words.groupBy(*by).agg((F.coalesce(exact, F.lit(0)) / 100).cast("decimal(30,18)").alias("confidence"))
 
 
 def placed(words: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def agg_lines_of_words(spark, sf):
     return df.select("doc_id", "text", F.round(F.col("confidence") * 10000).cast("bigint").alias("conf_e4"), "line_no")
 
 
-@query(WORDS_SQL + " SELECT doc_id, CAST(round(100 * coalesce(avg(confidence) FILTER (confidence >= 0), 0)) AS BIGINT) AS conf_e4 FROM w GROUP BY 1")
+@query(WORDS_SQL + " SELECT doc_id, CAST((200 * coalesce(sum(CAST(confidence AS BIGINT)) FILTER (confidence >= 0), 0) + greatest(1, count(*) FILTER (confidence >= 0))) // (2 * greatest(1, count(*) FILTER (confidence >= 0))) AS BIGINT) AS conf_e4 FROM w GROUP BY 1")
 def agg_mean_confidence(spark, sf):
     """AGG-02."""
     return geometry.mean_confidence(_words(spark, sf), "doc_id").select("doc_id", F.round(F.col("confidence") * 10000).cast("bigint").alias("conf_e4"))

@@ -87,18 +87,25 @@ def ocr_anchor_score(spark, sf):
     return df.select("doc_id", "a.has_tax_id", "a.has_date", F.col("a.money_near").cast("bigint").alias("money_near"), F.col("a.money_tokens").cast("bigint").alias("money_tokens"), F.col("a.keyword_hits").cast("bigint").alias("keyword_hits"), F.round(F.col("a.total") * 10000).cast("bigint").alias("score_e4"))
 
 
+_SIGNS = ((r"₱\s*\d", "PHP"), (r"\bphp\s*\d", "PHP"), (r"\brm\s*\d", "MYR"), (r"€\s*\d{1,3}[.,]\d{2}", "EUR"), (r"£\s*\d{1,3}[.,]\d{2}", "GBP"), (r"฿\s*\d", "THB"))
+
+
 def _locale_sql() -> str:
-    of = {c: " + ".join(["0.0", *(f"CASE WHEN regexp_matches(low, '{p}') THEN {w} ELSE 0.0 END" for p, k, w in locale.EVIDENCE if k == c)]) for c in _COUNTRIES}
-    of["US"] += "".join(f" + CASE WHEN regexp_matches(text, '{p}') THEN {w} ELSE 0.0 END" for w, p in _SHAPES)
+    """loc(doc_id, country, currency, score) of receipts(doc_id, text). US by its shapes alone is met after all others."""
+    of = {c: " + ".join(["0.0", *(f"CASE WHEN regexp_matches(low, '{p}') THEN {w} ELSE 0.0 END" for k, w, p in _EVIDENCE if k == c)]) for c in _COUNTRIES}
+    shaped = "".join(f" + CASE WHEN regexp_matches(text, '{p}') THEN {w} ELSE 0.0 END" for w, p in _SHAPES)
     scored = ", ".join(f"{e} AS s_{c}" for c, e in of.items())
-    pairs = ", ".join(f"{{'c': '{c}', 's': CAST(s_{c} AS DOUBLE)}}" for c in _COUNTRIES)
+    entry = lambda c, e: f"{{'c': '{c}', 's': CAST({e} AS DOUBLE)}}"
+    pairs = ", ".join([entry(c, "CASE WHEN s_US > 0 THEN us ELSE 0 END" if c == "US" else f"s_{c}") for c in _COUNTRIES] + [entry("US", "CASE WHEN s_US > 0 THEN 0 ELSE us END")])
     currency = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in zip(_COUNTRIES, _CURRENCIES)) + " END"
-    return f""", low AS (SELECT doc_id, text, lower(text) AS low FROM receipts), ev AS (SELECT doc_id, {scored} FROM low),
-      best AS (SELECT doc_id, [x for x in [{pairs}] if x.s > 0] AS found FROM ev),
-      top AS (SELECT doc_id, found, list_max([x.s for x in found]) AS m FROM best),
-      pick AS (SELECT doc_id, [x for x in found if x.s = m][1].c AS c0, m, coalesce([x for x in found if x.c = 'BN'][1].s, 0) AS bn FROM top),
-      fin AS (SELECT doc_id, CASE WHEN c0 = 'MY' AND bn >= 2.5 THEN 'BN' ELSE c0 END AS c, CASE WHEN c0 = 'MY' AND bn >= 2.5 THEN bn ELSE coalesce(m, 0) END AS score FROM pick),
-      loc AS (SELECT doc_id, CASE WHEN score >= 3 THEN c END AS country, CASE WHEN score >= 3 THEN {currency} END AS currency, score FROM fin)"""
+    sign = "CASE " + " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{c}'" for p, c in _SIGNS) + " END"
+    return f""", low AS (SELECT doc_id, text, lower(text) AS low FROM receipts), ev AS (SELECT doc_id, {scored}, 0.0{shaped} AS shaped, len(regexp_extract_all(low, '\\$\\s*\\d')) AS dollars, {sign} AS sign FROM low),
+      priced AS (SELECT *, CASE WHEN dollars >= 2 AND {' + '.join(f's_{c}' for c in _COUNTRIES)} + shaped = 0 THEN 3.0 WHEN dollars >= 2 AND s_US + shaped > 0 THEN s_US + shaped + 1.5 ELSE s_US + shaped END AS us FROM ev),
+      best AS (SELECT doc_id, dollars, sign, [x for x in [{pairs}] if x.s > 0] AS found FROM priced),
+      top AS (SELECT *, list_max([x.s for x in found]) AS m FROM best),
+      pick AS (SELECT doc_id, dollars, sign, [x for x in found if x.s = m][1].c AS c0, m, coalesce([x for x in found if x.c = 'BN'][1].s, 0) AS bn FROM top),
+      fin AS (SELECT doc_id, dollars, sign, c0, CASE WHEN c0 = 'MY' AND bn >= 2.5 THEN 'BN' ELSE c0 END AS c, CASE WHEN c0 = 'MY' AND bn >= 2.5 THEN bn ELSE coalesce(m, 0) END AS score FROM pick),
+      loc AS (SELECT doc_id, CASE WHEN score >= 3 THEN c END AS country, CASE WHEN score >= 3 THEN coalesce({currency}, sign) WHEN c0 IS NULL AND dollars = 1 THEN NULL ELSE coalesce(sign, CASE WHEN dollars >= 2 AND c0 IS NOT NULL THEN 'USD' END) END AS currency, score FROM fin)"""
 
 
 LOC = R + _locale_sql()
@@ -445,6 +452,6 @@ def dat_date_appears(spark, sf):
     return rendered(spark, sf).select("doc_id", dates.appears(F.col("d"), F.col("text")).alias("shown"))
 
 
-from . import more, slips  # noqa: E402, F401  (register their queries)
+from . import more, slips, whole  # noqa: E402, F401  (register their queries)
 
 __all__ = ["BEYOND_SQL", "ORACLES", "QUERIES"]
