@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import stateful
+from ..streaming import lookback, stateful
 from .registry import query, table
 
 #: Attempts of jobs: four events each, one in 23 of which never came; views and errors are failures, an event's value is its run in minutes.
@@ -51,3 +51,12 @@ def snk_accepted_jobs(spark, sf):
     """SNK-02, STM-02: patches merged key by key where the step may follow, others counted; streaming/stateful.py has the same on streams."""
     f = lambda k: F.col("fields")[k].alias(k)
     return stateful.accepted(steps(spark, sf)).select("job_id", "status", f("f0"), f("f1"), f("f2"), f("kind"), F.unix_micros("updated_at").alias("updated_us"), "refused")
+
+
+@query("""SELECT a.event_id AS receipt_id, b.event_id AS earlier_id, epoch_us(a.ts) - epoch_us(b.ts) AS age_us FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type
+  AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 12 HOUR AND (b.ts < a.ts OR b.event_id < a.event_id)""")
+def stm_earlier_pairs(spark, sf):
+    """STM-04, FLT-07: events with the earlier ones of their user and kind within 12 hours; the same function joins two streams."""
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("receipt_id"), "ts", "user_id", "event_type")
+    out = lookback.earlier_of_key(rows, rows, ["user_id", "event_type"], window="12 hours")
+    return out.select("receipt_id", "earlier_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("earlier_time").cast("timestamp"))).alias("age_us"))

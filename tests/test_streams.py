@@ -98,3 +98,21 @@ def test_latest_view_on_a_stream_equals_that_of_a_table(spark, state, tmp_path):
 
 def test_no_messages(spark):
     assert stateful.outcomes(spark.createDataFrame([], stateful.RESULTS), 0).count() == 0
+
+
+STORED = "receipt_id bigint, ts timestamp, service string, embedding array<double>"
+
+
+def test_look_back_on_streams_equals_that_on_tables(spark, tmp_path):
+    from tallyframe.streaming import lookback
+
+    r = [(i, T0 + dt.timedelta(hours=i), "ab"[i % 2] if i % 7 else None, [1.0, float(i % 3)]) for i in range(40)] + [(50, T0 + dt.timedelta(hours=3), "b", [1.0, 0.0]), (51, T0 + dt.timedelta(hours=3), "b", None)]
+    parts = [r[k::4] for k in range(4)]  # out of order by hours, within the watermark
+    how = {"key": ["service"], "window": "10 hours", "late": "3 days", "vector": "embedding", "least": 0.9}
+    stored = spark.createDataFrame([(i, t, s, e) for i, t, s, e in r], STORED)
+    want = {(x["receipt_id"], x["earlier_id"]) for x in lookback.earlier_of_key(stored, stored, **how).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    plain = {(a[0], b[0]) for a in r for b in r if a[2] and a[2] == b[2] and a[3] and b[3] and (b[1], b[0]) < (a[1], a[0]) and a[1] - b[1] <= dt.timedelta(hours=10) and cos(a[3], b[3]) >= 0.9}
+    assert want == plain and len(plain) > 20
+    got = run(spark, str(tmp_path), parts, STORED, lambda s: lookback.earlier_of_key(s, spark.readStream.schema(STORED).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"), **how), "earlier", "append")
+    assert {(x["receipt_id"], x["earlier_id"]) for x in got} == want and len(got) == len(want)
