@@ -1,5 +1,7 @@
 import random
 import re
+
+import pytest
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -72,6 +74,31 @@ def test_lists_of_links_and_short_parts():
     assert main_text(f"<article>{long}</article><div>Something else</div>") == main_text(long)
 
 
+LONG = "".join(f"<p>{'long text of the story ' * 9}{k}.</p>" for k in range(4))
+LINKS = "".join(f"<div><a href={k}>elsewhere {k}</a></div>" for k in range(9))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>Real text <span class='advert'>BUY <b>NOW</b></span> goes on.</p></article>", "Real text goes on."),
+        ("<article><p>Real <span class=ad>BUY</p><p>Next one.</p></article>", "Real Next one."),
+        (f"<body><form id=aspnetForm><nav>Home</nav><article>{LONG}<p>End.</p></article></form></body>", main_text(LONG) + " End."),
+        (f"<body><form id=aspnetForm><div>{LONG}</div><label>Search</label></form></body>", main_text(LONG)),
+        (f"<body><div>{LONG}</div><form><label>Name</label><p>Fill in your name and send.</p></form></body>", main_text(LONG)),
+        (f"<body><article>{LONG}</article>{LINKS}<article><p>Short</p></article></body>", main_text(LONG) + " Short"),
+        (f"<body>{LONG}{LINKS}<p>Thanks for reading.</p></body>", main_text(LONG) + " Thanks for reading."),
+        (f"<body>{LONG}<p><a href=x>The whole of this is a link</a></p>{LONG}</body>", f"{main_text(LONG)} The whole of this is a link {main_text(LONG)}"),
+        ("<article><p>So <math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds, <object data=y>a picture</object> too.</p></article>", "So x+1 holds, a picture too."),
+        ("<article><p>Seen <noscript>without scripts</noscript> here.</p></article><noscript>Turn scripts on.</noscript>", "Seen without scripts here."),
+        (f"<article><p>One.</p><div class='related-work'><p>{'Others have written on this at length. ' * 3}</p></div></article>", "One. " + " ".join(["Others have written on this at length."] * 3)),
+        ("<article><p>One.</p><div class='related-posts'><a href=a>Ten best cats</a> <a href=b>More</a></div><div class=comments><p>I think that all of this is wrong, and that at great length indeed.</p></div></article>", "One."),
+    ],
+)
+def test_the_contract_of_main_text(page, text):
+    assert main_text(page) == text
+
+
 def test_unclosed_items_end_with_their_container():
     for items in ("<ul>" + "<li>menu" * 100 + "</ul>", "<table>" + "<tr><td>x<td>y" * 100 + "</table>", "<dl>" + "<dt>x<dd>y" * 100 + "</dl>", "<div>" * 100):
         assert main_text(f"<body><nav>{items}</nav><article><p>The story</p></article></body>") == "The story"
