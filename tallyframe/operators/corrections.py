@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.text import looks_like_store_code
 
 #: The confidences between which a word is corrected, the least length, from how many letters two edits may be made.
 FROM, TO, LEAST, LONG = 0.5, 0.9, 3, 5
-#: A vocabulary of at most so many words is broadcast.
-SMALL = 100_000
+#: Deletions are made in so many letters at the front: the rest of a word needs none of its own to be found.
+FRONT = 8
 
 
 def bare(word: Column) -> Column:
@@ -28,17 +29,32 @@ def vocabulary(*words: DataFrame) -> DataFrame:
 def nearest_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
     """word and term: for each distinct word that is no term the nearest one within 1 edit (2 from five letters on), ties alphabetical.
 
-    Words meet terms of their own length or up to two letters longer or shorter, and only distinct words are compared.
+    Words meet terms on what is left of their fronts after up to two deletions: an edit is undone by deleting its letter
+    on either side, so a word and a term within two edits share such a rest, whatever their lengths, and one rest is far
+    rarer than one length. Whole words are compared only where rests meet. Only distinct words are looked up.
     """
     known = words.select("word").distinct().where(F.length("word") >= LEAST).join(terms, F.col("word") == F.col("term"), "left_anti")
     able = F.when(F.length("word") >= LONG, 2).otherwise(1)
-    bands = known.withColumn("size", F.explode(F.sequence(F.length("word") - able, F.length("word") + able)))
-    sized = terms.withColumn("size", F.length("term"))
-    sized = F.broadcast(sized) if terms.count() <= SMALL else sized
-    near = bands.join(sized, "size").withColumn("edits", F.levenshtein("word", "term")).where(F.col("edits") <= F.when(F.length("word") >= LONG, 2).otherwise(1))
+    asked = known.withColumn("able", able).select("word", "able", F.explode(F.when(F.col("able") == 2, rests(F.col("word"), 2)).otherwise(rests(F.col("word"), 1))).alias("rest"))
+    found = terms.select("term", F.explode(rests(F.col("term"), 2)).alias("rest"))
+    near = asked.join(found, "rest").where(F.abs(F.length("word") - F.length("term")) <= F.col("able"))
+    near = near.withColumn("edits", F.levenshtein("word", "term", 2)).where((F.col("edits") >= 0) & (F.col("edits") <= F.col("able")))
     return near.groupBy("word").agg(F.min(F.struct("edits", "term"))["term"].alias("term"))
 
 
+def rests(word: Column, deletions: int) -> Column:
+    """What is left of a word's front after up to so many deletions, each once."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+
+    def one(x: Column) -> Column:
+        return F.when(F.length(x) > 0, without(x)).otherwise(F.array().cast("array<string>"))
+
+    front = F.substring(word, 1, FRONT)
+    if deletions == 1:
+        return F.array_distinct(F.concat(F.array(front), one(front)))
+    return let(one(front), lambda first: F.array_distinct(F.concat(F.array(front), first, F.flatten(F.transform(first, one)))))
+
+
 def cased(word: Column, clean: Column, term: Column) -> Column:
     """The term in the word's case, with the punctuation that stood before and after it."""
     shown = F.when((F.upper(word) == word) & (F.lower(word) != word), F.upper(term)).when(F.initcap(word) == word, F.initcap(term)).otherwise(term)

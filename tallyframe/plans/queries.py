@@ -452,6 +452,6 @@ def dat_date_appears(spark, sf):
     return rendered(spark, sf).select("doc_id", dates.appears(F.col("d"), F.col("text")).alias("shown"))
 
 
-from . import more, slips, streams, whole  # noqa: E402, F401  (register their queries)
+from . import answers, more, slips, streams, whole  # noqa: E402, F401  (register their queries)
 
 __all__ = ["BEYOND_SQL", "ORACLES", "QUERIES"]
