@@ -37,7 +37,7 @@ class CachedEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.model = Tokenizer(self.library.model)  # no cutting again
+        self.pieces = self.library.model.tokenize  # of one pre-token, without the library's bookkeeping of places in texts
         self.cut = regex.compile(CUTS[kind]).findall
         # the same pattern for ASCII texts, in which these are all letters, numbers and white space there are
         self.cut_ascii = re.compile(CUTS[kind].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(" ?a-zA-Z+", " ?[a-zA-Z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall
@@ -70,10 +70,12 @@ class CachedEncoder:
         fresh = list(new)
         for i in range(0, len(fresh), self.AT_ONCE):
             some = fresh[i : i + self.AT_ONCE]
-            e = self.model.encode([c.replace(" ", _SPACE) if c.isascii() and c.isprintable() else c.encode().decode("latin1").translate(_BYTES) for c in some], is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(e.ids, dtype="<u4").tobytes()
-            ends = (np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(some)), side="right") * 4).tolist()
-            known.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+            ids, ends = [], [0]
+            for c in some:
+                ids += [x.id for x in self.pieces(c.replace(" ", _SPACE) if c.isascii() and c.isprintable() else c.encode().decode("latin1").translate(_BYTES))]
+                ends.append(4 * len(ids))
+            raw = np.array(ids, dtype="<u4").tobytes()
+            known.update(zip(some, [raw[a:b] for a, b in zip(ends, ends[1:])]))
         get = known.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
         for c in long_ones:
