@@ -93,4 +93,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express."""
+    from .conversation_sql import REPAIR, TRIE
+
+    return {"op11_conversation_trie": TRIE, "op13_turn_repair": REPAIR}

@@ -168,3 +168,17 @@ def test_nothing_gives_nothing(spark):
     assert prefix_trie.trie(none).count() == 0 and turn_repair.repair(none).count() == 0
     one = spark.createDataFrame([(7, None, None, None, "n")], SCHEMA)
     assert trie_by_spark(spark, one) == trie_plainly([(7, None, None, None)])
+
+
+def test_the_sql_of_both(tmp_path):
+    import duckdb
+
+    from tallyframe.llm.queries import oracle_sql
+
+    rows = conversations(11, 90) + copies(3, 60)
+    c = duckdb.connect()
+    c.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR, note VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?, ?)", rows)
+    sql = oracle_sql()
+    assert set(c.execute(sql["op11_conversation_trie"]).fetchall()) == trie_plainly(rows)
+    assert {r[0]: tuple(r[1:]) for r in c.execute(sql["op13_turn_repair"]).fetchall()} == repaired_plainly(rows)
