@@ -395,6 +395,18 @@ def joi_match_items_by_name(spark, sf):
     return joi_match_items(spark, sf).where("how = 'name'")
 
 
+_LINE_ORD = "l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey"
+#: Names of one letter are alike only if they are equal, so what is left after names is matched by price: expected items in order, each with the nearest price that is not taken.
+MATCH_SQL = f"""WITH RECURSIVE e AS (SELECT l_orderkey AS doc_id, {_LINE_ORD} AS ord, l_returnflag AS name, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem), p AS (SELECT l_orderkey AS doc_id, {_LINE_ORD} AS p_ord, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE 'Z' END AS name, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem),
+  named AS (SELECT a.doc_id, a.ord, b.p_ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY ord) AS nth FROM e) a JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY p_ord) AS nth FROM p) b ON a.doc_id = b.doc_id AND a.name = b.name AND a.nth = b.nth),
+  er AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM e WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.doc_id = e.doc_id AND n.ord = e.ord)),
+  pr AS (SELECT doc_id, list({{'p': p_ord, 'price': price}}) AS ps FROM p WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.doc_id = p.doc_id AND n.p_ord = p.p_ord) GROUP BY 1),
+  st AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS p_ord FROM pr
+   UNION ALL SELECT doc_id, k, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, p) END, ord, p FROM (SELECT st.doc_id, er.k, st.taken, CAST(er.ord AS BIGINT) AS ord,
+     CAST(list_sort([{{'d': round(abs(x.price - er.price), 6), 'p': x.p}} for x in pr.ps if abs(x.price - er.price) <= 0.01 + 1e-9 AND NOT list_contains(st.taken, x.p)])[1].p AS BIGINT) AS p FROM st JOIN er ON er.doc_id = st.doc_id AND er.k = st.k + 1 JOIN pr ON pr.doc_id = st.doc_id))"""
+
+
+@query(MATCH_SQL + " SELECT doc_id, ord, p_ord, 'name' AS how FROM named UNION ALL SELECT doc_id, ord, p_ord, 'price' FROM st WHERE p_ord IS NOT NULL")
 def joi_match_items(spark, sf):
     """JOI-08: one-to-one matching by name, likeness and price."""
     li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ord().alias("ord"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("name"), F.col("l_extendedprice").alias("price"))
@@ -402,9 +414,6 @@ def joi_match_items(spark, sf):
     return evaluation.greedy_items(li, produced)
 
 
-BEYOND_SQL["joi_match_items"] = joi_match_items
-
-
 LOG_SQL = "WITH g AS (SELECT event_id // 4 AS job_id, event_id % 4 AS seq, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' ELSE 'failed' END AS status, ts + to_seconds(CAST(event_id % 4 AS INT)) AS updated_at, event_type, user_id FROM events)"
 
 
