@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyframe.functions.dates import day_of, first_numeric_date
 from tallyframe.plans.queries import QUERIES
 from tallyframe.sources import receipts
 
@@ -24,3 +26,10 @@ def test_lines_of_a_document_are_not_moved_again(spark, sf, name):
 def test_tasks_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(receipts, "TASK", 10)
     assert receipts.spread(spark.range(205).withColumnRenamed("id", "o_orderkey")).rdd.getNumPartitions() == 21
+
+
+def test_dates_are_found_without_parsing(spark):
+    cases = {"2000-02-29": "2000-02-29", "1900-02-29": None, "x 31/12/98 y": "2098-12-31", "13/12/1998": "1998-12-13", "2001-00-05": None, "0000-01-01": None, "no 12": None, "30.02.2000": None, "2001-13-01 and 04/05/2001": "2001-04-05"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", first_numeric_date(F.col("t"), F.lit("US")).cast("string").alias("d"))
+    assert {r["t"]: r["d"] for r in df.collect()} == cases and "gettimestamp" not in plan_of(df).lower()
+    assert spark.range(1).select(day_of(F.lit(2023), F.lit(2), F.lit(29)).alias("d")).first()["d"] is None
