@@ -28,6 +28,10 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     assert receipts.spread(spark.range(205).withColumnRenamed("id", "o_orderkey")).rdd.getNumPartitions() == 21
 
 
+def test_vendors_read_the_lines_once(spark, sf):
+    assert len(re.findall(r"Scan parquet", plan_of(QUERIES["ven_ranked"](spark, sf)))) == 1
+
+
 def test_dates_are_found_without_parsing(spark):
     cases = {"2000-02-29": "2000-02-29", "1900-02-29": None, "x 31/12/98 y": "2098-12-31", "13/12/1998": "1998-12-13", "2001-00-05": None, "0000-01-01": None, "no 12": None, "30.02.2000": None, "2001-13-01 and 04/05/2001": "2001-04-05"}
     df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", first_numeric_date(F.col("t"), F.lit("US")).cast("string").alias("d"))
