@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.dates import day_of, first_numeric_date
-from tallyframe.operators import evaluation
+from tallyframe.operators import evaluation, layout
 from tallyframe.plans.queries import QUERIES
 from tallyframe.sources import receipts
 
@@ -46,3 +46,14 @@ def test_dates_are_found_without_parsing(spark):
     df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", first_numeric_date(F.col("t"), F.lit("US")).cast("string").alias("d"))
     assert {r["t"]: r["d"] for r in df.collect()} == cases and "gettimestamp" not in plan_of(df).lower()
     assert spark.range(1).select(day_of(F.lit(2023), F.lit(2), F.lit(29)).alias("d")).first()["d"] is None
+
+
+def test_mean_confidence_of_a_line_is_exact_in_any_order(spark):
+    ks = [96, 39, 29, 17, 35, 40, 18, 41, 100, 7, 14, 28, 55, 57, 58, 69]
+    rows = lambda doc, xs: [(doc, 0, 0, 0, 0, i, f"w{i}", k / 100, i, 0) for i, k in enumerate(xs)]
+    groups = [sorted(ks[i:] + ks[:i])[j : j + 8] for i in range(8) for j in range(8)]
+    groups = [g for xs in groups for g in (xs, xs[::-1], xs[::2] + xs[1::2])]
+    df = spark.createDataFrame([x for doc, xs in enumerate(groups) for x in rows(doc, xs)], "doc_id bigint, page int, block int, par int, line int, word_id bigint, text string, confidence double, left int, top int").coalesce(1)
+    got = {r["doc_id"]: int(r["e4"]) for r in layout.lines_of_words(df).select("doc_id", F.round(F.col("confidence") * 10000).alias("e4")).collect()}
+    want = {doc: (sum(round(x) for x in xs) * 200 + len(xs)) // (2 * len(xs)) for doc, xs in enumerate(groups)}
+    assert got == want
