@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.functions.dates import day_of, first_numeric_date
-from tallyframe.operators import evaluation, layout
+from tallyframe.functions.dates import appears, day_of, first_numeric_date
+from tallyframe.operators import choices, evaluation, layout
+from tallyframe.plans import documents
 from tallyframe.plans.queries import QUERIES
 from tallyframe.sources import receipts
 
@@ -57,3 +58,27 @@ def test_mean_confidence_of_a_line_is_exact_in_any_order(spark):
     got = {r["doc_id"]: int(r["e4"]) for r in layout.lines_of_words(df).select("doc_id", F.round(F.col("confidence") * 10000).alias("e4")).collect()}
     want = {doc: (sum(round(x) for x in xs) * 200 + len(xs)) // (2 * len(xs)) for doc, xs in enumerate(groups)}
     assert got == want
+
+
+def test_values_are_verified_in_their_document_s_row(spark, sf):
+    df = QUERIES["ver_verified"](spark, sf)
+    assert exchanges(df) == 1 and "Join" not in plan_of(df)
+
+
+def test_a_date_is_formatted_and_a_text_reduced_to_digits_once(spark):
+    df = spark.createDataFrame([("1998-05-04", "paid 5/4/98"), ("1998-05-04", "May 4th"), ("1998-05-04", "1998"), (None, "x")], "d string, t string")
+    out = df.select(appears(F.col("d").cast("date"), F.col("t")).alias("a"))
+    assert plan_of(out).count("date_format") <= 2 and [r["a"] for r in out.collect()] == [True, True, False, None]
+
+
+def test_an_answer_is_parsed_once(spark):
+    df = spark.createDataFrame([('{"tax_basis":"inclusive","confidence":0.9,"evidence":["VAT inclusive"]}', "vat inclusive"), ("[1, 2]", "x"), ('"{}"', "x"), ("so {not} json", "x"), ('[{"tax_basis":"exclusive"}]', "x"), (None, "x")], "a string, t string")
+    out = df.select(choices.validated_semantics(F.col("a"), F.col("t")).alias("s"))
+    assert [r["s"] and (r["s"]["tax_basis"], r["s"]["confidence"]) for r in out.collect()] == [("inclusive", 0.9), None, ("unknown", 0.0), None, ("unknown", 0.0), None]
+    assert plan_of(out).count("parse_json") + plan_of(out).count("parseJson") <= 20
+
+
+def test_a_line_that_both_readings_have_is_read_once(spark):
+    df = spark.createDataFrame([(1, 1, 0, "a", 0.5)], "doc_id bigint, rank int, line_no int, text string, confidence double")
+    plan = plan_of(documents.extract_documents(df, "2002-01-01"))
+    assert re.search(r"array_distinct\(transform\(lines#\d+, lambdafunction\(lambda x_\d+#\d+\.text", plan)
