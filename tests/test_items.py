@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as T
-from tallyframe.operators import itemlines
+from tallyframe.operators import headers, itemlines, readings
 from tallyframe.plans.queries import QUERIES
+from tallyframe.sources import slips
 
 CASES = {  # lines, items
     ("Details", "Pens 1.00", "Subtotal 1.00", "Ink 9.00"): [("Pens", 1, 1.0)],
@@ -45,3 +46,32 @@ def test_names_and_counts_at_the_edges(spark):
     assert {r["t"]: (r["n"].strip(), r["q"]) for r in df.collect()} == cases
     odd = spark.createDataFrame([(" a\t\tb  c \n",), ("",), (None,)], "t string").select(T.squeezed(F.col("t")).alias("s"), T.letters(F.col("t")).alias("n"))
     assert [tuple(r) for r in odd.collect()] == [("a b c", 3), ("", 0), (None, None)]
+
+
+@pytest.mark.parametrize("name", ["ven_ranked", "ext_documents", "str_item_names"])
+def test_documents_come_as_rows(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(plan) == 1 and "collect_list" not in plan and plan.count("Scan parquet") == 1
+
+
+def test_lines_are_listed_once_with_all_their_places(spark):
+    pages = [(0, ["a", "b", None, "c"]), (4, ["a", "x", None]), (7, ["b", "b", "y", "c", "d"])]
+    df = spark.createDataFrame([(1, pages)], "doc_id bigint, pages array<struct<reading:int,lines:array<string>>>")
+    got = df.select(F.inline(readings.lines_at(F.col("pages")))).collect()
+    assert sorted((x["reading"], x["line_no"], str(r["text"])) for r in got for x in r["at"]) == sorted((r, n, str(t)) for r, ts in pages for n, t in enumerate(ts))
+    assert sum(r["text"] == "c" for r in got) == 1
+
+
+def test_documents_of_slips_are_their_lines(spark, sf):
+    docs = slips.slip_documents(spark, sf).select("doc_id", F.inline("lines"))
+    lines = slips.slip_lines(spark, sf).select(*docs.columns)
+    assert docs.dtypes == lines.dtypes and docs.exceptAll(lines).count() == 0 == lines.exceptAll(docs).count()
+
+
+def test_headings_and_codes(spark):
+    texts = {"Qty Description Unit Price": True, "No. 1 - Item x": True, "Items": True, "Itemsy": False, "Unit Price\nRef": True, "a b": False, "": False, "Netto total": False, "12": False, "Amount of": False}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", headers.is_heading(F.col("t")).alias("h"))
+    assert {r["t"]: r["h"] for r in df.collect()} == texts
+    codes = {"DRD EP025G": True, "A4 PAPER": False, "3PCS": True, "3pcs": False, "1 A": False, "É 3PCS": True, "é 3PCS": False}
+    df = spark.createDataFrame([(t,) for t in codes], "t string").select("t", T.looks_like_store_code(F.col("t")).alias("c"))
+    assert {r["t"]: r["c"] for r in df.collect()} == codes
