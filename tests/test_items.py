@@ -75,3 +75,8 @@ def test_headings_and_codes(spark):
     codes = {"DRD EP025G": True, "A4 PAPER": False, "3PCS": True, "3pcs": False, "1 A": False, "É 3PCS": True, "é 3PCS": False}
     df = spark.createDataFrame([(t,) for t in codes], "t string").select("t", T.looks_like_store_code(F.col("t")).alias("c"))
     assert {r["t"]: r["c"] for r in df.collect()} == codes
+
+
+def test_a_receipt_s_anchors_are_scored_once(spark, sf):
+    plan = QUERIES["ext_extract"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?s)(.*?)") == 1
