@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions import money
 from tallyframe.functions import text as T
 from tallyframe.operators import headers, itemlines, readings
 from tallyframe.plans.queries import QUERIES
@@ -80,3 +81,12 @@ def test_headings_and_codes(spark):
 def test_a_receipt_s_anchors_are_scored_once(spark, sf):
     plan = QUERIES["ext_extract"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?s)(.*?)") == 1
+
+
+def test_names_of_lines_step_by_step(spark):
+    texts = [t for ls in CASES for t in ls] + ["2 x", " 3  Rice", "Rice x4 ", "0 Rice", "12", "1x Bond  Paper $29 .99", "|_A__b| 7.50 V", "4800016522533 DRD PEV-CUT EP025G", "ci cr } UM SDR 20.00", "1.234.56 x", "\t a \n", "É 3PCS 1,234.50", None, "", "12345678 x 3", "x3", "3 x 4 5"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rest = money.rest_of(money.words_of(F.col("text")))
+    name = T.clean_name(T.without_quantity(rest))
+    want = df.select("i", "text", name.alias("name"), T.item_quantity(rest).alias("quantity"), T.looks_like_store_code(name).alias("code"), T.plausible_description(F.col("text")).alias("describes"), T.is_count_only(rest).alias("count_only"), T.looks_like_item_name(name).alias("like_item"), T.readable(name).alias("shown"))
+    assert sorted(map(str, itemlines.with_names(df).select(*want.columns).collect())) == sorted(map(str, want.collect()))
